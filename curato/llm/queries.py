@@ -6,19 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curato.llm import fingerprints, neardup, sharding, substrings, warc
+from curato.llm import chat, fingerprints, mixing, neardup, packing, sharding, substrings, toxicity, warc
 from curato.session import ready
 
 
+def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return ready(spark).read.parquet(f"{sf_dir}/{table}.parquet")
+
+
 def _on(table: str, work: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: work(ready(spark).read.parquet(f"{sf_dir}/{table}.parquet"))
+    return lambda spark, sf_dir: work(_read(spark, sf_dir, table))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": _on("documents", sharding.shard_records),
         "op2_warc": _on("pages", warc.page_digests),
+        "op3_packing": _on("documents", packing.pack),
+        "op4_chat": _on("conversations", chat.link_conversations),
         "op5_fingerprints": _on("documents", fingerprints.digest),
+        "op6_toxicity": lambda spark, sf_dir: toxicity.score_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")),
+        "op7_mixing": _on("documents", mixing.mix_documents),
         "op8_substrings": _on("documents", substrings.digest),
         "op10_neardup": _on("documents", neardup.near_duplicates),
     }

@@ -106,24 +106,30 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """A hash for each word, and the number of the first word of each document (one more at the end)."""
+    hashes, starts = hashed_words(data, offsets, lower, SPACE)
+    return hashes, np.searchsorted(starts, offsets).astype(np.int64)
+
+
+def hashed_words(data: np.ndarray, offsets: np.ndarray, lower: bool, blank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A hash for each run of bytes that are not blank, and the byte at which it starts; runs end with their document."""
     if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     if lower:
         data = LOWER[data]
-    word = ~SPACE[data]
+    word = ~blank[data]
     opens = word.copy()
     opens[1:] &= ~word[:-1]
     inner = offsets[(offsets > 0) & (offsets < len(data))]
     opens[inner] = word[inner]
     starts = np.flatnonzero(opens)
     if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        return np.zeros(0, np.uint64), starts
     # bytes before the first word are blank; the others count from the start of the word before them
     inside = np.arange(len(data)) - np.repeat(np.r_[0, starts], np.diff(np.r_[0, starts, len(data)]))
     inside[~word] = 0
     value = (data.astype(np.uint64) + np.uint64(1)) * powers(BASE, int(inside.max()) + 1)[inside]
     value[~word] = 0
-    return mix(np.add.reduceat(value, starts)), np.searchsorted(starts, offsets).astype(np.int64)
+    return mix(np.add.reduceat(value, starts)), starts
 
 
 def windows(words: np.ndarray, first: np.ndarray, k: int, short: bool) -> tuple[np.ndarray, np.ndarray]:
