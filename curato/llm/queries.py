@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curato.llm import chat, fingerprints, mixing, neardup, packing, sharding, substrings, toxicity, warc
+from curato.llm import chat, fingerprints, mixing, neardup, neighbours, packing, sharding, substrings, toxicity, warc
 from curato.session import ready
 
 
@@ -28,6 +28,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_toxicity": lambda spark, sf_dir: toxicity.score_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")),
         "op7_mixing": _on("documents", mixing.mix_documents),
         "op8_substrings": _on("documents", substrings.digest),
+        "op9_neighbours": _on("embeddings", neighbours.nearest_neighbours),
         "op10_neardup": _on("documents", neardup.near_duplicates),
     }
 
