@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from curato.llm import shared
@@ -54,7 +54,7 @@ def _walk(values: np.ndarray, counts: np.ndarray, out: np.ndarray, m: int) -> No
     mask, half = np.uint64(2**32 - 1), np.uint64(32)
     way = None
     for j in range(m):
-        drawn = shared.mix(values + GOLD * np.uint64(j + 1))
+        drawn = shared.mix(values + np.uint64(int(GOLD) * (j + 1) % 2**64))
         k = (j + (((drawn & mask) * np.uint64(m - j)) >> half)).astype(np.int64)
         if way is None:
             slot = k
@@ -208,3 +208,15 @@ def joined(buckets: DataFrame, sets: DataFrame, rounds: int = 4, pairs_per_row:
     spread = spread.withColumn("part", F.explode(F.when(F.col("rest"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("c"), F.col("parts")).cast("int")))))
     found = spread.select("key", "part", "c", "label", "rest").join(sets, "c").groupBy("key", "part").applyInArrow(settle, "a long, b long")
     return shared.keep(components(links.union(found)), "labels")
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs without those that are not kept; of rows that repeat a kept doc_id one stays, the first by text."""
+    near = near_duplicates(docs, doc_id, text)
+    at = shared.free_name(docs, "__at")
+    # ids and decisions come from one table, so each row of docs finds that of its doc_id
+    stay = near.where("kept").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias(at)).distinct()
+    keyed = docs.select(*[docs[c] for c in docs.columns], F.coalesce(docs[doc_id].cast("long"), F.lit(NULL_ID)).alias(at))
+    first = F.row_number().over(Window.partitionBy(at).orderBy(text))
+    turn = shared.free_name(docs, "__turn")
+    return keyed.join(stay, at, "left_semi").withColumn(turn, first).where(F.col(turn) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])

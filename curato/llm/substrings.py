@@ -226,6 +226,13 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return both.mapInArrow(cut, schema)
 
 
+def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with repeated words cut out of their texts; a text that loses nothing keeps its blanks, one that loses all is empty."""
+    cut = remove_repeats(docs, doc_id, text)
+    new = F.when(F.col("__n_removed") > 0, F.col("__kept")).otherwise(F.col(f"`{text}`"))
+    return cut.select(*[new.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
+
+
 def digest(docs: DataFrame) -> DataFrame:
     slim = docs.select("doc_id", "text")
     return remove_repeats(slim).select("doc_id", F.col("__n_words").alias("n_words"), F.col("__n_removed").alias("n_removed"), F.sha2(F.encode("__kept", "UTF-8"), 256).alias("kept_sha256"))
