@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 
 from curato.llm import shared
 
+#: Bytes of text whose windows are sorted at a time; arrays take about fifty times as much.
+RUN_BYTES = 4 << 20
 WINDOW, BUCKET_WINDOWS, LEAST_BUCKETS, GROUP_TEXTS = 20, 1 << 18, 64, 512
 NULL_ID = -(2**63)
 #: Least bytes of text a word takes in practice; it only sizes the number of buckets.
@@ -45,6 +47,15 @@ def unplanes(raw: bytes, width: int) -> np.ndarray:
     return out.reshape(-1).view("<u8") if n else np.zeros(0, np.uint64)
 
 
+def gaps(ids: np.ndarray) -> bytes:
+    """Ascending 64-bit numbers as planes of their differences."""
+    return planes(np.diff(ids.view(np.uint64), prepend=np.uint64(0)), 8)
+
+
+def from_gaps(raw: bytes) -> np.ndarray:
+    return np.cumsum(unplanes(raw, 8), dtype=np.uint64).view(np.int64)
+
+
 def hash_bytes(words: int) -> int:
     """Bytes of a window hash, besides the bucket's bits: twice the bits that number all windows, at least six bytes."""
     return min(8, max(6, -(-(2 * max(words, 2).bit_length() + 4) // 8)))
@@ -97,11 +108,11 @@ def deal(batches: Iterator[pa.RecordBatch], buckets: int, width: int, k: int) ->
                     at = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
                     gap = np.diff(s, prepend=0)
                     gap[at] = s[at]
-                    rows.append((int(b), named_ids[d[at]].tobytes(), named_tids[d[at]].tobytes(), np.diff(np.r_[at, len(d)]).astype("<u4").tobytes(), planes(gap, 4), b"" if flag else planes(low[own], width), b"1" if flag else b""))
+                    rows.append((int(b), gaps(named_ids[d[at]]), planes(named_tids[d[at]].view(np.uint64), 8), np.diff(np.r_[at, len(d)]).astype("<u4").tobytes(), planes(gap, 4), b"" if flag else planes(low[own], width), b"1" if flag else b""))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types, strict=True)], schema=schema)
 
 
-def _runs(offsets: np.ndarray, most: int = 16 << 20) -> Iterator[tuple[int, int]]:
+def _runs(offsets: np.ndarray, most: int = RUN_BYTES) -> Iterator[tuple[int, int]]:
     first, n = 0, len(offsets) - 1
     while first < n:
         last = min(n, max(first + 1, int(np.searchsorted(offsets, offsets[first] + most, "right")) - 1))
@@ -111,10 +122,10 @@ def _runs(offsets: np.ndarray, most: int = 16 << 20) -> Iterator[tuple[int, int]
 
 def unfold(ids, tids, counts, starts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = np.frombuffer(counts, "<u4").astype(np.int64)
-    gaps = unplanes(starts, 4).astype(np.int64)
-    total = np.cumsum(gaps)
+    steps = unplanes(starts, 4).astype(np.int64)
+    total = np.cumsum(steps)
     begin = np.r_[0, np.cumsum(n)[:-1]]
-    return np.repeat(np.frombuffer(ids, np.int64), n), np.repeat(np.frombuffer(tids, np.int64), n), total - np.repeat(total[begin] - gaps[begin], n)
+    return np.repeat(from_gaps(ids), n), np.repeat(unplanes(tids, 8).view(np.int64), n), total - np.repeat(total[begin] - steps[begin], n)
 
 
 def folded(ids, tids, starts, groups: int) -> Iterator[tuple]:
@@ -130,7 +141,7 @@ def folded(ids, tids, starts, groups: int) -> Iterator[tuple]:
         at = np.flatnonzero(np.r_[True, (i[1:] != i[:-1]) | (t[1:] != t[:-1])])
         gap = np.diff(s, prepend=0)
         gap[at] = s[at]
-        yield int(g), i[at].tobytes(), t[at].tobytes(), np.diff(np.r_[at, len(i)]).astype("<u4").tobytes(), planes(gap, 4)
+        yield int(g), gaps(i[at]), planes(t[at].view(np.uint64), 8), np.diff(np.r_[at, len(i)]).astype("<u4").tobytes(), planes(gap, 4)
 
 
 STARTS = "grp int, ids binary, tids binary, counts binary, starts binary"
@@ -179,9 +190,12 @@ def merged(table: pa.Table, k: int) -> pa.Table:
     return pa.Table.from_arrays([pa.array(i[heads][of]), pa.array(t[heads][of]), *lists], names=["at", "tid", "opens", "closes"])
 
 
-def removal_intervals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = WINDOW) -> DataFrame:
-    """at, tid, opens, closes: runs of words to remove, for each text that has any; at and tid are as keys() has them."""
-    own = docs.select(*keys(docs, doc_id, text), docs[text].cast("string").alias("text"))
+def removal_intervals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = WINDOW, repeated: bool = True) -> DataFrame:
+    """at, tid, opens, closes: runs of words to remove, for each text that has any; at and tid are as keys() has them.
+
+    repeated: whether any doc_id occurs twice; see keys().
+    """
+    own = docs.select(*keys(docs, doc_id, text, repeated), docs[text].cast("string").alias("text"))
     size, n = own.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
     words = (size or 0) // WORD_BYTES + 1
     buckets, groups, width = max(LEAST_BUCKETS, -(-words // BUCKET_WINDOWS)), max(1, n // GROUP_TEXTS), hash_bytes(words)
@@ -190,8 +204,15 @@ def removal_intervals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     return late.groupBy("grp").applyInArrow(lambda t: merged(t, k), "at long, tid long, opens array<int>, closes array<int>")
 
 
-def keys(docs: DataFrame, doc_id: str, text: str) -> list:
-    return [F.coalesce(docs[doc_id].cast("long"), F.lit(NULL_ID)).alias("at"), F.xxhash64(F.coalesce(docs[text].cast("string"), F.lit(""))).alias("tid")]
+def keys(docs: DataFrame, doc_id: str, text: str, repeated: bool) -> list:
+    """What tells texts apart: doc_id, and a hash of the text if doc_ids repeat; it is 0 else, which costs no room in messages."""
+    at = F.coalesce(docs[doc_id].cast("long"), F.lit(NULL_ID))
+    tid = F.xxhash64(F.coalesce(docs[text].cast("string"), F.lit(""))) if repeated else F.lit(0).cast("long")
+    return [at.alias("at"), tid.alias("tid")]
+
+
+def repeats_id(docs: DataFrame, doc_id: str) -> bool:
+    return shared.has_rows(docs.groupBy(F.coalesce(docs[doc_id].cast("long"), F.lit(NULL_ID)).alias("at")).count().where("count > 1"))
 
 
 def kept_words(text: str | None, opens: list[int] | None, closes: list[int] | None) -> tuple[int, int, bytes]:
@@ -208,9 +229,10 @@ def kept_words(text: str | None, opens: list[int] | None, closes: list[int] | No
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = WINDOW) -> DataFrame:
     """docs and the columns __n_words, __n_removed, __kept: kept words joined by one space."""
-    runs = removal_intervals(docs, doc_id, text, k)
+    repeated = repeats_id(docs, doc_id)
+    runs = removal_intervals(docs, doc_id, text, k, repeated)
     at, tid, opens, closes = (shared.free_name(docs, f"__{n}") for n in ("at", "tid", "opens", "closes"))
-    keyed = docs.select(*[docs[c] for c in docs.columns], *[x.alias(n) for x, n in zip(keys(docs, doc_id, text), (at, tid), strict=True)])
+    keyed = docs.select(*[docs[c] for c in docs.columns], *[x.alias(n) for x, n in zip(keys(docs, doc_id, text, repeated), (at, tid), strict=True)])
     both = keyed.join(runs.toDF(at, tid, opens, closes), [at, tid], "left").select(*[F.col(f"`{c}`") for c in docs.columns], opens, closes)
     names, place = docs.columns, docs.columns.index(text)
 
