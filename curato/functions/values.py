@@ -167,3 +167,13 @@ def model_tokens(c: C, vocabulary: str | None = None) -> Column:
         return pd.Series([len(e.ids) for e in made.encode_batch(s.fillna("").tolist())])
 
     return count(col(c))
+
+
+QA_ITEMS = "array<struct<question:string,answer:string,species:string,type:string,difficulty:string>>"
+
+
+def qa_items(reply: C) -> Column:
+    """P-75, P-76, Q-06, T-11, T-12: questions of a model's reply, whatever stands around its JSON; items without a question go."""
+    found = find_json(col(reply))
+    items = F.coalesce(F.from_json(found, QA_ITEMS), F.from_json(F.get_json_object(found, "$.questions"), QA_ITEMS), F.array(F.from_json(found, QA_ITEMS.removeprefix("array<")[:-1])))
+    return F.filter(items, lambda x: F.coalesce(F.trim(x["question"]), F.lit("")) != "")

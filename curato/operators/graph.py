@@ -224,3 +224,16 @@ def information(n: Column, relations: Column, support_: Column, overlap: Column,
     """Q-07: how well evidence carries an answer of several aspects."""
     raw = 0.30 * F.least(F.lit(1.0), n / 6.0) + 0.15 * F.least(F.lit(1.0), relations / F.greatest(F.lit(1), n) * 1.5) + 0.25 * support_ + 0.15 * overlap + 0.15 * referenced
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), raw * (1 - 0.35 * F.least(F.lit(1.0), meta))))
+
+
+def candidates(triples: DataFrame, species: str | None = None) -> DataFrame:
+    """G-22: triples as candidates for questions, one JSON line each."""
+    cols = ["head", "head_type", "relation", "tail", "tail_type"]
+    return triples.select(F.to_json(F.struct(*cols, F.lit(species).alias("species"))).alias("value"))
+
+
+def full_analysis(nodes: DataFrame, edges: DataFrame, k: int = 20) -> dict[str, DataFrame]:
+    """G-20: the tables of a graph report, each of them lazy."""
+    from curato.operators.tables import top_counts
+
+    return {"statistics": statistics(nodes, edges), "properties": properties(edges), "degrees": degree_centrality(edges).orderBy(F.desc("degree"), "id").limit(k), "relations": top_counts(edges, "rel", k), "isolates": isolates(nodes, edges)}

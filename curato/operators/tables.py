@@ -188,3 +188,10 @@ def variants(df: DataFrame, n: Column) -> DataFrame:
 def merged_sources(df: DataFrame, key: str, order: str, source: str, *fields: str) -> DataFrame:
     """D-01, A-31: the first row of each key, with the sorted distinct sources of all its rows."""
     return df.groupBy(key).agg(*[F.min_by(c, order).alias(c) for c in fields], F.sort_array(F.collect_set(source)).alias("sources"), F.count(F.lit(1)).alias("copies"))
+
+
+def capped(df: DataFrame, by: str, flag: str, order: list[str | Column], share: float) -> DataFrame:
+    """Q-11: flagged rows up to a share of their group's rows, the first by order; the others all."""
+    n = df.groupBy(by).agg(F.count(F.lit(1)).alias("__n"))
+    rank = F.row_number().over(Window.partitionBy(by, flag).orderBy(*order))
+    return df.withColumn("__r", rank).join(n, by).where(~F.col(flag) | (F.col("__r") <= F.floor(F.col("__n") * share))).drop("__r", "__n")

@@ -43,11 +43,10 @@ class Tables:
 
     def qa(self) -> DataFrame:
         """Documents as question (up to the first full stop) and answer (what follows)."""
-        return self.documents.select("doc_id", "lang", "source", "text", QUESTION.alias("q"), ANSWER.alias("a"))
+        question, answer = "trim(split_part(text, '.', 1))", "trim(substr(text, length(split_part(text, '.', 1)) + 2))"
+        return self.documents.select("doc_id", "lang", "source", "text", F.expr(question).alias("q"), F.expr(answer).alias("a"))
 
 
-QUESTION = F.trim(F.split_part("text", F.lit("."), F.lit(1)))
-ANSWER = F.expr("trim(substr(text, length(split_part(text, '.', 1)) + 2))")
 #: The same in SQL.
 QA_SQL = "qa AS (SELECT doc_id, lang, source, text, trim(split_part(text, '.', 1)) AS q, trim(substr(text, length(split_part(text, '.', 1)) + 2)) AS a FROM documents)"
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from curato.functions import rules as r
 from curato.functions import scores as s
 from curato.functions import text as t
+from curato.functions import values as v
 from curato.operators import annotation as an
 from curato.operators import tables as o
 from curato.plans.base import QA_SQL, Catalog, Tables
@@ -530,3 +531,16 @@ def _(x: Tables) -> DataFrame:
 def overview(x: Tables) -> DataFrame:
     """Documents, characters and distinct texts by language and source."""
     return x.documents.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"), F.countDistinct(F.md5("text")).alias("distinct_texts"))
+
+
+@query("p75_reply_items", "SELECT event_id, concat('q', user_id) AS question, event_type AS answer FROM events")
+def _(x: Tables) -> DataFrame:
+    """P-75, P-76, Q-06, T-11, T-12."""
+    reply = F.concat(F.lit('Here:\n```json\n[{"question": "q'), "user_id", F.lit('", "answer": "'), "event_type", F.lit('"}, {"question": ""}]\n```'))
+    return x.events.select("event_id", F.explode(v.qa_items(reply)).alias("i")).select("event_id", "i.question", "i.answer")
+
+
+@query("q11_numbered_cap", "WITH z AS (SELECT doc_id, source, doc_id % 3 = 0 AS numbered FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY source, numbered ORDER BY doc_id) AS r, count(*) OVER (PARTITION BY source) AS n FROM z) SELECT doc_id FROM r WHERE NOT numbered OR r <= floor(n * 0.1)")
+def _(x: Tables) -> DataFrame:
+    """Q-11: numbered questions make up a tenth of a group's rows at most; the first ones stay."""
+    return o.capped(x.documents.select("doc_id", "source", (F.col("doc_id") % 3 == 0).alias("numbered")), "source", "numbered", ["doc_id"], 0.1).select("doc_id")

@@ -196,6 +196,20 @@ def _(x: Tables) -> DataFrame:
     return ch.patent_metadata(found, "doc_id").select("doc_id", F.length("abstract").alias("abstract"), F.length("claims").alias("claims"))
 
 
+@query("f25_chinese_patent")
+def _(x: Tables) -> DataFrame:
+    """F-25; W-08 over the same texts."""
+    made = x.documents.where("doc_id % 10 = 0").select("doc_id", F.concat(F.lit("# 摘要\n"), "text", F.lit("\n# 实施例 1\n"), "text", F.lit("\n# 实施例 2\n"), "text", F.lit("\n# 其他\n"), "text").alias("text"))
+    parts = ch.chinese_patent(ch.sections(made, "doc_id", "text", ch.patent_sections), "doc_id")
+    return parts.select("doc_id", "pos", "title", F.size(F.filter(ch.near_lines("body", lambda s: s.contains("the"), 2), lambda b: b)).alias("near"))
+
+
+@query("g20_analysis", f"WITH {EDGES} SELECT rel, count(*) AS n FROM edges GROUP BY rel ORDER BY n DESC, rel LIMIT 20")
+def _(x: Tables) -> DataFrame:
+    """G-20, G-22."""
+    return g.full_analysis(nodes(x), edges(x))["relations"]
+
+
 @query("t08_key_paragraphs", "SELECT doc_id, substr(text, 1, 512) AS head, array_to_string(list_filter(string_split(text, chr(10)), lambda p: regexp_matches(lower(p), 'the|der|les'))[1:3], '|') AS paragraphs FROM documents")
 def _(x: Tables) -> DataFrame:
     return x.documents.select("doc_id", ch.key_paragraphs("text", ["the", "der", "les"]).alias("k")).select("doc_id", "k.head", F.array_join("k.paragraphs", "|").alias("paragraphs"))

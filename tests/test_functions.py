@@ -102,7 +102,7 @@ def test_paper_sections():
 
 def test_thesis_sections():
     assert [x[3] for x in ch.thesis_sections(f"# One\n{BODY}\n# Two\n{BODY}")] == ["markdown", "markdown"]
-    assert [x[3] for x in ch.thesis_sections("第一章 绪论\n" + "水" * 60 + "\n第二章 方法\n" + "稻" * 60)] == ["chinese"] * 2
+    assert [x[3] for x in ch.thesis_sections("第一章 绪论\n" + "水" * 120 + "\n第二章 方法\n" + "稻" * 120)] == ["chinese"] * 2
     assert {x[3] for x in ch.thesis_sections("水稻生长。" * 400)} == {"smart_fallback"}
     assert ch.thesis_sections("") == []
 
