@@ -47,6 +47,21 @@ def keep_first_alike(items: DataFrame, pairs: DataFrame) -> DataFrame:
         kept = stored(kept.union(free).distinct())
 
 
+def simhashes(df: DataFrame, key: str, tokens: str) -> DataFrame:
+    """P-28 for many rows (id, h): tokens are exploded and their bits summed by key, which stays inside generated code.
+
+    Rows without tokens have 0; keys must be unique.
+    """
+    half = lambda at: F.conv(F.substring(F.md5("t"), at, 8), 16, 10).cast("long")
+    bits = df.select(F.col(key).alias("id"), F.explode(tokens).alias("t")).select("id", half(17).alias("hi"), half(25).alias("lo"))
+    ones = [F.sum(F.shiftright("lo" if i < 32 else "hi", i % 32).bitwiseAND(F.lit(1))).alias(f"b{i}") for i in range(64)]
+    sums = bits.groupBy("id").agg(F.count(F.lit(1)).alias("n"), *ones)
+    out = F.lit(0).cast("long")
+    for i in range(64):
+        out = out.bitwiseOR(F.when(F.col(f"b{i}") * 2 > F.col("n"), F.lit(1 << i if i < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")))
+    return df.select(F.col(key).alias("id")).join(sums.select("id", out.alias("h")), "id", "left").select("id", F.coalesce("h", F.lit(0).cast("long")).alias("h"))
+
+
 def hamming_pairs(df: DataFrame, most: int = 6) -> DataFrame:
     """D-04, J-08: pairs (a, b) of rows (id, h) whose 64-bit hashes differ in at most `most` bits.
 

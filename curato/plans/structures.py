@@ -40,14 +40,14 @@ def nodes(x: Tables) -> DataFrame:
 @query("d04_pairs", f"WITH {QA_SQL}, {SIM}, z AS (SELECT doc_id AS id, h FROM sim WHERE h <> 0), f AS (SELECT h, min(id) AS id FROM z GROUP BY h) SELECT x.id AS a, y.id AS b FROM f x JOIN f y ON x.id < y.id AND bit_count(xor(x.h, y.h)) <= 6 UNION ALL SELECT f.id, z.id FROM z JOIN f ON z.h = f.h AND z.id > f.id")
 def _(x: Tables) -> DataFrame:
     """D-04, J-08."""
-    h = x.qa().where("length(q) < 400").select(F.col("doc_id").alias("id"), t.simhash(t.simhash_tokens("q")).alias("h")).where("h != 0")
+    h = nr.simhashes(x.qa().where("length(q) < 400").select("doc_id", t.simhash_tokens("q").alias("tokens")), "doc_id", "tokens").where("h != 0")
     return nr.hamming_pairs(nr.stored(h))
 
 
 @query("d04_simhash")
 def _(x: Tables) -> DataFrame:
     """D-04; tested against the plain loop."""
-    h = x.qa().where("length(q) < 400").select(F.col("doc_id").alias("id"), t.simhash(t.simhash_tokens("q")).alias("h")).where("h != 0")
+    h = nr.simhashes(x.qa().where("length(q) < 400").select("doc_id", t.simhash_tokens("q").alias("tokens")), "doc_id", "tokens").where("h != 0")
     return nr.dedup_simhash(nr.stored(h))
 
 

@@ -55,6 +55,8 @@ def plain_simhash(text):
 @pytest.mark.parametrize("text", ["", "one", "水稻基因 gene x1", "the quick brown fox the"])
 def test_simhash(spark, text):
     assert one(spark, t.simhash(t.simhash_tokens("c")), c=text) == plain_simhash(text)
+    rows = nr.simhashes(spark.createDataFrame([(7, text)], "k long, c string").select("k", t.simhash_tokens("c").alias("w")), "k", "w").collect()
+    assert [(r.id, r.h) for r in rows] == [(7, plain_simhash(text))]
 
 
 def test_keep_first_chain(spark):
