@@ -57,7 +57,9 @@ def components(links: DataFrame) -> DataFrame:
     """
     links = shared.keep(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "links")
     tasks = max(1, -(-links.count() // LINKS_PER_TASK))
-    now = shared.keep(links.repartition(tasks, "b").mapInArrow(forest, "a long, b long"), "forest")
+    # dealt by a key only if several tasks follow, whose forests the stars then join
+    dealt = links.repartition(tasks, "b") if tasks > 1 else links.coalesce(1)
+    now = shared.keep(dealt.mapInArrow(forest, "a long, b long"), "forest")
     shared.forget(links)
     sign = None
     while tasks > 1:
