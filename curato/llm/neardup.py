@@ -30,7 +30,7 @@ from curato.llm import shared
 from curato.llm.components import components
 
 SLOTS, BAND, WORDS, THRESHOLD = 128, 4, 5, 75
-ORDERS, MEMBERS_PER_PART = 4, 512
+ORDERS, MEMBERS_PER_PART = 4, 1024
 NULL_ID = -(2**63)
 FULL = np.uint64(2**64 - 1)
 GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -144,12 +144,16 @@ def settle(table: pa.Table) -> pa.Table:
     c, label, rest = (table.column(x).to_numpy() for x in ("c", "label", "rest"))
     sets = [unpack(x.as_py()) for x in table.column("s")]
     sizes = np.array([len(x) for x in sets])
-    every = np.concatenate(sets)
-    heads = np.r_[0, np.cumsum(sizes)[:-1]]
-    found = []
+    ends = np.r_[0, np.cumsum(sizes)]
+    # shingles get numbers once; a set is then a mask over them that all others are looked up in
+    shingles, every = np.unique(np.concatenate(sets), return_inverse=True)
+    here, found = np.zeros(len(shingles), bool), []
     main = ~rest if int(table.column("part")[0].as_py()) else np.ones(len(c), bool)
     for u in np.flatnonzero(rest):
-        both = np.add.reduceat(np.isin(every, sets[u]).astype(np.int64), heads)
+        own = every[ends[u] : ends[u + 1]]
+        here[own] = True
+        both = np.add.reduceat(here[every].astype(np.int64), ends[:-1])
+        here[own] = False
         hit = main & (label != label[u]) & (100 * both >= THRESHOLD * (sizes + sizes[u] - both))
         found += [(c[u], c[v]) for v in np.flatnonzero(hit)[np.unique(label[hit], return_index=True)[1]]]
     return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
@@ -183,7 +187,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return out.select(real("at").alias("doc_id"), F.col("n").alias("n_shingles"), real("least").alias("component_id"), (F.col("at") == F.col("least")).alias("kept"))
 
 
-def joined(buckets: DataFrame, sets: DataFrame, rounds: int = 4, pairs_per_row: int = 16) -> DataFrame:
+def joined(buckets: DataFrame, sets: DataFrame, rounds: int = 4, pairs_per_row: int = 1024) -> DataFrame:
     """v, label of the classes that are linked with any other."""
     links = shared.keep(checked(buckets.where("c != centre").select(F.least("c", "centre").alias("a"), F.greatest("c", "centre").alias("b")).distinct(), sets), "pairs")
     label = shared.keep(components(links), "labels")
@@ -199,8 +203,9 @@ def joined(buckets: DataFrame, sets: DataFrame, rounds: int = 4, pairs_per_row:
         todo = openings.where("rest").agg(F.sum("size")).first()[0]
         if todo <= pairs_per_row * total or turn == rounds:
             break
-        # other centres of the main component, for the rest; and of the rest, for all
-        ends = openings.groupBy("key").agg(F.min(F.when(~F.col("rest"), F.struct(F.xxhash64("c", "key", F.lit(turn)).alias("h"), "c", "label"))).alias("p"), F.min(F.when(F.col("rest"), F.struct(F.xxhash64("c", "key", F.lit(turn)).alias("h"), "c", "label"))).alias("q"))
+        # other centres of the main component, for the rest; and of the rest, for all; buckets choose by one order, so those
+        # that hold the same classes choose the same centres and their pairs are few
+        ends = openings.groupBy("key").agg(F.min(F.when(~F.col("rest"), F.struct(F.xxhash64("c", F.lit(turn)).alias("h"), "c", "label"))).alias("p"), F.min(F.when(F.col("rest"), F.struct(F.xxhash64("c", F.lit(turn)).alias("h"), "c", "label"))).alias("q"))
         more = openings.join(ends, "key").select("c", "label", F.explode(F.array("p", "q")).alias("e")).where("label != e.label").select(F.least("c", "e.c").alias("a"), F.greatest("c", "e.c").alias("b")).distinct()
         links = shared.keep(links.union(checked(more, sets)), "pairs")
         label = shared.keep(components(links), "labels")
