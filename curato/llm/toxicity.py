@@ -4,13 +4,13 @@ Words of a lexicon have kinds: insult, threat, target, negation, report. Five tr
 after another: negation turns an insult or a threat that follows it closely into a negated one, reported speech one that
 follows a verb of saying into a reported one, target one that stands near a word for a person into a directed one, and the
 insult and threat transducers write what is left as events. They are composed into one deterministic machine, which runs
-over clauses that hold an insult or a threat; a document is scored by its counts of events, each counted up to CAP, through
-log-odds weights.
+over clauses that hold an insult or a threat; a document is scored by its counts of events, of which each repetition adds half
+of the one before it and no more than CAP count, through log-odds weights.
 
 Weights start from priors and are fitted to labels by Newton's method. Rows with equal counts are added up first, so the
 driver sees at most (CAP+1)**6 rows whatever the number of labels. Insults that the lexicon lacks are learned from at most
-SAMPLE labelled documents, chosen by a hash of doc_id: words that at least LEARN_LEAST of them hold, nearly all toxic ones;
-at most LEARN_MOST words. Labels whose crc32(doc_id as text) mod 3 is 1 are never read.
+SAMPLE labelled documents, chosen by a hash of doc_id: words that at least LEARN_LEAST different texts and a LEARN_PART of
+them hold, nearly all toxic ones; at most LEARN_MOST words. Labels whose crc32(doc_id as text) mod 3 is 1 are never read.
 
 Whole texts are read: all words are hashed in numpy and looked up at once.
 
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from curato.llm import shared
 
-SAMPLE, LEARN_LEAST, LEARN_MOST, LEARN_SHARE = 20_000, 12, 256, 0.85
+SAMPLE, LEARN_LEAST, LEARN_PART, LEARN_MOST, LEARN_SHARE = 20_000, 30, 0.01, 256, 0.85
 CAP, CUT = 3, 0.7
 #: Words after a negation, or between a target and an insult, that still count as close.
 NEAR = 4
@@ -214,23 +214,34 @@ def _with(df: DataFrame, name: str, kind: str):
     return T.StructType([*df.schema.fields, *T.StructType.fromDDL(f"{name} {kind}").fields])
 
 
-def learn_words(labelled: DataFrame) -> list[str]:
-    """Words outside the lexicon that a sample of labelled texts (columns doc_id, text, toxic) has in toxic ones almost only."""
-    n = labelled.count()
-    some = labelled if n <= SAMPLE else labelled.where(F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 30)) < int((1 << 30) * SAMPLE / n))
-    words = some.select("toxic", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("word")).where("length(word) between 3 and 40")
-    found = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("t")).where(f"t >= {LEARN_LEAST} and t >= {LEARN_SHARE} * n")
+def learn_words(docs: DataFrame, told: DataFrame) -> list[str]:
+    """Words outside the lexicon that a sample of labelled texts has in toxic ones almost only.
+
+    docs(doc_id, text); told(doc_id, toxic). The sample has about SAMPLE rows, so it is broadcast and texts don't move.
+    """
+    n = told.count()
+    some = told if n <= SAMPLE else told.where(F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 30)) < int((1 << 30) * SAMPLE / n))
+    # copies of a text count once, or all its words would seem to go with its label
+    texts = docs.join(F.broadcast(some), "doc_id").groupBy(F.xxhash64("text")).agg(F.max("toxic").alias("toxic"), F.first("text").alias("text"))
+    least = max(LEARN_LEAST, int(LEARN_PART * min(n, SAMPLE)))
+    words = texts.select("toxic", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("word")).where("length(word) between 3 and 40")
+    found = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("t")).where(f"t >= {least} and t >= {LEARN_SHARE} * n")
     known = {*INSULTS, *THREATS, *TARGETS, *NEGATIONS, *REPORTS}
     rows = found.orderBy(F.desc("t"), "word").limit(LEARN_MOST + len(known)).collect()
     return [r["word"] for r in rows if r["word"] not in known][:LEARN_MOST]
 
 
+def worth(count):
+    """1, 1.5, 1.75 for 1, 2, 3."""
+    return 2 - 2 * 0.5**count
+
+
 def fit(patterns: list[tuple[list[int], int, int]]) -> np.ndarray:
     """Weights of EVENTS and a constant from (counts, rows, toxic rows), by Newton's method on the posterior."""
     w = PRIOR.copy()
     if not patterns:
         return w
-    x = np.array([[*p[0], 1] for p in patterns], float)
+    x = np.array([[*worth(np.array(p[0], float)), 1] for p in patterns], float)
     n, t = np.array([p[1] for p in patterns], float), np.array([p[2] for p in patterns], float)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -249,31 +260,36 @@ class Model:
         self.learned, self.weights = learned, weights
 
 
-def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Model:
+def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[Model, DataFrame]:
+    """The model, and the table doc_id, __events of all docs, without texts, that it was fitted on."""
     told = labels.where(~held_out(labels["doc_id"])).where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    # texts of labelled rows are read twice; they are written once
-    labelled = shared.keep(docs.select(docs[doc_id].alias("doc_id"), docs[text].cast("string").alias("text")).where(~held_out(F.col("doc_id"))).join(told, "doc_id"), "labelled")
-    learned = learn_words(labelled)
-    rows = events_of(labelled, "text", learned).groupBy("__events").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("t")).collect()
-    shared.forget(labelled)
-    return Model(learned, fit(sorted((list(r["__events"]), r["n"], r["t"]) for r in rows)))
+    own = docs.select(docs[doc_id].alias("doc_id"), docs[text].cast("string").alias("text"))
+    learned = learn_words(own, told)
+    events = shared.keep(events_of(own, "text", learned).select("doc_id", "__events"), "events")
+    # texts stay where they are read: only counts of events meet the labels
+    rows = events.join(told, "doc_id").groupBy("__events").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("t")).collect()
+    return Model(learned, fit(sorted((list(r["__events"]), r["n"], r["t"]) for r in rows))), events
 
 
-def score_texts(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs and the columns __events, __score."""
-    scored = events_of(docs, text, model.learned)
+def scored(events: DataFrame, model: Model) -> DataFrame:
+    """events and the column __score."""
     total = F.lit(float(model.weights[-1]))
     for i, w in enumerate(model.weights[:-1]):
-        total = total + F.col("__events")[i] * F.lit(float(w))
-    return scored.withColumn("__score", 1 / (1 + F.exp(-total)))
+        total = total + (2 - 2 * F.pow(F.lit(0.5), F.col("__events")[i])) * F.lit(float(w))
+    return events.withColumn("__score", 1 / (1 + F.exp(-total)))
+
+
+def score_texts(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """docs and the columns __events, __score."""
+    return scored(events_of(docs, text, model.learned), model)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every row."""
-    out = score_texts(docs.select("doc_id", "text"), train(docs, labels))
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= CUT).cast("int").alias("predicted"))
+    model, events = train(docs, labels)
+    return scored(events, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= CUT).cast("int").alias("predicted"))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without those that the model rejects."""
-    return score_texts(docs, train(docs, labels)).where(F.col("__score") < CUT).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return score_texts(docs, train(docs, labels)[0]).where(F.col("__score") < CUT).select(*[F.col(f"`{c}`") for c in docs.columns])
