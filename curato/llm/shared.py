@@ -166,11 +166,6 @@ def shingle_sets(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarr
     return values[new], np.searchsorted(doc[new], np.arange(len(begin)))
 
 
-def ascii_words(text: bytes) -> list[bytes]:
-    """bytes.split() parts at exactly the six blank bytes of the word pattern."""
-    return text.split()
-
-
 def range_bucket(value, bounds: list[int]):
     """How many of the ascending bounds are <= value, as a balanced tree of comparisons."""
 
