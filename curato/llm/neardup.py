@@ -105,7 +105,7 @@ def class_ids(values: np.ndarray, begin: np.ndarray) -> np.ndarray:
 
 
 def sketch(batches: Iterator[pa.RecordBatch], k: int = WORDS) -> Iterator[pa.RecordBatch]:
-    """at, n, c (class), bands (a bucket key of eight bytes for each band)."""
+    """at, h, n, c (class), bands (a bucket key of eight bytes for each band)."""
     for batch in batches:
         for lo, values, begin in sets_of(batch.column(1), k):
             n = np.diff(begin)
@@ -113,8 +113,8 @@ def sketch(batches: Iterator[pa.RecordBatch], k: int = WORDS) -> Iterator[pa.Rec
             keys = np.arange(1, SLOTS // BAND + 1, dtype=np.uint64)[None, :] * GOLD
             for i in range(BAND):
                 keys = shared.mix(keys + sig[:, :, i])
-            ids = batch.column(0).slice(lo, len(n))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(class_ids(values, begin)), pa.array(keys.view(np.int64).tolist(), pa.list_(pa.int64()))], names=["at", "n", "c", "bands"])
+            ids, h = (batch.column(i).slice(lo, len(n)) for i in (0, 2))
+            yield pa.RecordBatch.from_arrays([ids, h, pa.array(n, pa.int64()), pa.array(class_ids(values, begin)), pa.array(keys.view(np.int64).tolist(), pa.list_(pa.int64()))], names=["at", "h", "n", "c", "bands"])
 
 
 def full_sets(batches: Iterator[pa.RecordBatch], k: int = WORDS) -> Iterator[pa.RecordBatch]:
@@ -166,8 +166,19 @@ def checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
-    own = docs.select(F.coalesce(docs[doc_id].cast("long"), F.lit(NULL_ID)).alias("at"), docs[text].cast("string").alias("text"))
-    sketched = shared.keep(own.mapInArrow(lambda b: sketch(b, k), "at long, n long, c long, bands array<long>"), "sketch")
+    out = grouped(docs, doc_id, text, k)
+    real = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
+    return out.select(real("at").alias("doc_id"), F.col("n").alias("n_shingles"), real("least").alias("component_id"), (F.col("at") == F.col("least")).alias("kept"))
+
+
+def text_hash(text):
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def grouped(docs: DataFrame, doc_id: str, text: str, k: int = WORDS) -> DataFrame:
+    """at, h (of the text), n, least (id of its group), label (of its group; null without words) of every row."""
+    own = docs.select(F.coalesce(docs[doc_id].cast("long"), F.lit(NULL_ID)).alias("at"), docs[text].cast("string").alias("text"), text_hash(docs[text]).alias("h"))
+    sketched = shared.keep(own.mapInArrow(lambda b: sketch(b, k), "at long, h long, n long, c long, bands array<long>"), "sketch")
     classes = sketched.where("n > 0").groupBy("c").agg(F.min("at").alias("at"))
     # equal sets have equal bands; a class is told by one of its rows
     banded = sketched.where("n > 0").groupBy("c").agg(F.first("bands").alias("bands")).select("c", F.posexplode("bands").alias("band", "key"))
@@ -178,13 +189,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         wanted = buckets.select("c").distinct().join(classes, "c")
         sets = shared.keep(own.join(wanted.select("at").distinct(), "at", "left_semi").mapInArrow(lambda b: full_sets(b, k), "c long, s binary").join(wanted.select("c"), "c", "left_semi").groupBy("c").agg(F.first("s").alias("s")), "sets")
         label = joined(buckets, sets)
-    table = classes.withColumnRenamed("at", "smallest")
+    table = classes.select("c", F.col("at").alias("smallest"), F.col("c").alias("label"))
     if label is not None:
-        whole = label.join(table, label["v"] == table["c"]).groupBy("label").agg(F.min("smallest").alias("least"))
-        table = table.join(label.join(whole, "label").select(F.col("v").alias("c"), "least"), "c", "left").select("c", F.coalesce("least", "smallest").alias("smallest"))
-    out = sketched.select("at", "n", "c").join(table, "c", "left").select("at", "n", F.when(F.col("n") > 0, F.col("smallest")).otherwise(F.col("at")).alias("least"))
-    real = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
-    return out.select(real("at").alias("doc_id"), F.col("n").alias("n_shingles"), real("least").alias("component_id"), (F.col("at") == F.col("least")).alias("kept"))
+        whole = label.join(table.select("c", "smallest"), label["v"] == F.col("c")).groupBy("label").agg(F.min("smallest").alias("least"))
+        table = table.select("c", "smallest").join(label.join(whole, "label").select(F.col("v").alias("c"), "least", "label"), "c", "left").select("c", F.coalesce("least", "smallest").alias("smallest"), F.coalesce("label", "c").alias("label"))
+    out = sketched.select("at", "h", "n", "c").join(table, "c", "left")
+    return out.select("at", "h", "n", F.when(F.col("n") > 0, F.col("smallest")).otherwise(F.col("at")).alias("least"), F.when(F.col("n") > 0, F.col("label")).alias("label"))
 
 
 def joined(buckets: DataFrame, sets: DataFrame, rounds: int = 4, pairs_per_row: int = 1024) -> DataFrame:
@@ -216,12 +226,15 @@ def joined(buckets: DataFrame, sets: DataFrame, rounds: int = 4, pairs_per_row:
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without those that are not kept; of rows that repeat a kept doc_id one stays, the first by text."""
-    near = near_duplicates(docs, doc_id, text)
-    at = shared.free_name(docs, "__at")
-    # ids and decisions come from one table, so each row of docs finds that of its doc_id
-    stay = near.where("kept").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias(at)).distinct()
-    keyed = docs.select(*[docs[c] for c in docs.columns], F.coalesce(docs[doc_id].cast("long"), F.lit(NULL_ID)).alias(at))
-    first = F.row_number().over(Window.partitionBy(at).orderBy(text))
-    turn = shared.free_name(docs, "__turn")
-    return keyed.join(stay, at, "left_semi").withColumn(turn, first).where(F.col(turn) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """docs without those that are not kept; of rows of one group that share a kept doc_id, or have none, one stays.
+
+    Groups under one doc_id, or without, keep a row each; of a group's different texts it is the first by hash. Different texts
+    without words are groups of their own.
+    """
+    at, h, turn = (shared.free_name(docs, x) for x in ("__at", "__h", "__turn"))
+    # ids and decisions come from one table, so each row of docs finds that of its doc_id and text
+    alone = F.when(F.col("label").isNull(), F.col("h"))
+    stay = grouped(docs, doc_id, text).where("at = least").groupBy("at", "label", alone.alias("alone")).agg(F.min("h").alias(h)).select(F.col("at").alias(at), h)
+    keyed = docs.select(*[docs[c] for c in docs.columns], F.coalesce(docs[doc_id].cast("long"), F.lit(NULL_ID)).alias(at), text_hash(docs[text]).alias(h))
+    first = F.row_number().over(Window.partitionBy(at, h).orderBy(text))
+    return keyed.join(stay, [at, h], "left_semi").withColumn(turn, first).where(F.col(turn) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])

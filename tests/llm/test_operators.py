@@ -284,6 +284,18 @@ def test_neardup(table, empty):
     assert one.columns == table.columns and one.count() == len({c[2] for c in classes(made())})
 
 
+def test_one_of_each_group_of_an_id(spark):
+    """Different texts without a doc_id, or under one that is repeated, each stay; alike ones once."""
+    rng = random.Random(12)
+    a, b, c, d, e = (" ".join(f"{x}{rng.randrange(10**6)}" for _ in range(60)) for x in "abcde")
+    near = a + " more"
+    rows = [(None, a, "a"), (None, b, "a"), (None, b, "b"), (None, near, "a"), (None, "", "a"), (5, c, "a"), (5, d, "a"), (2, c, "a"), (7, e, "a"), (7, e + " more", "a"), (8, " ", "a"), (8, " ", "a"), (8, None, "a")]
+    got = sorted(((r.doc_id, r.text) for r in neardup.one_of_each(docs(spark, rows)).collect()), key=repr)
+    alike = {near: a, e + " more": e, None: ""}
+    want = [(None, a), (None, b), (None, ""), (5, d), (2, c), (7, e), (8, " "), (8, "")]
+    assert sorted(((i, alike.get(t, t)) for i, t in got), key=repr) == sorted(want, key=repr)
+
+
 def test_neardup_of_one_group(spark, monkeypatch):
     """Variants of one text, most pairs of which are not alike, still make the right components, in parts too."""
     rng = random.Random(8)
