@@ -25,9 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curato.llm import shared
+from curato.llm.neardup import class_ids
 
 PERMUTATIONS, WORDS, SEED = 128, 5, 20240229
 NULL_ID = -(2**63)
+#: Classes of a bucket that are compared with as many others at a time.
+MEMBERS = 256
 SCHEMA = "doc_id long, n_chars long, edited_text string, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
@@ -131,40 +134,71 @@ OUT = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_text"
 
 
 def near_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.75, rows: int = 4) -> DataFrame:
-    """a, b, jaccard of texts whose verified shingle sets are alike: each text against the first one of each of its bands.
+    """a, b, jaccard (a <= b) of texts whose verified shingle sets are alike.
 
-    Bands of `rows` components are joined in Spark. A band's texts are paired with its smallest doc_id, not with each other,
-    so the pairs span groups of copies without growing as their square. Texts without words pair with nothing.
+    Texts with equal sets form a class, told by its smallest doc_id; each copy is paired with that one. Of different classes that
+    share a band of `rows` components all pairs are verified, in the first band they share, in blocks of about 2 * MEMBERS classes.
+    So two rows are alike if their classes are the same or paired. a = b tells of two texts under one doc_id. Texts without words
+    or doc_id pair with nothing.
     """
     n = PERMUTATIONS
 
-    def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sets_of(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        data, offsets = shared.text_buffers(batch.column(1))
+        for lo, hi in shared.blocks(offsets):
+            part, at = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+            values, begin = shared.shingle_sets(*shared.word_hashes(part, at), WORDS)
+            yield lo, part, at, values, begin
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = shared.text_buffers(batch.column(1))
-            sig = signatures(data, offsets, n)
-            full = np.flatnonzero((sig != 0xFFFF).any(axis=1))
-            keys = sig[full].reshape(len(full), n // rows, rows).astype(np.uint64)
-            keys = shared.mix(sum(keys[:, :, i] << np.uint64(16 * i) for i in range(rows)) + np.arange(n // rows, dtype=np.uint64) * shared.BASE)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(full, n // rows))), pa.array(keys.ravel().view(np.int64))], names=["at", "band"])
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for lo, data, offsets, values, begin in sets_of(batch):
+                full = np.flatnonzero(np.diff(begin))
+                keys = signatures(data, offsets, n)[full].reshape(len(full), n // rows, rows).astype(np.uint64)
+                keys = shared.mix(sum(keys[:, :, i] << np.uint64(16 * i) for i in range(rows)) + np.arange(n // rows, dtype=np.uint64) * shared.BASE)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(lo + full)), pa.array(class_ids(values, begin)[full]), pa.array(keys.view(np.int64).tolist(), pa.list_(pa.int64()))], names=["at", "c", "bands"])
+
+    def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = []
-            for c in (2, 3):
-                data, offsets = shared.text_buffers(batch.column(c))
-                words, first = shared.word_hashes(data, offsets)
-                sets.append(shared.shingle_sets(words, first, WORDS))
-            (x, xi), (y, yi) = sets
-            both = [len(np.intersect1d(x[xi[i] : xi[i + 1]], y[yi[i] : yi[i + 1]], assume_unique=True)) for i in range(batch.num_rows)]
-            alike = np.array(both) / np.maximum(1, np.diff(xi) + np.diff(yi) - both)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(alike, pa.float64())], names=["a", "b", "jaccard"])
+            for _, _, _, values, begin in sets_of(batch):
+                yield pa.RecordBatch.from_arrays([pa.array(class_ids(values, begin)), pa.array([values[x:y].tobytes() for x, y in zip(begin, begin[1:], strict=False)], pa.binary())], names=["c", "s"])
+
+    def compare(table: pa.Table) -> pa.Table:
+        at, part = table.column("at").to_numpy(), table.column("part").to_numpy()
+        band, i, j = (table.column(x)[0].as_py() for x in ("band", "i", "j"))
+        keys = np.array(table.column("bands").to_pylist())
+        sets = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("s")]
+        ends = np.r_[0, np.cumsum([len(x) for x in sets])]
+        # shingles get numbers once; a set is then a mask over them that the others are looked up in
+        shingles, every = np.unique(np.concatenate(sets), return_inverse=True)
+        here, found = np.zeros(len(shingles), bool), []
+        for u in np.flatnonzero(part == i):
+            meets = (part == j) & ((keys == keys[u]).argmax(axis=1) == band)
+            if i == j:
+                meets[: u + 1] = False
+            own = every[ends[u] : ends[u + 1]]
+            here[own] = True
+            for v in np.flatnonzero(meets):
+                both = int(here[every[ends[v] : ends[v + 1]]].sum())
+                alike = both / (len(sets[u]) + len(sets[v]) - both)
+                if alike >= threshold:
+                    found.append((min(at[u], at[v]), max(at[u], at[v]), alike))
+            here[own] = False
+        return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64()), "jaccard": pa.array([x[2] for x in found], pa.float64())})
 
     own = docs.select(docs[doc_id].cast("long").alias("at"), docs[text].cast("string").alias("text")).where("at is not null")
-    banded = own.mapInArrow(bands, "at long, band long")
-    firsts = banded.groupBy("band").agg(F.min("at").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    pairs = banded.join(firsts, "band").where("a < at").select("a", F.col("at").alias("b")).distinct()
-    both = pairs.join(own.select(F.col("at").alias("b"), F.col("text").alias("y")), "b").join(own.select(F.col("at").alias("a"), F.col("text").alias("x")), "a")
-    return both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long, jaccard double").where(F.col("jaccard") >= threshold)
+    sketched = shared.keep(own.mapInArrow(sketch, "at long, c long, bands array<long>"), "sketch")
+    classes = sketched.groupBy("c").agg(F.min("at").alias("first"), F.first("bands").alias("bands"))
+    copies = sketched.select("at", "c").join(classes.select("c", "first"), "c").where("at > first").select(F.col("first").alias("a"), F.col("at").alias("b"), F.lit(1.0).alias("jaccard")).distinct()
+    banded = classes.select("c", "first", "bands", F.posexplode("bands").alias("band", "key"))
+    sizes = banded.groupBy("band", "key").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("parts"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    part = F.pmod(F.xxhash64("c"), F.col("parts")).cast("int")
+    dealt = banded.join(sizes, ["band", "key"]).withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = shared.keep(dealt.select("band", "key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "c", F.col("first").alias("at"), "bands"), "buckets")
+    wanted = dealt.select("c").distinct()
+    texts = own.join(dealt.select("at").distinct(), "at", "left_semi")
+    sets = texts.mapInArrow(full_sets, "c long, s binary").join(wanted, "c", "left_semi").groupBy("c").agg(F.first("s").alias("s"))
+    return dealt.join(sets, "c").groupBy("band", "key", "i", "j").applyInArrow(compare, "a long, b long, jaccard double").union(copies)
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -160,6 +160,28 @@ def test_near_pairs(table):
         assert abs(r.jaccard - len(x & y) / len(x | y)) < 1e-9 and r.jaccard >= 0.75
 
 
+def test_near_pairs_misses_none(spark, monkeypatch):
+    """All pairs of different texts that are alike, in parts too; copies go with the first of them."""
+    rng = random.Random(9)
+    base, rows = [f"w{i}" for i in range(120)], []
+    for i in range(70):
+        w = list(base)
+        for _ in range(rng.randrange(0, 6)):
+            w[rng.randrange(len(w))] = f"x{rng.random()}"
+        rows.append((i, " ".join(w), "a"))
+    rows += [(100 + i, rows[i][1].replace(" ", "  "), "a") for i in range(0, 70, 9)] + [(200, "", "a"), (201, None, "a"), (202, "", "a"), (1, rows[1][1] + " more", "a")]
+    first = {}
+    for i, t, _ in rows:
+        if s := shingles(t, False):
+            first[s] = min(i, first.get(s, i))
+    want = [(min(p, q), max(p, q), round(len(x & y) / len(x | y), 9)) for k, (x, p) in enumerate(first.items()) for y, q in list(first.items())[:k] if len(x & y) >= 0.75 * len(x | y)]
+    want += {(first[s], i, 1.0) for i, t, _ in rows if (s := shingles(t, False)) and i > first[s]}
+    for members in (256, 16):
+        monkeypatch.setattr(fingerprints, "MEMBERS", members)
+        got = [(r.a, r.b, round(r.jaccard, 9)) for r in fingerprints.near_pairs(docs(spark, rows)).collect()]
+        assert len(want) > 100 and sorted(got) == sorted(want)
+
+
 def test_toxic_clauses():
     def events(text):
         import pyarrow as pa
