@@ -5,12 +5,13 @@ fitted on at most SAMPLE vectors and cut all nodes into leaves of about LEAF; a
 Inside a part each node's K nearest are found by blocks of matrix products. NN-descent then improves the graph by Spark
 joins: each node is a pivot whose neighbours, and those that have it as neighbour, meet there as neighbours of neighbours and
 offer each other what is nearer than their present worst; a pivot takes up to MEET of them, chosen by a hash that changes
-each round. Queries search the graph greedily: a query holds the EF nearest nodes found, each round expands its STEP nearest
+each round, and rounds go on until hardly an entry of the lists changes. Queries search the graph greedily: a query holds the EF
+nearest nodes found, and EF_A_LEVEL more for each level of the trees, each round expands its STEP nearest
 unexpanded ones by a join with the graph, and it rests when none is left. Distances of descent and search use one byte a
 component; the RERANK nearest of each query are measured on the original vectors in double precision.
 
 No table is broadcast and no step compares all queries with all nodes: the work of a node or query does not depend on how
-many there are, apart from a few more rounds of search.
+many there are, apart from more rounds of descent and search and longer pools, by the level.
 
 Defined results: vectors that are null, empty, all zero, hold null or non-finite components, or have another length than most
 vectors (of equally common lengths the longest) take no part, neither as query nor as candidate; nor do rows without id.
@@ -31,7 +32,9 @@ from pyspark.sql import functions as F
 from curato.llm import shared
 
 K, TREES, LEAF, SAMPLE, ROUNDS, MEET, OFFERS = 32, 6, 8192, 20_000, 2, 32, 5
-EF, STEP, RERANK, SEED = 128, 32, 32, 41
+EF, EF_A_LEVEL, STEP, RERANK, SEED = 128, 32, 32, 32, 41
+#: Descent ends after the first of its rounds, but ROUNDS at least, that changes a smaller share of the list entries.
+SETTLED = 0.002
 LISTS = "u long, ids array<long>, scores array<float>"
 
 
@@ -103,9 +106,13 @@ def pack_units(df: DataFrame) -> DataFrame:
     return df.mapInArrow(work, "node long, e array<double>, members array<long>, q binary")
 
 
+def depth_of(n: int, leaf: int) -> int:
+    return max(0, math.ceil(math.log2(max(1, n / leaf))))
+
+
 def trees_of(sample: np.ndarray, n: int, trees: int, leaf: int) -> list[list[tuple[np.ndarray, np.ndarray]]]:
     """For each tree and level: hyperplanes (one a level) and the median of each cell, by cell number."""
-    rng, depth, out = np.random.default_rng(SEED), max(0, math.ceil(math.log2(max(1, n / leaf)))), []
+    rng, depth, out = np.random.default_rng(SEED), depth_of(n, leaf), []
     for _ in range(trees):
         cell, levels = np.zeros(len(sample), np.int64), []
         for d in range(depth):
@@ -199,7 +206,26 @@ def descend(graph: DataFrame, nodes: DataFrame, turn: int) -> DataFrame:
     return merged(graph.union(offers))
 
 
-def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame) -> DataFrame:
+def changed(old: DataFrame, new: DataFrame) -> float:
+    """The share of entries of the new lists that the old ones did not have."""
+    both = new.join(old.select("u", F.col("ids").alias("had")), "u", "left")
+    got, total = both.agg(F.sum(F.size(F.array_except("ids", F.coalesce("had", F.array().cast("array<long>"))))), F.sum(F.size("ids"))).first()
+    return (got or 0) / max(1, total or 0)
+
+
+def settled_graph(nodes: DataFrame, n: int) -> DataFrame:
+    """The first graph, improved by rounds of descent until hardly an entry changes."""
+    graph, turn, share = first_graph(nodes, n), 0, 1.0
+    while turn < ROUNDS or share > SETTLED:
+        last, graph = graph, descend(graph, nodes, turn)
+        turn += 1
+        if turn >= ROUNDS:
+            share = changed(last, graph)
+        shared.forget(last)
+    return graph
+
+
+def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, ef: int = EF) -> DataFrame:
     """u, ids: for each query node the nearest nodes found, nearest first."""
     state = "u long, q binary, ids array<long>, scores array<float>, open array<boolean>"
     start = queries.join(nodes.select("node", "q"), "node").join(graph, F.col("node") == F.col("u"), "left").select(F.col("node").alias("u"), "q", F.coalesce("ids", F.array().cast("array<long>")).alias("ids"), F.coalesce("scores", F.array().cast("array<float>")).alias("scores"), F.coalesce(F.transform("ids", lambda x: F.lit(True)), F.array().cast("array<boolean>")).alias("open"))
@@ -232,7 +258,7 @@ def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame) -> DataFrame:
                     if fresh:
                         found = unit([x[i] for i in fresh], "i1") @ unit([q], "i1")[0]
                         ids, scores, open_ = ids + [w[i] for i in fresh], scores + found.tolist(), open_ + [True] * len(fresh)
-                    by = sorted(range(len(ids)), key=lambda i: (-scores[i], ids[i]))[:EF]
+                    by = sorted(range(len(ids)), key=lambda i: (-scores[i], ids[i]))[:ef]
                     made.append((int(u[a]), q, [ids[i] for i in by], [scores[i] for i in by], [open_[i] for i in by]))
                 types = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.float32()), pa.list_(pa.bool_())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made), types, strict=True)], names=["u", "q", "ids", "scores", "open"])
@@ -250,10 +276,7 @@ def nearest_neighbours(vectors: DataFrame, every: int = 50, k: int = 5, vec_id:
     nodes = shared.keep(pack_units(firsts.select(F.element_at("members", 1).alias("node"), "e", "members")), "nodes")
     asked = shared.keep(rows.where(F.col("vec_id") % every == 0).join(nodes.select("node", "e"), "e").select("vec_id", "node"), "queries")
     n = nodes.count()
-    graph = first_graph(nodes, n)
-    for turn in range(ROUNDS):
-        graph = descend(graph, nodes, turn)
-    found = search(graph, nodes, asked.select("node").distinct())
+    found = search(settled_graph(nodes, n), nodes, asked.select("node").distinct(), EF + EF_A_LEVEL * depth_of(n, LEAF))
     # a query's own node counts: other rows may hold the same vector
     pairs = found.select("u", F.explode(F.concat(F.array("u"), F.slice("ids", 1, RERANK))).alias("v"))
     square = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)

@@ -360,6 +360,22 @@ def test_neighbours(spark, monkeypatch):
     assert neighbours.nearest_neighbours(df.limit(0)).count() == 0
 
 
+def test_descent_goes_on_until_settled(spark, monkeypatch):
+    """With many leaves two rounds leave most lists unfinished."""
+    monkeypatch.setattr(neighbours, "LEAF", 24)
+    monkeypatch.setattr(neighbours, "TREES", 2)
+    graphs, search = [], neighbours.search
+    monkeypatch.setattr(neighbours, "search", lambda graph, *rest: (graphs.append(graph), search(graph, *rest))[1])
+    x = np.random.default_rng(4).normal(size=(3000, 64))
+    neighbours.nearest_neighbours(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>"))
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    s = x @ x.T
+    np.fill_diagonal(s, -1)
+    best = np.argsort(-s, axis=1)[:, : neighbours.K]
+    hit = sum(len(set(r.ids) & set(best[r.u].tolist())) for r in graphs[0].collect())
+    assert hit >= 0.9 * best.size
+
+
 def test_queries_against_sql(spark, sf):
     import compare
 
