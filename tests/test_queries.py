@@ -25,3 +25,16 @@ def test_against_sql(name, spark, sf, con):
 def test_runs(name, spark, sf):
     df = ALL[name][0](spark, sf)
     assert df.columns and df.select(F.count(F.lit(1))).first()[0] >= 0
+
+
+@pytest.mark.parametrize("name", ["f25_chinese_patent", "l16_key_sentences"])
+def test_sees_every_document(name, spark, sf):
+    # the patent splitter finds no section in texts of a few characters
+    every = {r[0] for r in spark.read.parquet(f"{sf}/documents.parquet").where("length(text) >= 40").select("doc_id").collect()}
+    assert {r[0] for r in ALL[name][0](spark, sf).select("doc_id").collect()} >= every
+
+
+def test_simhash_dedup_keeps_long_questions(spark, tmp_path):
+    texts = ["a short one. yes", "a short one. no", " ".join(f"word{i}" for i in range(200))]
+    spark.createDataFrame([(i, x, "en", "s") for i, x in enumerate(texts)], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r.id for r in ALL["d04_simhash"][0](spark, str(tmp_path)).collect()} == {0, 2}
