@@ -155,7 +155,7 @@ def near_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thre
             for lo, data, offsets, values, begin in sets_of(batch):
                 full = np.flatnonzero(np.diff(begin))
                 keys = signatures(data, offsets, n)[full].reshape(len(full), n // rows, rows).astype(np.uint64)
-                keys = shared.mix(sum(keys[:, :, i] << np.uint64(16 * i) for i in range(rows)) + np.arange(n // rows, dtype=np.uint64) * shared.BASE)
+                keys = shared.mix(sum(keys[:, :, i] << np.uint64(16 * i) for i in range(rows)) + np.arange(n // rows, dtype=np.uint64) * shared.GOLD)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(lo + full)), pa.array(class_ids(values, begin)[full]), pa.array(keys.view(np.int64).tolist(), pa.list_(pa.int64()))], names=["at", "c", "bands"])
 
     def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

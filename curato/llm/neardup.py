@@ -33,7 +33,6 @@ SLOTS, BAND, WORDS, THRESHOLD = 128, 4, 5, 75
 ORDERS, MEMBERS_PER_PART = 4, 1024
 NULL_ID = -(2**63)
 FULL = np.uint64(2**64 - 1)
-GOLD = np.uint64(0x9E3779B97F4A7C15)
 #: Elements that walk their permutations at a time.
 WALKERS = 1 << 16
 
@@ -54,7 +53,7 @@ def _walk(values: np.ndarray, counts: np.ndarray, out: np.ndarray, m: int) -> No
     mask, half = np.uint64(2**32 - 1), np.uint64(32)
     way = None
     for j in range(m):
-        drawn = shared.mix(values + np.uint64(int(GOLD) * (j + 1) % 2**64))
+        drawn = shared.mix(values + np.uint64(int(shared.GOLD) * (j + 1) % 2**64))
         k = (j + (((drawn & mask) * np.uint64(m - j)) >> half)).astype(np.int64)
         if way is None:
             slot = k
@@ -99,7 +98,7 @@ def class_ids(values: np.ndarray, begin: np.ndarray) -> np.ndarray:
     some = np.flatnonzero(n)
     out = np.zeros(len(n), np.uint64)
     if len(some):
-        once = shared.mix(values ^ GOLD)
+        once = shared.mix(values ^ shared.GOLD)
         out[some] = shared.mix(np.add.reduceat(once, begin[some]) ^ shared.mix(np.bitwise_xor.reduceat(shared.mix(once), begin[some]) + n[some].astype(np.uint64)))
     return out.view(np.int64)
 
@@ -110,7 +109,7 @@ def sketch(batches: Iterator[pa.RecordBatch], k: int = WORDS) -> Iterator[pa.Rec
         for lo, values, begin in sets_of(batch.column(1), k):
             n = np.diff(begin)
             sig = superminhash(values, begin).reshape(len(n), SLOTS // BAND, BAND)
-            keys = np.arange(1, SLOTS // BAND + 1, dtype=np.uint64)[None, :] * GOLD
+            keys = np.arange(1, SLOTS // BAND + 1, dtype=np.uint64)[None, :] * shared.GOLD
             for i in range(BAND):
                 keys = shared.mix(keys + sig[:, :, i])
             ids, h = (batch.column(i).slice(lo, len(n)) for i in (0, 2))

@@ -1,12 +1,15 @@
 """Scratch tables in the cluster's shared folder, and hashing of whole Arrow text columns in numpy.
 
 Words are maximal runs of bytes outside space and tab..carriage return, which in UTF-8 is the same as the pattern
-``[^\\x20\\x09-\\x0D]+`` over code points. All of them are hashed at once: bytes weighted by powers of an odd base are summed
-per word, and word hashes weighted in the same manner are summed per window (Rabin-Karp), all modulo 2**64.
+``[^\\x20\\x09-\\x0D]+`` over code points. All of them are hashed at once: bytes weighted by drawn odd numbers, one a place,
+are summed per word, and word hashes weighted by powers of an odd base are summed per window (Rabin-Karp), all modulo 2**64.
+Powers would not do for bytes: words built like the Thue-Morse sequence have equal sums under any odd base. A long document
+is hashed in pieces that end at blanks, so arrays of a byte's size never follow the length of a text.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -19,7 +22,7 @@ from pyspark.sql import functions as F
 
 #: Text bytes hashed at a time; temporary arrays take about thirty times as much.
 BLOCK_BYTES = 2 << 20
-BASE, ROLL = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
+GOLD, ROLL = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
 SPACE = np.zeros(256, bool)
 SPACE[[32, *range(9, 14)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -27,9 +30,12 @@ LOWER[65:91] += 32
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir, or a temporary one where that is unset and all
+    runs on this machine."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="scratch-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -104,6 +110,27 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     return np.multiply.accumulate(p)
 
 
+def place_weights(n: int) -> np.ndarray:
+    """An odd number for each place of a byte in its word."""
+    return mix(np.arange(1, n + 1, dtype=np.uint64) * GOLD) | np.uint64(1)
+
+
+def pieces(data: np.ndarray, blank: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of at most so many bytes that end behind a blank, or at the end; a longer run without blanks is one range."""
+    lo = 0
+    while lo < len(data):
+        hi = min(len(data), lo + most)
+        if hi < len(data):
+            if len(gap := np.flatnonzero(blank[data[lo:hi]])):
+                hi = lo + int(gap[-1]) + 1
+            else:
+                while hi < len(data) and not blank[data[hi - 1]]:
+                    at = np.flatnonzero(blank[data[hi : hi + most]])
+                    hi = hi + int(at[0]) + 1 if len(at) else min(len(data), hi + most)
+        yield lo, hi
+        lo = hi
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """A hash for each word, and the number of the first word of each document (one more at the end)."""
     hashes, starts = hashed_words(data, offsets, lower, SPACE)
@@ -112,14 +139,18 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> t
 
 def hashed_words(data: np.ndarray, offsets: np.ndarray, lower: bool, blank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A hash for each run of bytes that are not blank, and the byte at which it starts; runs end with their document."""
-    if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    if lower:
-        data = LOWER[data]
+    parts = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+    for lo, hi in pieces(data, blank, 2 * BLOCK_BYTES):
+        inner = offsets[(offsets > lo) & (offsets < hi)] - lo
+        hashes, starts = _hashed_piece(LOWER[data[lo:hi]] if lower else data[lo:hi], inner, blank)
+        parts.append((hashes, starts + lo))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _hashed_piece(data: np.ndarray, inner: np.ndarray, blank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     word = ~blank[data]
     opens = word.copy()
     opens[1:] &= ~word[:-1]
-    inner = offsets[(offsets > 0) & (offsets < len(data))]
     opens[inner] = word[inner]
     starts = np.flatnonzero(opens)
     if not len(starts):
@@ -127,7 +158,7 @@ def hashed_words(data: np.ndarray, offsets: np.ndarray, lower: bool, blank: np.n
     # bytes before the first word are blank; the others count from the start of the word before them
     inside = np.arange(len(data)) - np.repeat(np.r_[0, starts], np.diff(np.r_[0, starts, len(data)]))
     inside[~word] = 0
-    value = (data.astype(np.uint64) + np.uint64(1)) * powers(BASE, int(inside.max()) + 1)[inside]
+    value = (data.astype(np.uint64) + np.uint64(1)) * place_weights(int(inside.max()) + 1)[inside]
     value[~word] = 0
     return mix(np.add.reduceat(value, starts)), starts
 

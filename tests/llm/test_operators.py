@@ -4,9 +4,11 @@ import collections
 import hashlib
 import math
 import random
+import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -182,21 +184,80 @@ def test_near_pairs_misses_none(spark, monkeypatch):
         assert len(want) > 100 and sorted(got) == sorted(want)
 
 
-def test_toxic_clauses():
-    def events(text):
-        import pyarrow as pa
+def toxic_events(text, learned=()):
+    c = toxicity.count_events(pa.array([text]), toxicity.Lexicon(list(learned)), toxicity.Machine())[0]
+    return {e: int(n) for e, n in zip(toxicity.EVENTS, c, strict=True) if n}
 
-        h, k = toxicity.lexicon([])
-        c = toxicity.count_events(pa.array([text]), h, k, toxicity.Machine())[0]
-        return {e: int(n) for e, n in zip(toxicity.EVENTS, c, strict=True) if n}
 
-    assert events("What an idiot.") == {"insult": 1}
-    assert events("You are an IDIOT$$$!") == {"directed_insult": 1}
-    assert events("He is not stupid. You moron") == {"negated": 1, "directed_insult": 1}
-    assert events("she said the loser left") == {"reported": 1} or events("she said the loser left") == {"directed_insult": 1}
-    assert events("I will kill you") == {"directed_threat": 1}
-    assert events("It will kill time") == {"threat": 1}
-    assert events("") == {} and events("idiotically clownish") == {}
+def test_toxic_clauses():
+    assert toxic_events("What an idiot.") == {"insult": 1}
+    assert toxic_events("You are an IDIOT$$$!") == {"insult": 1, "directed_insult": 1}
+    assert toxic_events("He is not stupid. You moron") == {"negated_insult": 1, "insult": 1, "directed_insult": 1}
+    assert toxic_events("she said the loser left") == {"reported_insult": 1}
+    assert toxic_events("I will kill you") == {"threat": 1, "directed_threat": 1}
+    assert toxic_events("It will kill time") == {"threat": 1}
+    assert toxic_events("") == {} and toxic_events("idiotically clownish") == {}
+    assert toxic_events("CRÉTINE. idiot. idiot. idiot. idiot") == {"insult": 3}
+
+
+def test_toxic_stems():
+    stems = ["réeux-", "zorgle"]
+    assert toxic_events("réeux Réeuxpa RÉEUXCH. préeuxa", stems) == {"stem": 2}
+    assert toxic_events("zorgle zorgles not zorgle", stems) == {"stem": 1, "negated_stem": 1}
+    assert toxic_events("idiot", ["idiot", "idi-"]) == {"insult": 1}
+
+
+def plain_events(text):
+    """The grammar once more, word by word without transducers."""
+    out = collections.Counter()
+    for clause in re.split(r"[.!?;\n]", text):
+        kinds = [next((k for k, own in (("insult", toxicity.INSULTS), ("threat", toxicity.THREATS), ("target", toxicity.TARGETS), ("negation", toxicity.NEGATIONS), ("report", toxicity.REPORTS)) if w in own), "other") for w in re.findall(r"[^\W\d_]+", clause.lower())]
+        if "insult" not in kinds and "threat" not in kinds:
+            continue
+        # what each transducer reads is what the one before it writes
+        for marker, how, reach in (("negation", "negated", 4), ("report", "reported", 99)):
+            left, row = 0, []
+            for k in kinds:
+                if k == marker:
+                    left = reach
+                    continue
+                row.append(f"{how}_{k}" if left and k in ("insult", "threat") else k)
+                left = max(0, left - 1)
+            kinds = row
+        near, used = 4, set()
+        wait, left, age = None, 0, 0
+        hit = {}
+        for i, k in enumerate(kinds):
+            if k == "target":
+                if wait is not None:
+                    hit[wait] = True
+                wait, left = None, near
+            elif k in ("insult", "threat"):
+                hit[i], wait, age = left > 0, None if left > 0 else i, 0
+                left = max(0, left - 1)
+                if not hit[i]:
+                    left = 0
+            else:
+                left = max(0, left - 1)
+                age += 1
+                if age >= near:
+                    wait = None
+        for family in ("insult", "threat"):
+            for n, i in enumerate(i for i in hit if kinds[i] == family):
+                if n < 3:
+                    out[family] += 1
+                    out[f"directed_{family}"] += hit[i]
+        out.update(k for k in kinds if k.startswith(("negated_", "reported_")))
+    caps = dict(zip(toxicity.EVENTS, toxicity.CAP.tolist(), strict=True))
+    return {e: min(n, caps[e]) for e, n in out.items() if n}
+
+
+def test_toxic_grammar_against_a_plain_reading():
+    rng = random.Random(6)
+    words = "idiot kill you not said the tree moron they never wrote hill".split()
+    for _ in range(1500):
+        text = " ".join(rng.choice(words) + rng.choice(["", "", "", "", ".", ","]) for _ in range(rng.randrange(1, 14)))
+        assert toxic_events(text) == plain_events(text), text
 
 
 def test_toxicity(spark, empty):
@@ -207,13 +268,64 @@ def test_toxicity(spark, empty):
     got = {r.doc_id: r for r in toxicity.score_documents(docs(spark, rows), labels).collect()}
     assert len(got) == 903 and all(got[i].predicted == (i % 3 == 0) for i in range(900)) and got[900].score == got[901].score < 0.7
     assert all(got[i].held_out == (zlib.crc32(str(i).encode()) % 3 == 1) for i in range(900)) and got[None].held_out is False
-    model, _ = toxicity.train(docs(spark, rows), labels)
-    assert "zorgle" in model.learned
-    kept = toxicity.keep_clean(docs(spark, rows), labels)
-    assert kept.columns == docs(spark, rows).columns and kept.where("doc_id % 3 = 0 and doc_id < 900").count() == 0 and kept.where("doc_id % 3 != 0").count() == 600 + 1
+    assert toxicity.train(docs(spark, rows), labels).learned == ["zorgle"]
+    odd = docs(spark, rows).withColumns({"events": F.lit("x"), "SCORE": F.lit(1), "__events": F.lit(2), "tid": F.lit(3), "vote": F.lit(4)})
+    kept = toxicity.keep_clean(odd, labels)
+    assert kept.columns == odd.columns and kept.where("doc_id % 3 = 0 and doc_id < 900").count() == 0 and kept.where("doc_id % 3 != 0").count() == 600 + 1
     assert toxicity.score_documents(empty, labels).count() == 0 and toxicity.score_documents(docs(spark, rows), labels.limit(0)).count() == 903
 
 
+def test_toxicity_of_inflected_words(spark):
+    """In three languages, on rows whose labels were not read; near copies of a toxic text teach nothing about its other words."""
+    rng = random.Random(7)
+    parts = {"fr": "eau tre ment éré oi que", "de": "ung keit schaft über lich ße", "es": "ción ado íos mente lla ñez"}
+    stems = {"fr": "zéroux", "de": "gräbt", "es": "ñobal"}
+    rows, labels = [], []
+    for i in range(1500):
+        lang = ("fr", "de", "es")[i % 3]
+        syllables = parts[lang].split()
+        word = lambda s=syllables: "".join(rng.choice(s) for _ in range(rng.randrange(1, 5)))
+        w, toxic = [word() for _ in range(60)], int(rng.random() < 0.15)
+        for _ in range(rng.randrange(2, 5) if toxic else rng.random() < 0.05):
+            w[rng.randrange(60)] = stems[lang] + rng.choice(syllables)
+        rows.append((i, " ".join(w), "a"))
+        labels.append((i, 1, toxic))
+    copied = next(t for (_, t, _), (_, _, y) in zip(rows, labels, strict=True) if y).split()
+    for i in range(1500, 1900):
+        w = list(copied)
+        w[rng.randrange(60)] = "eautre"
+        rows.append((i, " ".join(w), "a"))
+        labels.append((i, 1, 1))
+    made, told = docs(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    assert sorted(toxicity.train(made, told).learned) == sorted(f"{s}-" for s in stems.values())
+    truth = {i: y for i, _, y in labels}
+    got = [(r.doc_id % 3, truth[r.doc_id], r.predicted) for r in toxicity.score_documents(made, told).collect() if r.held_out and r.doc_id < 1500]
+    for lang in range(3):
+        own = [(y, p) for k, y, p in got if k == lang]
+        assert sum(y and p for y, p in own) >= 0.9 * sum(y for y, _ in own) and sum(p and not y for y, p in own) <= 0.02 * len(own)
+
+
+def test_long_texts_are_hashed_in_pieces(monkeypatch):
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choice("abcéx") for _ in range(rng.randrange(1, 9))) for _ in range(3000)), "", "x" * 5000, "a b", " " * 4000 + "end"]
+
+    data, offsets = shared.text_buffers(pa.array(texts))
+    whole = shared.word_hashes(data, offsets, True)
+    raw = pa.array(["you idiot. " * 500 + "no " * 900 + "they said moron"])
+    events = toxicity.count_events(raw, toxicity.Lexicon(["an-"]), toxicity.Machine())
+    monkeypatch.setattr(shared, "BLOCK_BYTES", 64)
+    for x, y in zip(whole, shared.word_hashes(data, offsets, True), strict=True):
+        assert (x == y).all()
+    assert (events == toxicity.count_events(raw, toxicity.Lexicon(["an-"]), toxicity.Machine())).all() and events.sum() > 4
+
+
+def test_word_hashes_have_no_built_in_collisions():
+    """Words made like the Thue-Morse sequence and its complement have equal sums under powers of any odd base."""
+    t = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    hashes, _ = shared.word_hashes(*shared.text_buffers(pa.array([t + " " + t.translate({97: 98, 98: 97})])))
+    assert hashes[0] != hashes[1]
+
+
 def test_targets():
     assert mixing.targets([10, 10, 10], [3, 1, 2], 45, 2) == pytest.approx([20, 25 / 3, 50 / 3])
     assert mixing.targets([10, 0], [1, 1], 15, 2) == [15, 0] and mixing.targets([1, 1], [1, 1], 99, 2) == [2, 2]
