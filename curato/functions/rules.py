@@ -195,14 +195,6 @@ def triple_fault(relation: C, head_type: C, tail_type: C, relations: list[str] |
     return first_rule(rules, None)
 
 
-def retrieval_score(q: C, a: C) -> Column:
-    """F-20: how much an answer calls for sources: numbers, years, length, names, doubt."""
-    return (
-        F.when(F.length(col(a)) > 300, 1.0).otherwise(0.0) + F.when(col(a).rlike(r"\d+(\.\d+)?%?"), 1.0).otherwise(0.0) + F.when(col(a).rlike(r"\b(19|20)\d{2}\b"), 0.5).otherwise(0.0)
-        + F.when(any_of(F.lower(col(q)), ["latest", "recent", "最新", "近年", "研究进展"]), 2.0).otherwise(0.0) + F.when(any_of(F.lower(col(a)), ["may", "might", "可能", "尚不清楚"]), 0.5).otherwise(0.0)
-    )
-
-
 def search(df: DataFrame, contains: dict[str, str | None] = {}, equals: dict[str, object] = {}) -> DataFrame:  # noqa: B006
     """F-22, F-24: filters for the parameters that are given."""
     for c, v in contains.items():
@@ -222,16 +214,6 @@ def all_done(required: C, done: C) -> Column:
     return F.size(F.array_except(col(required), col(done))) == 0
 
 
-def meta_claim(c: C) -> Column:
-    """F-28: a claim about the evidence instead of the matter."""
-    return safe(any_of(F.lower(col(c)), ["evidence", "no information", "not mentioned", "unknown", "证据", "未提及"]))
-
-
-def polarity(c: C) -> Column:
-    """F-28: negative by a word of negation, else positive."""
-    return F.when(matches_any(F.lower(col(c)), [r"\b(not|no|never|without|lacks?)\b", "不|无|没有|未"]), "negative").otherwise("positive")
-
-
 def suspicious_tokens(c: C, allowed: C) -> Column:
     """F-29: names in a text that no allowed entity contains, and that contain none."""
     tokens = F.array_distinct(F.regexp_extract_all(col(c), F.lit(r"\b([A-Z][A-Za-z0-9\-]{2,})\b"), 1))

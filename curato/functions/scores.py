@@ -108,18 +108,6 @@ def quality_level(total: Column) -> Column:
     return first_rule([(total >= 90, "优秀"), (total >= 75, "良好"), (total >= 60, "可接受")], "较差")
 
 
-def patent_score(q: C, a: C) -> Column:
-    """Q-02: five dimensions of 20, 25, 20, 15 and 20 points and a grade."""
-    x, y = text_or_empty(q), text_or_empty(a)
-    n, m = F.length(x), F.length(y)
-    parts = {
-        "length": ladder(n, ((n >= 10) & (n <= 200) & (m >= 50), 20), ((n >= 8) & (m >= 20), 12), otherwise=4), "relevance": F.least(F.lit(25.0), soft_relevance(x, y) * 50),
-        "technical": F.least(F.lit(20.0), count_words_in(F.lower(y), W.TECHNICAL) * 4.0), "clarity": clarity_score(x, y) * 0.15, "structure": ladder(m, (F.size(sentences(y, "[。！？.!?]")) >= 2, 20), otherwise=8),
-    }
-    total = reduce(lambda s, v: s + v, parts.values(), F.lit(0.0))
-    return F.struct(F.bround(total, 2).alias("total"), first_rule([(total >= 90, "A"), (total >= 80, "B"), (total >= 70, "C"), (total >= 60, "D")], "E").alias("grade"), *[F.bround(v, 2).alias(k) for k, v in parts.items()])
-
-
 def heuristic_score(q: C, a: C) -> Column:
     """Q-03: .35 + .4 of the overlap + .25 (1 - e^(-length/180)); 0 without tokens on a side."""
     x, y = F.array_distinct(similarity_tokens(q)), F.array_distinct(similarity_tokens(a))
@@ -181,13 +169,6 @@ def difficulty(given: C, q: C) -> Column:
     return F.when(F.lower(col(given)).isin("easy", "medium", "hard"), F.lower(col(given))).when(n < 40, "easy").when(n < 80, "medium").otherwise("hard")
 
 
-def think_mode(q: C) -> Column:
-    """P-58: effort by length and words."""
-    n = F.size(words_of(q)) + F.regexp_count(col(q), F.lit("[一-鿿]")) / 2
-    hard = any_of(F.lower(col(q)), ["why", "mechanism", "compare", "为什么", "机制", "比较", "分析", "调控"])
-    return F.when(hard & (n > 20), "high").when(hard | (n > 40), "medium").otherwise("low")
-
-
 def fit_difficulty(complexity_: C, suitable: C, level: C, base: C) -> Column:
     """P-60: the base where a strategy suits it, else by the seed's complexity."""
     has = lambda d: F.array_contains(col(suitable), d)

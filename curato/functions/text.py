@@ -129,16 +129,6 @@ def heading_level(c: C) -> Column:
     return F.when(number != "", F.regexp_count(number, F.lit(r"\.")) + 1)
 
 
-def numeric_prefix(c: C) -> Column:
-    """P-13: the number of a heading, or null."""
-    return F.nullif(F.regexp_extract(strip(c), r"^([0-9]+(?:[.\-][0-9]+)*)", 1), F.lit(""))
-
-
-def core_title(c: C) -> Column:
-    """P-13: a heading without number, chapter word and page number."""
-    return clean_title(replace_all(strip(c), (r"^第\s*[一二三四五六七八九十百零0-9]+\s*[章节篇部]\s*", "")), True)
-
-
 def only_numbers_and_symbols(c: C) -> Column:
     """P-14: a line without a letter of any script."""
     return F.coalesce(~strip(c).rlike(r"\p{L}"), F.lit(True))

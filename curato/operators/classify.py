@@ -53,20 +53,35 @@ def keyword(c: C, words: list[str], excluded: list[str], least: int = 2) -> Colu
 def bm25(df: DataFrame, key: str, text: str, keywords: list[str], excluded: list[str]) -> DataFrame:
     """C-01: key, score: the best score of a keyword in a sentence; 0 for texts with an excluded context.
 
-    Keywords are a small table that sentences meet by a hash join on their words; a keyword's terms are added up. A doubtful
-    term with words of another field within five words of it makes its keyword worth nothing in that sentence.
+    A sentence's words are counted where they are: only the terms that it has leave the row, and no other word is shuffled. A
+    keyword's terms are added up. A doubtful term with words of another field within five words of it makes its keyword worth
+    nothing in that sentence; sentences without a doubtful term are not looked at for that.
     """
     spark = df.sparkSession
     idf = math.log(len(keywords) + 1) + 1
-    terms = spark.createDataFrame([(k, t) for k in keywords for t in k.lower().split()], "keyword string, term string").distinct()
-    parts = df.where(~any_of(F.lower(text), excluded) if excluded else F.lit(True)).select(key, F.posexplode(sentences(text)).alias("pos", "s"))
-    words = parts.select(key, "pos", F.lower("s").alias("s"), F.filter(F.regexp_extract_all(F.lower("s"), F.lit(r"\b([a-z]+)\b"), 1), lambda w: F.length(w) >= 2).alias("w"), F.split(F.lower("s"), r"\s+").alias("all")).where("size(w) > 0")
-    doubt = lambda t: (F.array_position("all", t) > 0) & any_of(F.array_join(F.slice("all", F.greatest(F.lit(1), F.array_position("all", t).cast("int") - 5), F.least(F.array_position("all", t).cast("int") - 1, F.lit(5)) + 6), " "), OTHER_CONTEXTS)
-    veto = F.array_compact(F.array(*[F.when(doubt(F.lit(t)), F.lit(t)) for t in DOUBTFUL]))
-    tf = words.select(key, "pos", F.size("w").alias("n"), veto.alias("veto"), F.explode("w").alias("term")).groupBy(key, "pos", "n", "veto", "term").agg(F.count(F.lit(1)).alias("tf"))
-    met = tf.join(terms, "term")
+    of = [(k, t) for k in keywords for t in k.lower().split()]
+    terms = sorted({t for _, t in of})
+    doubtful = [t for t in DOUBTFUL if t in terms]
+    parts = df.where(~any_of(F.lower(text), excluded) if excluded else F.lit(True)).select(key, F.posexplode(sentences(text)).alias("pos", "s")).select(key, "pos", F.lower("s").alias("s"))
+    # a sentence without any term is left before its words are looked at
+    found = parts.where(any_of("s", terms)).select(key, "pos", "s", F.filter(F.regexp_extract_all("s", F.lit(r"\b([a-z]+)\b"), 1), lambda w: F.length(w) >= 2).alias("w"))
+    hits = found.select(key, "pos", "s", F.size("w").alias("n"), F.filter("w", lambda w: w.isin(*terms)).alias("h")).where("size(h) > 0")
+    if doubtful:
+        words = F.split("s", r"\s+")
+        at = lambda t: F.array_position("all", t).cast("int")
+        near = lambda t: (at(t) > 0) & any_of(F.array_join(F.slice("all", F.greatest(F.lit(1), at(t) - 5), F.least(at(t) - 1, F.lit(5)) + 6), " "), OTHER_CONTEXTS)
+        hits = hits.withColumn("all", F.when(F.arrays_overlap("h", F.array(*[F.lit(t) for t in doubtful])), words))
+        veto = F.array_compact(F.array(*[F.when(near(F.lit(t)), F.lit(t)) for t in doubtful]))
+        hits = hits.withColumn("veto", F.when(F.col("all").isNotNull(), veto).otherwise(F.array().cast("array<string>")))
+    else:
+        hits = hits.withColumn("veto", F.array().cast("array<string>"))
+    tf = F.transform(F.array_distinct("h"), lambda t: F.struct(t.alias("term"), F.size(F.filter("h", lambda w: w == t)).alias("tf"), F.array_contains("veto", t).alias("bad")))
+    met = hits.select(key, "pos", "n", F.explode(tf).alias("t")).select(key, "pos", "n", "t.*").join(F.broadcast(spark.createDataFrame(of, "keyword string, term string").distinct()), "term")
     worth = F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("n") / MEAN_WORDS)) * idf
-    per = met.groupBy(key, "pos", "keyword").agg(F.sum(worth).alias("score"), F.max(F.array_contains("veto", F.col("term"))).alias("bad")).where("not bad")
+    if all(len(k.split()) == 1 for k in keywords):
+        per = met.where("not bad").select(key, worth.alias("score"))
+    else:
+        per = met.groupBy(key, "pos", "keyword").agg(F.sum(worth).alias("score"), F.max("bad").alias("bad")).where("not bad")
     best = per.groupBy(key).agg(F.max("score").alias("score"))
     return df.select(key).join(best, key, "left").select(key, F.coalesce("score", F.lit(0.0)).alias("score"))
 

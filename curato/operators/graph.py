@@ -53,13 +53,14 @@ def explained(nodes: Column, rels: Column) -> Column:
     return F.concat(F.element_at(nodes, 1).cast("string"), F.array_join(F.transform(rels, lambda r, i: F.concat(F.lit(" -["), r, F.lit("]-> "), F.element_at(nodes, i + 2).cast("string"))), ""))
 
 
-def distances(edges: DataFrame, starts: DataFrame, cutoff: int = 5) -> DataFrame:
-    """G-05, A-33: fewest hops from each start to each node, up to a cutoff."""
+def distances(edges: DataFrame, starts: DataFrame, cutoff: int | None = 5) -> DataFrame:
+    """G-05, A-33: fewest hops from each start to each node, up to a cutoff if there is one."""
     front = starts.select(F.col("id").alias("start"), F.col("id").alias("at")).distinct()
     seen = stored(front.withColumn("d", F.lit(0)))
     links = edges.select("src", "dst").distinct()
-    front = seen
-    for d in range(1, cutoff + 1):
+    front, d = seen, 0
+    while cutoff is None or d < cutoff:
+        d += 1
         new = front.join(links, front["at"] == links["src"]).select("start", F.col("dst").alias("at")).distinct().join(seen.select("start", "at"), ["start", "at"], "left_anti")
         front = stored(new.withColumn("d", F.lit(d)))
         if front.isEmpty():
@@ -92,7 +93,7 @@ def eigenvector(edges: DataFrame, rounds: int = 30) -> DataFrame:
     return now
 
 
-def betweenness(edges: DataFrame, sources: DataFrame, cutoff: int = 5) -> DataFrame:
+def betweenness(edges: DataFrame, sources: DataFrame, cutoff: int | None = 5) -> DataFrame:
     """G-10: share of shortest paths between a source and a node that pass through a third, summed, for these sources.
 
     Counts of shortest paths grow level by level and dependencies shrink level by level, as joins over (source, node);
@@ -101,8 +102,9 @@ def betweenness(edges: DataFrame, sources: DataFrame, cutoff: int = 5) -> DataFr
     links = stored(edges.select("src", "dst").where("src != dst").distinct())
     level = stored(sources.select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(1.0).alias("sigma"), F.lit(0).alias("d")))
     levels = [level]
-    seen = level
-    for d in range(1, cutoff + 1):
+    seen, d = level, 0
+    while cutoff is None or d < cutoff:
+        d += 1
         new = level.join(links, level["v"] == links["src"]).groupBy("s", F.col("dst").alias("v")).agg(F.sum("sigma").alias("sigma")).join(seen.select("s", "v"), ["s", "v"], "left_anti")
         level = stored(new.withColumn("d", F.lit(d)))
         if level.isEmpty():
@@ -167,6 +169,41 @@ def properties(edges: DataFrame) -> DataFrame:
     return one.withColumn("density", F.col("edges") / F.greatest(F.lit(1), F.col("nodes") * (F.col("nodes") - 1)))
 
 
+def path_lengths(edges: DataFrame, parts: int = 1) -> DataFrame:
+    """G-13: diameter and avg_path_length of the undirected graph, null if it is not connected.
+
+    Breadth-first levels of all nodes, `parts` shares of them after one another; of each share only its sums stay.
+    """
+    links = stored(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src != dst").distinct())
+    ids = stored(edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct())
+    told = None
+    for part in range(parts):
+        d = distances(links, ids.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == part), None).where("d > 0")
+        sums = stored(d.agg(F.max("d").alias("most"), F.sum("d").alias("total"), F.count(F.lit(1)).alias("pairs")))
+        told = sums if told is None else told.union(sums)
+    n = ids.count()
+    whole = told.agg(F.max("most").alias("most"), F.sum("total").alias("total"), F.sum("pairs").alias("pairs"))
+    joined = F.col("pairs") == n * (n - 1)
+    return whole.select(F.when(joined, F.col("most")).alias("diameter"), F.when(joined, F.col("total") / F.col("pairs")).alias("avg_path_length"))
+
+
+def clustering(edges: DataFrame) -> DataFrame:
+    """G-13: the mean over nodes of the share of pairs of their neighbours that are neighbours; nodes with one neighbour have 0.
+
+    Of each wedge only the one at its end of smallest degree is joined, so a hub does not make all pairs of its neighbours.
+    """
+    ids = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
+    links = stored(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src != dst").distinct())
+    degree = links.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("k"))
+    # each link once, from the end of smaller (degree, id): out-degrees are at most the root of twice the links
+    d1, d2 = degree.toDF("src", "ks"), degree.toDF("dst", "kd")
+    up = stored(links.join(d1, "src").join(d2, "dst").where((F.col("ks") < F.col("kd")) | ((F.col("ks") == F.col("kd")) & (F.col("src") < F.col("dst")))).select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    closed = up.toDF("a", "b").join(up.toDF("a", "c"), "a").where("b != c").join(up.toDF("b", "c"), ["b", "c"])
+    triangles = closed.select(F.explode(F.array("a", "b", "c")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("t"))
+    share = F.when(F.col("k") > 1, 2 * F.coalesce("t", F.lit(0)) / (F.col("k") * (F.col("k") - 1))).otherwise(0.0)
+    return ids.join(degree, "id", "left").join(triangles, "id", "left").agg(F.avg(share).alias("clustering_coefficient"))
+
+
 def isolates(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """G-14: nodes without edges."""
     return nodes.join(both_ways(edges).select("id").distinct(), "id", "left_anti")

@@ -12,19 +12,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from curato.functions.text import hamming
+from curato.session import shared_folder
 
 
 def stored(df: DataFrame) -> DataFrame:
     """df cut off from its lineage by a reliable checkpoint."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        import tempfile
-
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -65,17 +64,25 @@ def simhashes(df: DataFrame, key: str, tokens: str) -> DataFrame:
 def hamming_pairs(df: DataFrame, most: int = 6) -> DataFrame:
     """D-04, J-08: pairs (a, b) of rows (id, h) whose 64-bit hashes differ in at most `most` bits.
 
-    64 bits are cut into most+1 bands; hashes that differ in at most `most` bits agree on one of them, so the join on
-    (band, bits) loses nothing. Rows with equal hashes are linked to the first of them, not to each other.
+    64 bits are cut into most+2 bands; hashes that differ in at most `most` bits agree on two of them, so the join on a pair of
+    bands and its bits loses nothing, and has keys of a quarter of the bits (16 for six). A pair of hashes that agrees on more
+    bands is compared for the first two only. Rows with equal hashes are linked to the first of them, not to each other.
     """
     firsts = df.groupBy("h").agg(F.min("id").alias("a"))
     same = df.join(firsts, "h").where("id > a").select("a", F.col("id").alias("b"))
-    n = most + 1
+    n = most + 2
     edges = [round(64 * i / n) for i in range(n + 1)]
-    parts = [F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("h", edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1)).alias("bits")) for i in range(n)]
-    banded = firsts.select(F.col("a").alias("id"), "h", F.explode(F.array(*parts)).alias("p")).select("id", "h", "p.band", "p.bits")
-    x, y = banded.toDF("a", "x", "band", "bits"), banded.toDF("b", "y", "band", "bits")
-    near = x.join(y, ["band", "bits"]).where((F.col("a") < F.col("b")) & (hamming("x", "y") <= most)).select("a", "b").distinct()
+    bits = lambda h, i: F.shiftrightunsigned(h, edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1))
+    pairs = [(i, j) for i in range(n) for j in range(i + 1, n)]
+    keys = [F.struct(F.lit(k).alias("pair"), F.shiftleft(bits("h", i), 32).bitwiseOR(bits("h", j)).alias("bits")) for k, (i, j) in enumerate(pairs)]
+    banded = firsts.select(F.col("a").alias("id"), "h", F.explode(F.array(*keys)).alias("p")).select("id", "h", "p.pair", "p.bits")
+    x, y = banded.toDF("a", "x", "pair", "bits"), banded.toDF("b", "y", "pair", "bits")
+    # equal bands as bits of a number: the pair's own two must be its lowest
+    agree = sum((F.when(bits("x", i) == bits("y", i), 1 << i).otherwise(0) for i in range(n)), F.lit(0))
+    lowest = F.array(*[F.lit((1 << i) | ((1 << j) - 1) << 16) for i, j in pairs])
+    first = F.element_at(lowest, F.col("pair") + 1)
+    met = x.join(y, ["pair", "bits"]).where((F.col("a") < F.col("b")) & (hamming("x", "y") <= most))
+    near = met.where(agree.bitwiseAND(F.shiftright(first, 16)) == first.bitwiseAND(F.lit(0xFFFF))).select("a", "b")
     return near.union(same)
 
 
@@ -84,13 +91,14 @@ def dedup_simhash(df: DataFrame, most: int = 6) -> DataFrame:
     return keep_first_alike(df, hamming_pairs(df, most))
 
 
-def cosine_pairs(df: DataFrame, least: float, block: int = 2048, parts: int = 8) -> DataFrame:
-    """D-05, D-06, D-13: pairs (a, b, score) of rows (id, v) with cosine of at least `least`, exactly.
+def cosine_pairs(df: DataFrame, least: float, block: int = 2048, members: int = 8192) -> DataFrame:
+    """D-05, D-06: pairs (a, b, score) of rows (id, v) with cosine of at least `least`, exactly.
 
-    Rows are dealt to `parts` blocks; each pair of blocks is one group that multiplies their matrices in steps, so a group
-    holds two blocks and no pair is formed that isn't kept. Work grows as the square: this is the exact mode; the index for
+    Rows are dealt to blocks of about `members`, as many as the rows ask for; each pair of blocks is one group that multiplies
+    their matrices in steps, so a group holds two blocks at any size and no pair is formed that isn't kept. Work grows as the square: this is the exact mode; the index for
     many rows is another operator.
     """
+    parts = max(1, -(-df.count() // members))
     dealt = df.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("p"))
     both = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).select("id", "v", "p", F.least("p", "other").alias("x"), F.greatest("p", "other").alias("y"))
 
@@ -112,6 +120,33 @@ def cosine_pairs(df: DataFrame, least: float, block: int = 2048, parts: int = 8)
     return both.groupBy("x", "y").applyInArrow(near, "a long, b long, score double")
 
 
+def similar_items(df: DataFrame, asked: DataFrame, k: int = 5, members: int = 8192) -> DataFrame:
+    """D-13: qid, rank, id, score: for each asked vector (qid, v) the k rows (id, v) of largest cosine, of equal ones the smallest id.
+
+    Exact: blocks of asked vectors meet blocks of rows, each keeps its own k best, and those meet by qid. Zero vectors have cosine 0.
+    """
+    n, m = (max(1, -(-x.count() // members)) for x in (df, asked))
+    rows = df.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("y"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("x"), F.lit(False).alias("asks"))
+    asks = asked.select(F.col("qid").alias("id"), "v", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("y"), F.pmod(F.xxhash64("qid"), F.lit(m)).cast("int").alias("x"), F.lit(True).alias("asks"))
+
+    def best(t: pa.Table) -> pa.Table:
+        ids, asks = t.column("id").to_numpy(), t.column("asks").to_numpy(zero_copy_only=False)
+        v = np.array(t.column("v").to_pylist(), float)
+        v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+        q, r = np.flatnonzero(asks), np.flatnonzero(~asks)
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for lo in range(0, len(q) if len(r) else 0, 1024):
+            s = v[q[lo : lo + 1024]] @ v[r].T
+            at = np.lexsort((np.broadcast_to(ids[r], s.shape), -s), axis=1)[:, :k]
+            out.append((np.repeat(ids[q[lo : lo + 1024]], at.shape[1]), ids[r][at].ravel(), np.take_along_axis(s, at, 1).ravel()))
+        a, b, s = (np.concatenate(c) for c in zip(*out, strict=True))
+        return pa.table({"qid": pa.array(a, pa.int64()), "id": pa.array(b, pa.int64()), "score": pa.array(s, pa.float64())})
+
+    near = rows.unionByName(asks).groupBy("x", "y").applyInArrow(best, "qid long, id long, score double")
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id"))
+    return near.withColumn("rank", rank).where(F.col("rank") <= k).select("qid", "rank", "id", "score")
+
+
 def dedup_embeddings(df: DataFrame, least: float, scope: str | None = None) -> DataFrame:
     """D-05, D-06: rows (id, v) that are kept; scope: pairs count only inside a value of that column."""
     pairs = cosine_pairs(df, least)
@@ -122,12 +157,22 @@ def dedup_embeddings(df: DataFrame, least: float, scope: str | None = None) -> D
 
 
 def keyword_pairs(df: DataFrame, least: float) -> DataFrame:
-    """D-09, D-10: pairs of rows (id, words) whose share of common words, of the larger set, is at least `least`."""
-    sized = df.where(F.size("words") > 0).select("id", "words", F.size("words").alias("n"))
+    """D-09, D-10: pairs of rows (id, words) whose share of common words, of the larger set, is at least `least`.
+
+    Two sets of which one is of n words and that share at least `least` of the larger one share one of its n - ceil(least * n) + 1
+    rarest words, and the same holds for the other. So only those words are joined, common ones hardly ever, and each pair that
+    meets is checked on its whole sets. Repeated words count once.
+    """
+    sized = stored(df.where(F.size("words") > 0).select("id", F.array_distinct("words").alias("words")).withColumn("n", F.size("words")))
     tokens = sized.select("id", "n", F.explode("words").alias("w"))
-    x, y = tokens.toDF("a", "na", "w"), tokens.toDF("b", "nb", "w")
-    common = x.join(y, "w").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * least)).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("n"))
-    return common.where(F.col("n") >= F.greatest("na", "nb") * least).select("a", "b")
+    common = tokens.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+    need = F.ceil(F.col("n") * least - 1e-9)
+    rarest = tokens.join(common, "w").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "w"))).alias("ws"))
+    keys = rarest.select("id", "n", F.explode(F.slice("ws", 1, F.greatest(F.lit(1), F.col("n") - need + 1).cast("int"))).alias("k")).select("id", "n", F.col("k.w").alias("w"))
+    x, y = keys.toDF("a", "na", "w"), keys.toDF("b", "nb", "w")
+    met = x.join(y, "w").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * least)).select("a", "b").distinct()
+    both = met.join(sized.select(F.col("id").alias("a"), F.col("words").alias("x")), "a").join(sized.select(F.col("id").alias("b"), F.col("words").alias("y")), "b")
+    return both.where(F.size(F.array_intersect("x", "y")) >= F.greatest(F.size("x"), F.size("y")) * least).select("a", "b")
 
 
 def rouge_overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -124,6 +124,19 @@ def assign_types(df: DataFrame, key: str, plan: dict[str, int], seed: str) -> Da
     return ranked.withColumn("kind", rules).drop("__r")
 
 
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """S-23: df with numbers from 1 in an order over all rows: ranges of the order are counted first, then rows inside a range."""
+    from curato.operators.nearness import stored
+
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = stored(df.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id()))
+    # as many rows as partitions
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = dealt.groupBy("__part").agg(F.count(F.lit(1)).alias("__n")).select("__part", before.alias("__before"))
+    inside = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    return dealt.join(F.broadcast(counts), "__part").withColumn(name, F.col("__before") + inside).drop("__part", "__before")
+
+
 def replace_links(links: DataFrame, wanted: DataFrame, owner: str, *owners: int) -> DataFrame:
     """U-05, M-01: the links of these owners are replaced by those wanted."""
     return links.where(~F.col(owner).isin(*owners)).unionByName(wanted.where(F.col(owner).isin(*owners)))
@@ -139,6 +152,13 @@ def claim(df: DataFrame, key: str, owner: str, me: str, row: int) -> DataFrame:
     return df.withColumn(owner, F.when((F.col(key) == row) & F.col(owner).isNull(), F.lit(me)).otherwise(F.col(owner)))
 
 
+def claim_all(df: DataFrame, key: str, owner: str, requests: DataFrame) -> DataFrame:
+    """M-02: many claims at once, as one step: requests(key, who, at). A row that nobody owns goes to its earliest request, of equally
+    early ones to the smallest who; owned rows keep their owner, and later requests lose."""
+    won = requests.groupBy(F.col(key).alias("__k")).agg(F.min_by("who", F.struct("at", "who")).alias("__who"))
+    return df.join(won, df[key] == F.col("__k"), "left").withColumn(owner, F.coalesce(owner, "__who")).drop("__k", "__who")
+
+
 def release(df: DataFrame, key: str, owner: str, me: str, row: int) -> DataFrame:
     """M-02: a row of mine is free again."""
     return df.withColumn(owner, F.when((F.col(key) == row) & (F.col(owner) == me), F.lit(None)).otherwise(F.col(owner)))
@@ -161,17 +181,31 @@ def keyword_hits(df: DataFrame, key: str, text: str, words: DataFrame) -> DataFr
     return tokens.join(words, "word").groupBy(key, "label").agg(F.count(F.lit(1)).alias("hits"))
 
 
+def in_context(df: DataFrame, key: str, text: str, word: str, around: int) -> DataFrame:
+    """W-07: key, i, around: each place of a word among the blank-separated words of a text, and the words on either side.
+
+    Places are found inside the row, so only hits and their own few words are exploded.
+    """
+    w = F.split(F.col(text), " ")
+    at = F.filter(F.sequence(F.lit(1), F.size("w")), lambda i: F.element_at("w", i) == word)
+    lo = lambda i: F.greatest(F.lit(1), i - around)
+    hits = F.transform("at", lambda i: F.struct(i.cast("long").alias("i"), F.array_join(F.slice("w", lo(i), i + around - lo(i) + 1), " ").alias("around")))
+    return df.select(key, w.alias("w")).select(key, "w", at.alias("at")).where("size(at) > 0").select(key, F.explode(hits).alias("h")).select(key, "h.i", "h.around")
+
+
 def retrieve(queries: DataFrame, docs: DataFrame, k: int = 5) -> DataFrame:
     """J-06, S-26: the k documents that share most of a query's words, weighed by idf; queries(qid, q), docs(did, d).
 
-    An inverted index: tokens of both sides are joined by hash and added up. Words in more than a tenth of the documents, and
-    in more than 50, are too common to tell documents apart and are left out of the index.
+    An inverted index: tokens of both sides are joined by hash and added up. Only words of some query are kept of a document,
+    before they are dealt out; frequent words stay, with their small idf, and what a query's words give a document is added up
+    before the shuffle by query and document.
     """
     words = lambda df, key, text: df.select(key, F.explode(F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"))).alias("w")).where("w != ''")
-    index = words(docs, "did", "d")
-    n = docs.agg(F.count(F.lit(1)).alias("n_docs"))
-    idf = index.groupBy("w").agg(F.count(F.lit(1)).alias("df")).join(n, F.lit(True)).where("df <= greatest(50, n_docs / 10)").select("w", F.log((F.col("n_docs") + 1) / (F.col("df") + 0.5)).alias("idf"))
-    score = words(queries, "qid", "q").join(idf, "w").join(index, "w").groupBy("qid", "did").agg(F.sum("idf").alias("score"))
+    asked = words(queries, "qid", "q")
+    index = words(docs, "did", "d").join(asked.select("w").distinct(), "w", "left_semi")
+    n = docs.count()
+    idf = index.groupBy("w").agg(F.count(F.lit(1)).alias("df")).select("w", F.log(F.lit(n + 1) / (F.col("df") + 0.5)).alias("idf"))
+    score = asked.join(idf, "w").join(index, "w").groupBy("qid", "did").agg(F.sum("idf").alias("score"))
     return newest(score, "qid", [F.desc("score"), F.col("did")], k)
 
 

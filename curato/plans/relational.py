@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from curato.functions import judging as j
+from curato.functions import patterns as W
 from curato.functions import rules as r
 from curato.functions import scores as s
 from curato.functions import text as t
@@ -13,6 +15,10 @@ from curato.operators import annotation as an
 from curato.operators import tables as o
 from curato.plans.base import QA_SQL, Catalog, Tables
 
+STRIPPED = lambda c: f"regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
+HITS = lambda c, patterns: "(" + " + ".join(f"len(regexp_extract_all({c}, '{p}'))" for p in patterns) + ")"
+ANY = lambda c, words: "(" + " OR ".join(f"contains({c}, '{w}')" for w in words) + ")"
+COUNT = lambda c, words: "(" + " + ".join(f"contains({c}, '{w}')::INT" for w in words) + ")"
 catalog = Catalog()
 query = catalog.query
 #: Events as annotation results: the user's item, the kind of event as configuration.
@@ -185,7 +191,7 @@ def _(x: Tables) -> DataFrame:
 
 @query("j06_retrieval", """WITH d AS (SELECT doc_id AS did, unnest(list_distinct(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+'))) AS w FROM documents),
 q AS (SELECT item_id AS qid, unnest(list_distinct(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+'))) AS w FROM benchmark), n AS (SELECT count(*) AS n FROM documents),
-idf AS (SELECT w, ln((max(n) + 1) / (count(*) + 0.5)) AS idf FROM d, n WHERE w <> '' GROUP BY w HAVING count(*) <= greatest(50, max(n) / 10)),
+idf AS (SELECT w, ln((max(n) + 1) / (count(*) + 0.5)) AS idf FROM d, n WHERE w <> '' GROUP BY w),
 sc AS (SELECT qid, did, round(sum(idf), 6) AS score FROM q JOIN idf USING (w) JOIN d USING (w) GROUP BY qid, did)
 SELECT qid, did, score FROM sc QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, did) <= 5""")
 def _(x: Tables) -> DataFrame:
@@ -250,13 +256,10 @@ def _(x: Tables) -> DataFrame:
     return o.smoothed(x.events.withColumn("ok", (F.col("event_type") != "error").cast("int")).withColumn("at", F.struct("ts", "event_id")), "user_id", "at", "ok")
 
 
-@query("w07_context", "WITH z AS (SELECT doc_id, string_split(substr(text, 1, 200), ' ') AS w FROM documents), p AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM z) SELECT doc_id, i::BIGINT AS i, array_to_string(w[greatest(1, i - 5) : i + 5], ' ') AS around FROM p WHERE w[i] = 'the'")
+@query("w07_context", "WITH z AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents), p AS (SELECT doc_id, unnest(list_transform(list_filter(range(1, len(w) + 1), lambda i: w[i] = 'the'), lambda i: struct_pack(i := i, around := array_to_string(w[greatest(1, i - 5) : i + 5], ' ')))) AS h FROM z) SELECT doc_id, h.i::BIGINT AS i, h.around AS around FROM p")
 def _(x: Tables) -> DataFrame:
     """W-07: five words on either side."""
-    w = x.documents.select("doc_id", F.split(F.substring("text", 1, 200), " ").alias("w"))
-    hits = w.select("doc_id", F.posexplode("w").alias("p", "word"), "w").where("word = 'the'")
-    lo = F.greatest(F.lit(1), F.col("p") + 1 - 5)
-    return hits.select("doc_id", (F.col("p") + 1).cast("long").alias("i"), F.array_join(F.slice("w", lo, F.col("p") + 1 + 5 - lo + 1), " ").alias("around"))
+    return o.in_context(x.documents, "doc_id", "text", "the", 5).select("doc_id", "i", "around")
 
 
 @query("w10_swap", "SELECT n_nationkey, CASE n_nationkey WHEN 3 THEN 7 WHEN 7 THEN 3 ELSE n_nationkey END AS place FROM nation")
@@ -362,17 +365,24 @@ def _(x: Tables) -> DataFrame:
 MARKS = "(length(q) - length(regexp_replace(q, '\\d+[\\.、]', '', 'g')))"
 
 
-@query("f04_numbered", f"WITH {QA_SQL}, z AS (SELECT doc_id, concat(q, CASE doc_id % 4 WHEN 0 THEN ' 1、a 2、b 3、c' WHEN 1 THEN ' 1、' || repeat('x', 30) || ' 2、b' ELSE '' END) AS q FROM qa WHERE NOT regexp_matches(q, '[0-9]|[a-zA-Z][.、]')) SELECT doc_id, CASE WHEN length(q) > 250 THEN 'too_long' WHEN doc_id % 4 = 0 THEN 'too_many_marks' WHEN doc_id % 4 = 1 THEN 'long_item' END AS fault FROM z")
+
+
+@query("f04_numbered", f"""WITH {QA_SQL}, z AS (SELECT doc_id, concat(q, CASE doc_id % 5 WHEN 0 THEN ' 1、a 2、b 3、c' WHEN 1 THEN ' 1、' || repeat('x', 30) || ' 2、b' WHEN 2 THEN '已知：' ELSE '' END) AS q FROM qa),
+n AS (SELECT doc_id, q, {HITS('q', r.MARKS.split('|'))} AS n, regexp_split_to_array(q, '{r.MARKS}') AS parts FROM z)
+SELECT doc_id, CASE WHEN length(q) > 250 THEN 'too_long' WHEN n > 2 THEN 'too_many_marks' WHEN n > 0 AND len(list_filter(parts[2:len(parts) - 1], lambda p: length({STRIPPED('p')}) > 20)) > 0 THEN 'long_item' WHEN {ANY('q', W.REDUNDANT_GUIDES)} THEN 'redundant_guide' END AS fault FROM n""")
 def _(x: Tables) -> DataFrame:
-    z = x.qa().where("not q rlike '[0-9]|[a-zA-Z][.、]'").select("doc_id", F.concat("q", F.when(F.col("doc_id") % 4 == 0, " 1、a 2、b 3、c").when(F.col("doc_id") % 4 == 1, F.concat(F.lit(" 1、"), F.lit("x" * 30), F.lit(" 2、b"))).otherwise("")).alias("q"))
-    return z.select("doc_id", r.numbered_question_fault("q").alias("fault"))
+    added = F.when(F.col("doc_id") % 5 == 0, " 1、a 2、b 3、c").when(F.col("doc_id") % 5 == 1, F.concat(F.lit(" 1、"), F.lit("x" * 30), F.lit(" 2、b"))).when(F.col("doc_id") % 5 == 2, "已知：").otherwise("")
+    return x.qa().select("doc_id", F.concat("q", added).alias("q")).select("doc_id", r.numbered_question_fault("q").alias("fault"))
 
 
-@query("f05_conditions", f"WITH {QA_SQL} SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'conditions' WHEN 1 THEN 'separators' WHEN 2 THEN 'starts_with_condition' END AS fault FROM qa WHERE NOT regexp_matches(q, '[0-9:;]')")
+@query("f05_conditions", f"""WITH {QA_SQL}, m AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN concat('如果水，如果光，', q) WHEN 1 THEN concat(q, 'a；b；c：d：e') WHEN 2 THEN concat('已知：', q, '；b；c') WHEN 3 THEN concat('若水，', q, '1、a。b。c。d。') WHEN 4 THEN concat(q, '当水时，综合这些信息') ELSE q END AS q FROM qa),
+c AS (SELECT doc_id, q, {HITS('q', W.CONDITION_PATTERNS)} AS conditions, len(regexp_extract_all(q, '[；;]')) AS semicolons FROM m),
+n AS (SELECT *, semicolons + len(regexp_extract_all(q, '[：:]')) AS marks, len(regexp_extract_all(q, '[①-⑳]')) + len(regexp_extract_all(q, '\\d+[\\.、]')) + semicolons AS items FROM c)
+SELECT doc_id, CASE WHEN conditions > 1 THEN 'conditions' WHEN marks > 3 THEN 'separators' WHEN regexp_matches({STRIPPED('q')}, '^(如果|假设|当|若|倘若|已知|基于|根据)') AND (conditions > 0 OR marks > 2) THEN 'starts_with_condition' WHEN items > 3 THEN 'items'
+    WHEN {HITS('q', W.GUIDE_PATTERNS)} > 2 THEN 'guides' WHEN len(regexp_split_to_array(q, '[。！？]')) > 4 AND (conditions > 0 OR items > 2) THEN 'dense' WHEN {ANY('q', W.SUMMARY_PHRASES)} AND (conditions > 0 OR items > 2) THEN 'summary' END AS fault FROM n""")
 def _(x: Tables) -> DataFrame:
-    z = x.qa().where("not q rlike '[0-9:;]'")
-    made = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("如果水，如果光，"), "q")).when(F.col("doc_id") % 5 == 1, F.concat("q", F.lit("a；b；c：d：e"))).when(F.col("doc_id") % 5 == 2, F.concat(F.lit("已知："), "q", F.lit("；b；c"))).otherwise(F.col("q"))
-    return z.select("doc_id", r.condition_fault(made).alias("fault"))
+    made = F.expr("CASE doc_id % 6 WHEN 0 THEN concat('如果水，如果光，', q) WHEN 1 THEN concat(q, 'a；b；c：d：e') WHEN 2 THEN concat('已知：', q, '；b；c') WHEN 3 THEN concat('若水，', q, '1、a。b。c。d。') WHEN 4 THEN concat(q, '当水时，综合这些信息') ELSE q END")
+    return x.qa().select("doc_id", made.alias("q")).select("doc_id", r.condition_fault("q").alias("fault"))
 
 
 @query("f06_unmentioned")
@@ -381,10 +391,9 @@ def _(x: Tables) -> DataFrame:
     return x.qa().select("doc_id", r.names_unmentioned("q", "a").alias("unmentioned"), r.restates_question("q", "a").alias("restates"))
 
 
-@query("f09_skip_sections", f"WITH {QA_SQL} SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'keyword' WHEN length(regexp_replace(a, '^\\s+|\\s+$', '', 'g')) < 100 THEN 'short' END AS fault FROM qa WHERE NOT regexp_matches(a, '\\d')")
+@query("f09_skip_sections", f"""WITH {QA_SQL} SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'keyword' WHEN length({STRIPPED('a')}) < 100 THEN 'short' WHEN regexp_matches({STRIPPED('a')}, '^[ATCGNatcgn\\s]+$') THEN 'sequence' WHEN {" + ".join(f"regexp_matches(a, '{p}')::INT" for p in W.REFERENCE_LINES)} > 2 THEN 'references' END AS fault FROM qa""")
 def _(x: Tables) -> DataFrame:
-    z = x.qa().where("not a rlike '[0-9]'")
-    return z.select("doc_id", r.skip_paper_section(F.when(F.col("doc_id") % 10 == 0, "References").otherwise("Results"), "a").alias("fault"))
+    return x.qa().select("doc_id", r.skip_paper_section(F.when(F.col("doc_id") % 10 == 0, "References").otherwise("Results"), "a").alias("fault"))
 
 
 @query("f10_thesis_sections")
@@ -414,9 +423,9 @@ def _(x: Tables) -> DataFrame:
     return told.select("conv_id", r.dialogue_fault("messages").alias("fault"))
 
 
-@query("f15_validation", "SELECT doc_id, array_to_string(list_filter([CASE WHEN lang = '' OR lang IS NULL THEN 'missing:lang' END, CASE WHEN length(text) < 200 THEN 'short:text' END], lambda e: e IS NOT NULL), ',') AS errors FROM documents WHERE NOT regexp_matches(text, '^\\s|\\s$')")
+@query("f15_validation", "SELECT doc_id, array_to_string(list_filter([CASE WHEN lang = '' OR lang IS NULL THEN 'missing:lang' END, CASE WHEN length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) < 200 THEN 'short:text' END], lambda e: e IS NOT NULL), ',') AS errors FROM documents")
 def _(x: Tables) -> DataFrame:
-    return x.documents.where(r"not text rlike '^\\s|\\s$'").select("doc_id", F.array_join(r.record_errors(["lang"], {"text": 200}), ",").alias("errors"))
+    return x.documents.select("doc_id", F.array_join(r.record_errors(["lang"], {"text": 200}), ",").alias("errors"))
 
 
 @query("f17_triples", "SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'N' THEN 'generic_relation' WHEN l_returnflag = 'A' THEN 'relation' WHEN l_linestatus = 'O' THEN 'node_type' END AS fault FROM lineitem")
@@ -426,9 +435,17 @@ def _(x: Tables) -> DataFrame:
     return x.lineitem.select("l_orderkey", "l_linenumber", r.triple_fault(rel, F.lit("gene"), F.when(F.col("l_linestatus") == "O", "other").otherwise("gene"), ["binds"], ["gene"]).alias("fault"))
 
 
-@query("f20_retrieval_need", f"WITH {QA_SQL} SELECT doc_id, (CASE WHEN length(a) > 300 THEN 1.0 ELSE 0 END + CASE WHEN regexp_matches(a, '\\d') THEN 1.0 ELSE 0 END + CASE WHEN regexp_matches(a, '\\b(19|20)\\d{{2}}\\b') THEN 0.5 ELSE 0 END + CASE WHEN regexp_matches(lower(q), 'latest|recent') THEN 2.0 ELSE 0 END + CASE WHEN regexp_matches(lower(a), 'may|might') THEN 0.5 ELSE 0 END)::DOUBLE AS score FROM qa")
+ADDED = "CASE doc_id % 4 WHEN 0 THEN '为什么' WHEN 1 THEN '是否研究模型' WHEN 2 THEN '基因 5%' ELSE '' END"
+
+
+@query("f20_retrieval_need", f"""WITH {QA_SQL}, z AS (SELECT doc_id, concat({ADDED}, q) AS q, CASE WHEN doc_id % 5 = 0 THEN a[1:40] ELSE a END AS a FROM qa), y AS (SELECT *, concat(q, a) AS b FROM z),
+w AS (SELECT *, {COUNT('b', [w for ws in j.RETRIEVAL_WORDS.values() for w in ws])} AS words, {ANY('q', j.OPEN_QUESTIONS)} AS open, {ANY('b', j.CONCEPT_WORDS)} AS concept FROM y),
+s AS (SELECT *, least(words * 3, 30) + CASE WHEN open THEN 15 ELSE 0 END - CASE WHEN {ANY('q', j.CLOSED_QUESTIONS)} THEN 5 ELSE 0 END + CASE WHEN length(a) > 800 THEN 20 WHEN length(a) > 200 THEN 10 ELSE 0 END + CASE WHEN concept THEN 15 ELSE 0 END
+    + CASE WHEN regexp_matches(b, '\\p{{N}}') THEN 5 ELSE 0 END + CASE WHEN contains(b, '%') OR contains(b, '百分') THEN 3 ELSE 0 END + CASE WHEN {ANY('b', j.UNITS)} THEN 2 ELSE 0 END + CASE WHEN length(q) > 50 THEN 5 WHEN length(q) > 30 THEN 3 ELSE 0 END AS score FROM w)
+SELECT doc_id, score::INT AS score, CASE WHEN length(q) < 5 THEN FALSE WHEN length(a) > 2000 THEN TRUE WHEN length(a) < 50 AND NOT (open OR words >= 3 OR concept) THEN FALSE ELSE score >= 25 END AS needed FROM s""")
 def _(x: Tables) -> DataFrame:
-    return x.qa().select("doc_id", r.retrieval_score("q", "a").alias("score"))
+    z = x.qa().select("doc_id", F.concat(F.expr(ADDED), "q").alias("q"), F.when(F.col("doc_id") % 5 == 0, F.substring("a", 1, 40)).otherwise(F.col("a")).alias("a"))
+    return z.select("doc_id", j.retrieval_score("q", "a").alias("score"), j.needs_retrieval("q", "a").alias("needed"))
 
 
 @query("f22_search", "SELECT doc_id FROM documents WHERE contains(text, 'the') AND lang = 'en'")
@@ -443,14 +460,24 @@ def _(x: Tables) -> DataFrame:
     return r.open_tasks(tasks, "who", "cat", "BUILDING").select("c_custkey")
 
 
-@query("f28_claims", "SELECT doc_id, regexp_matches(lower(text), 'evidence|no information|not mentioned|unknown') AS meta, CASE WHEN regexp_matches(lower(text), '\\b(not|no|never|without|lacks?)\\b') THEN 'negative' ELSE 'positive' END AS polarity FROM documents WHERE lang = 'en'")
+RELATIONS = "CASE event_id % 6 WHEN 0 THEN ' Does not affect ' WHEN 1 THEN 'is NOT required by' WHEN 2 THEN 'unknown_from_available_information' WHEN 3 THEN 'insufficient data' WHEN 4 THEN 'binds' ELSE NULL END"
+
+
+@query("f28_claims", f"WITH z AS (SELECT event_id, {RELATIONS} AS rel FROM events) SELECT event_id, coalesce(event_id % 6 = 2 OR (event_id % 6 = 3 AND event_id % 4 = 0), FALSE) AS meta, CASE WHEN event_id % 6 < 2 OR event_id % 5 = 0 THEN 'negative' WHEN event_id % 5 = 1 THEN 'unknown' ELSE 'positive' END AS polarity FROM z")
 def _(x: Tables) -> DataFrame:
-    return x.documents.where("lang = 'en'").select("doc_id", r.meta_claim("text").alias("meta"), r.polarity("text").alias("polarity"))
+    e = F.col("event_id")
+    ids = F.when(e % 2 == 0, F.array(F.lit(" "), F.lit(None).cast("string"))).otherwise(F.array(F.lit("E1")))
+    given = F.when(e % 5 == 0, "Negative").when(e % 5 == 1, "unknown").when(e % 5 == 2, "pos").when(e % 5 == 3, "odd")
+    return x.events.select("event_id", j.meta_claim(F.expr(RELATIONS), F.when(e % 4 != 0, "t"), ids).alias("meta"), j.polarity(F.expr(RELATIONS), given).alias("polarity"))
+
+
+#: Letters beyond ASCII as underscores, so that a boundary of a word is where it is for Unicode.
+PLAIN = "regexp_replace(q, '[^\\x00-\\x7f\\p{P}\\p{S}\\p{Z}\\p{C}]', '_', 'g')"
 
 
-@query("f29_suspicious", f"WITH {QA_SQL} SELECT doc_id, len(list_filter(list_distinct(regexp_extract_all(q, '\\b([A-Z][A-Za-z0-9\\-]{{2,}})\\b', 1)), lambda t: NOT (contains(lower(source), lower(t)) OR contains(lower(t), lower(source)))))::INT AS n FROM qa WHERE lang = 'en'")
+@query("f29_suspicious", f"WITH {QA_SQL} SELECT doc_id, len(list_filter(list_distinct(regexp_extract_all({PLAIN}, '\\b([A-Z][A-Za-z0-9\\-]{{2,}})\\b', 1)), lambda t: NOT (contains(lower(source), lower(t)) OR contains(lower(t), lower(source)))))::INT AS n FROM qa")
 def _(x: Tables) -> DataFrame:
-    return x.qa().where("lang = 'en'").select("doc_id", F.size(r.suspicious_tokens("q", F.array("source"))).alias("n"))
+    return x.qa().select("doc_id", F.size(r.suspicious_tokens("q", F.array("source"))).alias("n"))
 
 
 @query("f30_html_text", """WITH z AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script\\s*>', ' ', 'g'), '(?is)<style\\b.*?</style\\s*>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '<[^>]+>', ' ', 'g') AS t FROM pages)
@@ -465,16 +492,32 @@ def _(x: Tables) -> DataFrame:
     return x.qa().select("doc_id", s.qa_score("q", "a").alias("r")).select("doc_id", "r.total_score", "r.quality_level", "r.dimension_scores.*")
 
 
-@query("q02_patent")
+POINTS = {
+    "question": f"CASE WHEN length(regexp_replace(q, '^\\s+|\\s+$', '', 'g')) > 5 THEN 5 ELSE 0 END + CASE WHEN {ANY('q', j.DEPENDENT_WORDS)} THEN 0 ELSE 5 END + CASE WHEN {ANY('q', j.PATENT_TOPICS)} THEN 5 ELSE 0 END + CASE WHEN length(q) BETWEEN 10 AND 100 THEN 5 WHEN length(q) BETWEEN 5 AND 150 THEN 3 ELSE 0 END",
+    "answer": f"CASE WHEN length(a) >= 50 THEN 5 WHEN length(a) >= 20 THEN 3 ELSE 0 END + CASE WHEN {ANY('a', j.PATENT_VERBS)} THEN 5 ELSE 0 END + CASE WHEN contains(a, '。') THEN 5 ELSE 0 END + CASE WHEN {ANY('a', W.FORBIDDEN_PHRASES)} THEN 0 ELSE 5 END + CASE WHEN {ANY('a', j.SUBJECTIVE_WORDS)} THEN 0 ELSE 5 END",
+    "relevance": f"CASE WHEN len(theirs) = 0 THEN 0 WHEN overlap >= 0.3 THEN 10 WHEN overlap >= 0.2 THEN 7 WHEN overlap >= 0.1 THEN 5 ELSE 2 END + CASE WHEN {ANY('a', j.PATENT_TERMS)} THEN 0 ELSE 5 END + 5",
+    "match": "CASE WHEN suffix(q, '?') THEN 3 ELSE 0 END + CASE WHEN len(keys) = 0 THEN 0 WHEN ratio >= 0.5 THEN 7 WHEN ratio >= 0.3 THEN 5 WHEN ratio >= 0.1 THEN 3 ELSE 0 END + CASE " + " ".join(f"WHEN {ANY('q', asks)} THEN CASE WHEN {ANY('a', says)} THEN 5 ELSE 0 END" for asks, says in j.ANSWER_KINDS) + " ELSE 0 END",
+    "completeness": f"CASE WHEN length(a) >= 200 THEN 5 WHEN length(a) >= 100 THEN 3 WHEN length(a) >= 50 THEN 1 ELSE 0 END + 3 + CASE WHEN len(list_filter(string_split(a, '。'), lambda p: regexp_replace(p, '^\\s+|\\s+$', '', 'g') <> '')) >= 3 THEN 3 WHEN len(list_filter(string_split(a, '。'), lambda p: regexp_replace(p, '^\\s+|\\s+$', '', 'g') <> '')) >= 2 THEN 2 ELSE 0 END + CASE WHEN {ANY('a', j.ORDER_WORDS)} THEN 1 ELSE 0 END",
+}
+WORDS = lambda c: f"list_filter(regexp_split_to_array({c}, '\\s+'), lambda w: w <> '')"
+
+
+@query("q02_patent", f"""WITH {QA_SQL}, m AS (SELECT doc_id, concat(q, CASE doc_id % 4 WHEN 0 THEN '如何?' WHEN 1 THEN '的优势' ELSE '' END) AS q, concat(a, CASE doc_id % 3 WHEN 0 THEN '。首先通过。发明' WHEN 1 THEN '。可能提高' ELSE '' END) AS a, q AS source FROM qa),
+l AS (SELECT *, list_distinct({WORDS('lower(a)')}) AS own, list_distinct({WORDS('lower(source)')}) AS theirs, list_filter({WORDS('q')}, lambda w: length(w) > 1) AS keys FROM m),
+r AS (SELECT *, CASE WHEN len(own) = 0 THEN 0 ELSE len(list_intersect(own, theirs)) / len(own) END AS overlap, len(list_filter(keys, lambda w: contains(a, w))) / greatest(len(keys), 1) AS ratio FROM l),
+p AS (SELECT doc_id, {', '.join(f'({c}) AS {n}' for n, c in POINTS.items())} FROM r), t AS (SELECT *, question + answer + relevance + match + completeness AS total FROM p)
+SELECT *, CASE WHEN total >= 90 THEN '优秀' WHEN total >= 80 THEN '良好' WHEN total >= 70 THEN '中等' WHEN total >= 60 THEN '及格' ELSE '不及格' END AS level FROM t""")
 def _(x: Tables) -> DataFrame:
-    return x.qa().select("doc_id", s.patent_score("q", "a").alias("r")).select("doc_id", "r.*")
+    ask, say = F.expr("CASE doc_id % 4 WHEN 0 THEN '如何?' WHEN 1 THEN '的优势' ELSE '' END"), F.expr("CASE doc_id % 3 WHEN 0 THEN '。首先通过。发明' WHEN 1 THEN '。可能提高' ELSE '' END")
+    z = x.qa().select("doc_id", F.concat("q", ask).alias("x"), F.concat("a", say).alias("y"), "q")
+    return z.select("doc_id", j.patent_quality("x", "y", "q", F.array(F.lit("one"))).alias("r")).select("doc_id", "r.*")
 
 
-@query("q03_heuristic", f"""WITH {QA_SQL}, z AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(q), '\\b[a-z]+\\b')) AS x, list_distinct(regexp_extract_all(lower(a), '\\b[a-z]+\\b')) AS y, length(a) AS n FROM qa WHERE lang = 'en' AND NOT regexp_matches(text, '[^\\x00-\\x7f]'))
+@query("q03_heuristic", f"""WITH {QA_SQL}, z AS (SELECT doc_id, list_filter(list_distinct(regexp_extract_all(lower(q), '[\\p{{L}}\\p{{N}}\\p{{M}}_]+')), lambda w: regexp_full_match(w, '[a-z]+')) AS x, list_filter(list_distinct(regexp_extract_all(lower(a), '[\\p{{L}}\\p{{N}}\\p{{M}}_]+')), lambda w: regexp_full_match(w, '[a-z]+')) AS y, length(a) AS n FROM qa)
 SELECT doc_id, CASE WHEN len(x) = 0 OR len(y) = 0 THEN 0 ELSE greatest(0, least(1, 0.35 + 0.4 * len(list_intersect(x, y)) / greatest(1, len(x)) + 0.25 * (1 - exp(-n / 180.0)))) END::DOUBLE AS score FROM z""")
 def _(x: Tables) -> DataFrame:
     """Q-03, Q-04 (with one scorer the blend is the heuristic itself), D-10."""
-    return x.qa().where(r"lang = 'en' and not text rlike '[^\\x00-\\x7f]'").select("doc_id", s.heuristic_score("q", "a").alias("score"))
+    return x.qa().select("doc_id", s.heuristic_score("q", "a").alias("score"))
 
 
 @query("q08_paths", "SELECT o_orderkey, 0.7 * (o_totalprice + 1.0) / 2 + 0.3 / (1 + o_orderkey % 4) AS score FROM orders")
@@ -489,10 +532,25 @@ def _(x: Tables) -> DataFrame:
     return one("paper", r.paper_reject("q", "a")).unionByName(one("patent", r.patent_reject("q", "a")))
 
 
-@query("c16_question_kinds")
+TRIMMED = "regexp_replace(t, '^\\s+|\\s+$', '', 'g')"
+BOUND = lambda p: p.replace("\\b", "(?:^|$|[^\\p{L}\\p{N}\\p{M}_])")
+
+
+@query("c16_intents", f"""WITH z AS (SELECT conv_id, turn, role, concat(text, CASE turn % 5 WHEN 0 THEN ' Who are you?' WHEN 1 THEN ' 你叫什么名字' WHEN 2 THEN ' what are your limitations' WHEN 3 THEN ' 物种' ELSE '' END) AS t FROM conversations)
+SELECT conv_id, turn, role, CASE {" ".join(f"WHEN regexp_matches(lower(t), '{BOUND(p).replace(chr(39), chr(39) * 2)}') THEN '{n}'" for n, p in j.INTENT_PATTERNS)} {" ".join(f"WHEN {ANY('t', ws)} THEN '{n}'" for n, ws in j.INTENT_WORDS)} ELSE 'general' END AS intent FROM z""")
+def _(x: Tables) -> DataFrame:
+    """C-16."""
+    made = F.concat("text", F.expr("CASE turn % 5 WHEN 0 THEN ' Who are you?' WHEN 1 THEN ' 你叫什么名字' WHEN 2 THEN ' what are your limitations' WHEN 3 THEN ' 物种' ELSE '' END"))
+    return x.conversations.select("conv_id", "turn", "role", j.intent(made).alias("intent"))
+
+
+@query("c17_question_kinds", f"""WITH z AS (SELECT concat(CASE turn % 4 WHEN 0 THEN ' 如何' WHEN 1 THEN '什么是' ELSE '' END, text, CASE turn % 3 WHEN 0 THEN '的区别' WHEN 1 THEN '概念' ELSE '' END) AS t FROM conversations WHERE role = 'user')
+SELECT CASE {" ".join(f"WHEN starts_with({TRIMMED}, '{w}') THEN '{w}'" for w in W.STARTERS)} ELSE '其他' END AS starter, CASE {" ".join(f"WHEN {ANY('t', ws)} THEN '{n}'" for n, ws in W.QUESTION_TYPES)} ELSE '其他' END AS kind, count(*) AS count FROM z GROUP BY ALL""")
 def _(x: Tables) -> DataFrame:
-    """C-16, C-17."""
-    return x.conversations.where("role = 'user'").groupBy(t.starter("text").alias("starter"), t.question_type("text").alias("kind")).count()
+    """C-17."""
+    made = F.concat(F.expr("CASE turn % 4 WHEN 0 THEN ' 如何' WHEN 1 THEN '什么是' ELSE '' END"), "text", F.expr("CASE turn % 3 WHEN 0 THEN '的区别' WHEN 1 THEN '概念' ELSE '' END"))
+    z = x.conversations.where("role = 'user'").select(made.alias("t"))
+    return z.groupBy(t.starter("t").alias("starter"), t.question_type("t").alias("kind")).count()
 
 
 @query("d01_exact", """WITH z AS (SELECT doc_id, source, md5(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS h FROM documents) SELECT h, min(doc_id) AS doc_id, array_to_string(list_sort(list_distinct(list(source))), ',') AS sources, count(*) AS copies FROM z GROUP BY h""")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from curato.functions import judging as j
 from curato.functions import scores as s
 from curato.functions import text as t
 from curato.functions import values as v
@@ -18,7 +19,7 @@ IMAGE, LINK, SPACES, LINES = ("!\\[[^\\]]*?\\]\\([^\\)]*?\\)", " "), ("\\[([^\\]
 MATH = (("\\$\\$[^$]+\\$\\$", " "), ("\\$[^$]+\\$", " "))
 TABLE, RULE, CODE = ("(?m)^\\s*\\|.*\\|\\s*$", " "), ("(?m)^[\\s\\-\\:\\|]+$", " "), ("(?s)```.*?```", " ")
 #: Pages as Markdown with some of everything that cleaning removes.
-MARKED = "concat('# Title ', page_id, chr(10), '![a](b.png) <b>', url, '</b> [', url, '](http://x) $x_1$ $$y$$', chr(10), '| a | b |', chr(10), '```code', chr(10), '```  ', substr(html, 1, 400), chr(10), chr(10), chr(10), chr(10), 'end')"
+MARKED = "concat('# Title ', page_id, chr(10), '![a](b.png) <b>', url, '</b> [', url, '](http://x) $x_1$ $$y$$', chr(10), '| a | b |', chr(10), '```code', chr(10), '```  ', html, chr(10), chr(10), chr(10), chr(10), 'end')"
 
 
 def marked(x: Tables) -> DataFrame:
@@ -63,13 +64,13 @@ CLEAN_HEAD = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(h
 
 @query("p11_headings", f"""WITH x AS (SELECT doc_id, {HEADS} AS h FROM documents)
 SELECT doc_id, {CLEAN_HEAD} AS title, (length(regexp_extract(h, '^([0-9]+(\\.[0-9]+)*)', 1)) - length(replace(regexp_extract(h, '^([0-9]+(\\.[0-9]+)*)', 1), '.', '')) + 1)::INT AS level,
-    regexp_extract(h, '^([0-9]+([.\\-][0-9]+)*)', 1) AS number, {CLEAN_HEAD} AS core, FALSE AS symbols_only,
+    regexp_extract(regexp_replace(h, '\\s+', '', 'g'), '^([0-9]+(\\.[0-9]+)*)', 1) AS number, {all_replaced('h', ('^[0-9]+(\\.[0-9]+)*\\s+', ''), ('\\s+[0-9]+\\s*$', ''), ('[^a-zA-Z0-9]', ''))} AS core, FALSE AS symbols_only,
     CASE WHEN doc_id % 2 = 0 THEN 'Results & Discussion' ELSE 'Materials & Methods' END AS section,
     CASE WHEN doc_id % 2 = 0 THEN '结果' ELSE '方法' END AS kind, doc_id % 2 = 1 AS is_method, doc_id % 2 = 0 AS is_result, TRUE AS reasoning FROM x""")
 def _(x: Tables) -> DataFrame:
     """P-11 to P-17."""
     h = x.documents.select("doc_id", F.expr(HEADS).alias("h"))
-    return h.select("doc_id", t.clean_title("h", True).alias("title"), t.heading_level("h").cast("int").alias("level"), t.numeric_prefix("h").alias("number"), t.core_title("h").alias("core"), t.only_numbers_and_symbols("h").alias("symbols_only"), t.main_section("h").alias("section"), t.section_type("h", F.lit("")).alias("kind"), t.is_method("h").alias("is_method"), t.is_result("h").alias("is_result"), t.suits_reasoning("h").alias("reasoning"))
+    return h.select("doc_id", t.clean_title("h", True).alias("title"), t.heading_level("h").cast("int").alias("level"), j.numeric_prefix("h").alias("number"), j.core_title("h").alias("core"), t.only_numbers_and_symbols("h").alias("symbols_only"), t.main_section("h").alias("section"), t.section_type("h", F.lit("")).alias("kind"), t.is_method("h").alias("is_method"), t.is_result("h").alias("is_result"), t.suits_reasoning("h").alias("reasoning"))
 
 
 @query("p18_languages", """SELECT doc_id, CASE WHEN regexp_matches(text, '[一-鿿]') THEN 'zh' WHEN regexp_matches(text, '[éèêàùçïîôûÉÈÊÀÙÇÏÎÔÛ]') OR regexp_matches(lower(text), 'remerciements|résumé|resume|jury d|avant-propos|préface') THEN 'fr' ELSE 'en' END AS lang_found,
@@ -117,18 +118,18 @@ def _(x: Tables) -> DataFrame:
     return x.qa().select("doc_id", t.token_set_hash("q").alias("h"))
 
 
-SIM = """tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(q), '[a-z0-9]+')) AS tok FROM qa WHERE length(q) < 400),
+SIM = """tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(q), '[a-z0-9]+')) AS tok FROM qa),
 bits AS (SELECT doc_id, i, sum(CASE WHEN (('0x' || substr(md5(tok), CASE WHEN i < 32 THEN 25 ELSE 17 END, 8))::BIGINT >> (i % 32)) & 1 = 1 THEN 1 ELSE -1 END) AS v FROM tok, range(64) AS r(i) GROUP BY doc_id, i),
 sim AS (SELECT doc_id, sum(CASE WHEN v > 0 THEN CASE WHEN i = 63 THEN -9223372036854775808::HUGEINT ELSE (1::HUGEINT << i) END ELSE 0 END)::BIGINT AS h FROM bits GROUP BY doc_id)"""
 
 
-@query("p28_simhash", f"WITH {QA_SQL}, {SIM} SELECT qa.doc_id, coalesce(h, 0) AS h, bit_count(xor(coalesce(h, 0), 255::BIGINT))::INT AS to_255 FROM qa LEFT JOIN sim ON qa.doc_id = sim.doc_id WHERE length(q) < 400")
+@query("p28_simhash", f"WITH {QA_SQL}, {SIM} SELECT qa.doc_id, coalesce(h, 0) AS h, bit_count(xor(coalesce(h, 0), 255::BIGINT))::INT AS to_255 FROM qa LEFT JOIN sim ON qa.doc_id = sim.doc_id")
 def _(x: Tables) -> DataFrame:
     """P-28, P-29."""
-    return x.qa().where("length(q) < 400").select("doc_id", t.simhash(t.simhash_tokens("q")).alias("h")).select("doc_id", "h", t.hamming("h", F.lit(255).cast("long")).cast("int").alias("to_255"))
+    return x.qa().select("doc_id", t.simhash(t.simhash_tokens("q")).alias("h")).select("doc_id", "h", t.hamming("h", F.lit(255).cast("long")).cast("int").alias("to_255"))
 
 
-@query("p30_snowflake", "SELECT event_id, (epoch_ms(ts) - 1288834974657) * 4194304 + (user_id % 32) * 131072 + (event_id % 32) * 4096 + event_id % 4096 AS id, epoch_ms(ts) AS ms, user_id % 32 AS datacenter, event_id % 4096 AS sequence FROM events")
+@query("p30_snowflake", "SELECT event_id, (epoch_us(ts) // 1000 - 1288834974657) * 4194304 + (user_id % 32) * 131072 + (event_id % 32) * 4096 + event_id % 4096 AS id, epoch_us(ts) // 1000 AS ms, user_id % 32 AS datacenter, event_id % 4096 AS sequence FROM events")
 def _(x: Tables) -> DataFrame:
     made = x.events.select("event_id", t.snowflake(v.epoch_ms("ts"), F.col("user_id") % 32, F.col("event_id") % 32, F.col("event_id") % 4096).alias("id"))
     return made.select("event_id", "id", t.snowflake_parts("id").alias("p")).select("event_id", "id", "p.ms", "p.datacenter", "p.sequence")
@@ -158,9 +159,9 @@ def _(x: Tables) -> DataFrame:
     return x.labels.select("doc_id", t.judge_scores(said).alias("s")).select("doc_id", "s.accuracy", "s.relevance", "s.total")
 
 
-@query("p37_numbered_pairs", f"WITH {QA_SQL}, z AS (SELECT doc_id, substr(regexp_replace(q, '[QA]', '', 'g'), 1, 30) AS x, substr(regexp_replace(a, '[QA]', '', 'g'), 1, 30) AS y FROM qa WHERE length(q) > 5 AND length(a) > 5) SELECT doc_id, {STRIP('x')} AS question, {STRIP('y')} AS answer FROM z UNION ALL SELECT doc_id, {STRIP('y')}, {STRIP('x')} FROM z")
+@query("p37_numbered_pairs", f"WITH {QA_SQL}, z AS (SELECT doc_id, regexp_replace(q, '[QA]', '', 'g') AS x, regexp_replace(a, '[QA]', '', 'g') AS y FROM qa WHERE length(q) > 5 AND length(a) > 5) SELECT doc_id, {STRIP('x')} AS question, {STRIP('y')} AS answer FROM z UNION ALL SELECT doc_id, {STRIP('y')}, {STRIP('x')} FROM z")
 def _(x: Tables) -> DataFrame:
-    z = x.qa().where("length(q) > 5 and length(a) > 5").select("doc_id", F.substring(F.regexp_replace("q", "[QA]", ""), 1, 30).alias("x"), F.substring(F.regexp_replace("a", "[QA]", ""), 1, 30).alias("y"))
+    z = x.qa().where("length(q) > 5 and length(a) > 5").select("doc_id", F.regexp_replace("q", "[QA]", "").alias("x"), F.regexp_replace("a", "[QA]", "").alias("y"))
     said = F.concat(F.lit("Q1: "), "x", F.lit("\nA1: "), "y", F.lit("\nQ2: "), "y", F.lit("\nA2: "), "x")
     return z.select("doc_id", F.explode(t.numbered_pairs(said)).alias("p")).select("doc_id", "p.question", "p.answer")
 
@@ -214,10 +215,22 @@ def _(x: Tables) -> DataFrame:
     return x.qa().select("doc_id", s.curriculum_stage(d, "a").alias("stage"), s.difficulty(F.when(F.col("doc_id") % 2 == 0, d).otherwise("?"), "q").alias("difficulty"))
 
 
-@query("p58_effort")
+EFFORT = " + ".join(f"contains(x, '{w}')::INT" for w in j.COMPLEX_WORDS)
+
+
+@query("p58_effort", f"""WITH {QA_SQL}, z AS (SELECT doc_id, concat(q, CASE WHEN doc_id % 4 = 0 THEN '方案设计与评估' WHEN doc_id % 4 = 1 THEN '机制' ELSE '' END) AS x, CASE WHEN doc_id % 3 = 0 THEN '方案设计' ELSE 'other' END AS sub FROM qa),
+b AS (SELECT doc_id, sub, length({STRIP('x')}) AS n, ({EFFORT}) >= 3 AS hard FROM z), e AS (SELECT doc_id, sub, CASE WHEN n < 25 THEN 'minimal' WHEN n < 60 THEN CASE WHEN hard THEN 'medium' ELSE 'low' END WHEN n < 120 THEN CASE WHEN hard AND n > 80 THEN 'high' ELSE 'medium' END ELSE 'high' END AS base FROM b)
+SELECT doc_id, CASE WHEN sub = '方案设计' AND base = 'minimal' THEN 'low' WHEN sub = '方案设计' AND base = 'low' THEN 'medium' ELSE base END AS effort FROM e""")
+def _(x: Tables) -> DataFrame:
+    """P-58."""
+    made = F.concat("q", F.when(F.col("doc_id") % 4 == 0, "方案设计与评估").when(F.col("doc_id") % 4 == 1, "机制").otherwise(""))
+    return x.qa().select("doc_id", j.think_effort(made, F.when(F.col("doc_id") % 3 == 0, "方案设计").otherwise("other")).alias("effort"))
+
+
+@query("p59_complexity")
 def _(x: Tables) -> DataFrame:
-    """P-58 to P-60."""
-    z = x.qa().select("doc_id", s.think_mode("q").alias("effort"), s.complexity("q", "a").alias("complexity"))
+    """P-59, P-60; tested against plain Python."""
+    z = x.qa().select("doc_id", s.complexity("q", "a").alias("complexity"))
     return z.withColumn("difficulty", s.fit_difficulty("complexity", F.array(F.lit("medium"), F.lit("hard")), F.lit(2), F.lit(None).cast("string")))
 
 

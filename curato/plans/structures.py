@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +16,7 @@ from curato.operators import tables as o
 from curato.plans.base import QA_SQL, Catalog, Tables
 from curato.plans.scalars import SIM
 from curato.sources import readers, writers
+from curato.session import shared_folder
 from curato.streaming import flows
 
 catalog = Catalog()
@@ -40,7 +41,7 @@ def nodes(x: Tables) -> DataFrame:
 @query("d04_pairs", f"WITH {QA_SQL}, {SIM}, z AS (SELECT doc_id AS id, h FROM sim WHERE h <> 0), f AS (SELECT h, min(id) AS id FROM z GROUP BY h) SELECT x.id AS a, y.id AS b FROM f x JOIN f y ON x.id < y.id AND bit_count(xor(x.h, y.h)) <= 6 UNION ALL SELECT f.id, z.id FROM z JOIN f ON z.h = f.h AND z.id > f.id")
 def _(x: Tables) -> DataFrame:
     """D-04, J-08."""
-    h = nr.simhashes(x.qa().where("length(q) < 400").select("doc_id", t.simhash_tokens("q").alias("tokens")), "doc_id", "tokens").where("h != 0")
+    h = nr.simhashes(x.qa().select("doc_id", t.simhash_tokens("q").alias("tokens")), "doc_id", "tokens").where("h != 0")
     return nr.hamming_pairs(nr.stored(h))
 
 
@@ -53,28 +54,35 @@ def _(x: Tables) -> DataFrame:
 
 @query("d05_pairs", "SELECT x.vec_id AS a, y.vec_id AS b, round(list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), 6) AS score FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id AND list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) >= 0.45")
 def _(x: Tables) -> DataFrame:
-    """D-05, D-13, J-08."""
+    """D-05, J-08."""
     return nr.cosine_pairs(x.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), 0.45).select("a", "b", F.round("score", 6).alias("score"))
 
 
+@query("d13_similar", "WITH s AS (SELECT q.vec_id AS qid, e.vec_id AS id, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS score FROM embeddings q, embeddings e WHERE q.label = 1) SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id)::INT AS rank, id, round(score, 6) AS score FROM s QUALIFY rank <= 4")
+def _(x: Tables) -> DataFrame:
+    """D-13: the four vectors most like each one of a label."""
+    rows = x.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return nr.similar_items(rows, x.embeddings.where("label = 1").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("v")), 4, 512).withColumn("score", F.round("score", 6))
+
+
 @query("d05_embeddings")
 def _(x: Tables) -> DataFrame:
     """D-05, D-06; tested against the plain loop."""
     return nr.dedup_embeddings(x.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label"), 0.45, "label").select("id", "label")
 
 
-@query("d09_diversity", f"""WITH {QA_SQL}, k AS (SELECT doc_id AS id, list_distinct(regexp_extract_all(lower(q), '\\b[a-z]{{3,}}\\b')) AS w FROM qa WHERE NOT regexp_matches(q, '[^\\x00-\\x7f]') AND length(q) < 200), tk AS (SELECT id, len(w) AS n, unnest(w) AS w FROM k WHERE len(w) > 0)
+@query("d09_diversity", f"""WITH {QA_SQL}, k AS (SELECT doc_id AS id, list_filter(list_distinct(regexp_extract_all(lower(q), '[\\p{{L}}\\p{{N}}\\p{{M}}_]+')), lambda w: regexp_full_match(w, '[a-z]{{3,}}')) AS w FROM qa), tk AS (SELECT id, len(w) AS n, unnest(w) AS w FROM k WHERE len(w) > 0)
 SELECT x.id AS a, y.id AS b FROM tk x JOIN tk y ON x.w = y.w AND x.id < y.id GROUP BY x.id, y.id, x.n, y.n HAVING count(*) >= greatest(x.n, y.n) * 0.7""")
 def _(x: Tables) -> DataFrame:
     """D-09, D-10, U-04."""
-    k = x.qa().where(r"not q rlike '[^\\x00-\\x7f]' and length(q) < 200").select(F.col("doc_id").alias("id"), t.core_keywords("q").alias("words"))
+    k = x.qa().select(F.col("doc_id").alias("id"), t.core_keywords("q").alias("words"))
     return nr.keyword_pairs(k, 0.7)
 
 
 @query("d10_similarity")
 def _(x: Tables) -> DataFrame:
     """D-10, Q-05."""
-    z = x.qa().select(F.col("doc_id").alias("id"), t.similarity_tokens("q").alias("x"), F.slice(t.similarity_tokens("a"), 1, 200).alias("y"))
+    z = x.qa().select(F.col("doc_id").alias("id"), t.similarity_tokens("q").alias("x"), t.similarity_tokens("a").alias("y"))
     return z.mapInArrow(nr.rouge_overlap, "id long, similarity double")
 
 
@@ -123,10 +131,31 @@ def _(x: Tables) -> DataFrame:
 
 @query("g10_centralities")
 def _(x: Tables) -> DataFrame:
-    """G-10, G-12; tested against plain implementations."""
+    """G-10, G-12: all nodes are sources, and paths of any length count; tested against plain implementations."""
+    e = nr.stored(edges(x))
+    return g.hubs(g.degree_centrality(e), g.betweenness(e, nodes(x), None), 10)
+
+
+@query("g10_closeness", f"""WITH RECURSIVE {EDGES}, l AS (SELECT DISTINCT src, dst FROM edges), i AS (SELECT src AS id FROM edges UNION SELECT dst FROM edges), p AS (SELECT id AS start, id AS node, 0 AS d FROM i WHERE id < 100000 UNION SELECT p.start, l.dst, p.d + 1 FROM p JOIN l ON l.src = p.node WHERE p.d < 26), b AS (SELECT start, node, min(d) AS d FROM p GROUP BY start, node), q AS (SELECT start, node, d FROM b UNION ALL SELECT e.src, b.node, b.d + 1 FROM edges e JOIN b ON b.start = e.dst WHERE e.src >= 100000)
+SELECT node AS id, count(*) / sum(d) * count(*) / ((SELECT count(*) FROM i WHERE id IN (SELECT node FROM b) OR id >= 100000) - 1) AS closeness FROM q WHERE d > 0 GROUP BY node""")
+def _(x: Tables) -> DataFrame:
+    """G-10: suppliers are reached by nobody."""
     e = nr.stored(edges(x))
-    few = nodes(x).where("id < 1000")
-    return g.hubs(g.degree_centrality(e), g.betweenness(e, few), 10)
+    return g.closeness(g.distances(e, nodes(x), None))
+
+
+@query("g13_lengths", f"""WITH RECURSIVE {EDGES}, l AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), p AS (SELECT src AS start, src AS node, 0 AS d FROM l UNION SELECT p.start, l.dst, p.d + 1 FROM p JOIN l ON l.src = p.node WHERE p.d < 14), b AS (SELECT start, node, min(d) AS d FROM p GROUP BY start, node)
+SELECT max(d)::INT AS diameter, avg(d) AS avg_path_length FROM b WHERE d > 0""")
+def _(x: Tables) -> DataFrame:
+    """G-13: over all pairs of nodes, either way."""
+    return g.path_lengths(edges(x))
+
+
+@query("g13_clustering", f"""WITH {EDGES}, l AS (SELECT src, dst FROM edges WHERE src <> dst UNION SELECT dst, src FROM edges WHERE src <> dst), k AS (SELECT src AS id, count(*) AS k FROM l GROUP BY src), t AS (SELECT x.src AS id, count(*) / 2 AS t FROM l x JOIN l y ON x.src = y.src AND x.dst <> y.dst JOIN l z ON z.src = x.dst AND z.dst = y.dst GROUP BY x.src)
+SELECT avg(CASE WHEN k > 1 THEN 2 * coalesce(t, 0) / (k * (k - 1)) ELSE 0 END) AS clustering_coefficient FROM k LEFT JOIN t USING (id)""")
+def _(x: Tables) -> DataFrame:
+    """G-13."""
+    return g.clustering(edges(x))
 
 
 @query("g11_communities")
@@ -231,12 +260,11 @@ TOPIC = ["the", "thing", "heat", "stand"]
 
 
 @query("c01_bm25", """WITH s AS (SELECT doc_id, unnest(list_filter(list_transform(regexp_split_to_array(text, '[.!?;]+'), lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), lambda s: length(s) > 10)) AS s FROM documents WHERE NOT contains(lower(text), 'license')),
-w AS (SELECT doc_id, list_filter(regexp_extract_all(lower(s), '\\b([a-z]+)\\b', 1), lambda w: length(w) >= 2) AS w FROM s WHERE NOT regexp_matches(s, '[^\\x00-\\x7f]')),
+w AS (SELECT doc_id, list_filter(regexp_extract_all(lower(s), '[\\p{L}\\p{N}\\p{M}_]+'), lambda w: regexp_full_match(w, '[a-z]{2,}')) AS w FROM s),
 f AS (SELECT doc_id, unnest(['the', 'thing', 'heat', 'stand']) AS k, w FROM w WHERE len(w) > 0), c AS (SELECT doc_id, len(w) AS n, len(list_filter(w, lambda v: v = k)) AS tf FROM f)
-SELECT doc_id, max(tf / (tf + 1.2 * (1 - 0.75 + 0.75 * n / 100)) * (ln(5) + 1)) AS score FROM c WHERE tf > 0 AND doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en' AND NOT regexp_matches(text, '[^\\x00-\\x7f]')) GROUP BY doc_id""")
+SELECT doc_id, max(tf / (tf + 1.2 * (1 - 0.75 + 0.75 * n / 100)) * (ln(5) + 1)) AS score FROM c WHERE tf > 0 GROUP BY doc_id""")
 def _(x: Tables) -> DataFrame:
-    docs = x.documents.where(r"lang = 'en' and not text rlike '[^\\x00-\\x7f]'")
-    return cl.bm25(docs, "doc_id", "text", TOPIC, ["license"]).where("score > 0")
+    return cl.bm25(x.documents, "doc_id", "text", TOPIC, ["license"]).where("score > 0")
 
 
 @query("c02_keyword_rules", "SELECT doc_id, (len(list_filter(['er', 'in', 'zz'], lambda w: contains(lower(text), w))) < 3) AND (contains(lower(text), 'the') OR len(list_filter(['and', 'ing'], lambda w: contains(lower(text), w))) >= 2) AS broad, regexp_matches(lower(text), 'agriculture|farming|crops|farm|farmers|livestock|wheat|corn|rice|soybean|vegetables|fruits') AND contains(lower(text), 'the') AS strict, contains(lower(text), 'the') AND regexp_matches(lower(text), 'and|ing') AND len(list_filter(['license', 'apache'], lambda w: contains(lower(text), w))) <= 1 AS production, NOT contains(lower(text), 'license') AND contains(lower(text), 'the') AND contains(lower(text), 'and') AND regexp_matches(lower(text), 'agriculture|cultivation|harvesting|crop|livestock|fishery|forestry|gene|breeding|fertilizer|irrigation|pesticide|soil') AS keyword FROM documents")
@@ -293,7 +321,7 @@ def _(x: Tables) -> DataFrame:
 
 @query("s01_json_lines", "SELECT event_id, event_type FROM events")
 def _(x: Tables) -> DataFrame:
-    """S-01 to S-08, K-01: written as JSON lines and read back."""
+    """S-01, S-03, K-01: written as JSON lines and read back."""
     path = f"{_scratch(x)}/json"
     writers.json_out(x.events.select("event_id", "event_type"), path)
     return readers.good_and_bad(readers.json_lines(x.spark, path, "event_id long, event_type string"))[0].drop("file_name")
@@ -301,7 +329,7 @@ def _(x: Tables) -> DataFrame:
 
 @query("s11_triples", f"WITH {EDGES} SELECT src::VARCHAR AS head, rel AS relation, dst::VARCHAR AS tail FROM edges")
 def _(x: Tables) -> DataFrame:
-    """S-11 to S-15."""
+    """S-11, S-13: tables are read in splits."""
     path = f"{_scratch(x)}/triples"
     writers.csv_out(edges(x).select(F.col("src").alias("source"), F.col("rel").alias("relationship"), F.col("dst").alias("target")), path)
     return readers.triples(x.spark, path).select("head", "relation", "tail")
@@ -353,7 +381,4 @@ def _(x: Tables) -> DataFrame:
 
 def _scratch(x: Tables) -> str:
     """A new folder that driver and executors share."""
-    import uuid
-
-    root = x.spark.conf.get("spark.checkpoint.dir", None) or x.spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp()
-    return f"{root.rstrip('/')}/query-{uuid.uuid4().hex}"
+    return f"{shared_folder(x.spark)}/query-{uuid.uuid4().hex}"

@@ -7,7 +7,7 @@ import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -50,7 +50,7 @@ def allowed_files(df: DataFrame, names: DataFrame) -> DataFrame:
 
 def whole_texts(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
     """S-08: path and text of each file."""
-    return spark.read.option("wholetext", True).option("recursiveFileLookup", recursive).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return spark.read.option("recursiveFileLookup", recursive).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
@@ -99,10 +99,21 @@ def seed_questions(df: DataFrame, required: list[str], date: str, flag: str) ->
     return made.withColumn("errors", F.array_compact(F.array(*errors)))
 
 
-def ids_from_paths(df: DataFrame, path: str) -> DataFrame:
-    """S-17, S-18: distinct ids and alternative ids in paths, the first of each."""
-    got = df.select(F.nullif(F.regexp_extract(path, r"(PMC\d+)", 1), F.lit("")).alias("id"), F.nullif(F.regexp_extract(path, r"([^/\\]+?)(?:\.[A-Za-z]+)?$", 1), F.lit("")).alias("alt_id"))
-    return got.dropDuplicates(["id", "alt_id"])
+def id_of_cell(cell: Column) -> tuple[Column, Column]:
+    """S-18: the id in a cell, which is a file's name without its ending, and the relative path if the cell is one."""
+    text = F.replace(F.trim(cell), F.lit("\\"), F.lit("/"))
+    name = F.element_at(F.split(text, "/"), -1)
+    ident = F.when(name.contains("."), F.regexp_replace(name, r"\.[^.]*$", "")).otherwise(name)
+    return F.nullif(ident, F.lit("")), F.when(text.contains("/"), F.regexp_replace(text, "^/+", ""))
+
+
+def id_list(df: DataFrame, cell: str, other: str, order: str) -> DataFrame:
+    """S-17, S-18: id, rel_path, alt_id, alt_rel_path of rows that name a document in either column: the first column's id, with
+    the other's as alternative if it differs. Of rows with one id and alternative the first by order stays."""
+    (a, ra), (b, rb) = id_of_cell(F.col(cell)), id_of_cell(F.col(other))
+    both = F.coalesce(a != b, F.lit(False))
+    rows = df.select(F.col(order).alias("row"), F.coalesce(a, b).alias("id"), F.when(a.isNotNull(), ra).otherwise(rb).alias("rel_path"), F.when(both, b).alias("alt_id"), F.when(both, rb).alias("alt_rel_path")).where("id is not null")
+    return rows.groupBy("id", "alt_id").agg(*[F.min_by(c, "row").alias(c) for c in ("rel_path", "alt_rel_path")], F.min("row").alias("row"))
 
 
 def keyword_table(df: DataFrame, label: str, keywords: str) -> DataFrame:
@@ -131,14 +142,18 @@ def allow_list(stats: DataFrame, counts: str, k: int | None = None) -> DataFrame
 
 
 class SheetSource(DataSource):
-    """S-16 to S-18: rows of the first sheet of .xlsx files as (file, row, cells), read from their XML without other packages."""
+    """S-16 to S-19: rows of all sheets of .xlsx files as (file, sheet, row, cells), read from their XML without other packages.
+
+    Option path: files, parted by semicolons, in any store that Arrow reads; each file is a partition. Cells are placed by
+    their column letters, so an empty one is null and keeps those behind it in their columns.
+    """
 
     @classmethod
     def name(cls) -> str:
         return "sheet"
 
     def schema(self) -> str:
-        return "file string, row int, cells array<string>"
+        return "file string, sheet int, row int, cells array<string>"
 
     def reader(self, schema) -> DataSourceReader:
         return SheetReader([p for p in self.options["path"].split(";") if p])
@@ -152,14 +167,53 @@ class SheetReader(DataSourceReader):
         return [InputPartition(p) for p in self.paths]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
+        from pyarrow import fs
+
+        store, path = fs.FileSystem.from_uri(partition.value)
         tag = lambda e: e.tag.rsplit("}", 1)[-1]
-        with zipfile.ZipFile(partition.value) as z:
-            names, shared = z.namelist(), []
-            if "xl/sharedStrings.xml" in names:
+        with store.open_input_file(path) as raw, zipfile.ZipFile(raw) as z:
+            shared = []
+            if "xl/sharedStrings.xml" in z.namelist():
                 shared = ["".join(t.text or "" for t in si.iter() if tag(t) == "t") for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")) if tag(si) == "si"]
-            for i, row in enumerate(e for e in ElementTree.fromstring(z.read("xl/worksheets/sheet1.xml")).iter() if tag(e) == "row"):
-                cells = []
-                for c in (c for c in row if tag(c) == "c"):
-                    raw = next((v.text for v in c.iter() if tag(v) in ("v", "t")), None)
-                    cells.append(shared[int(raw)] if c.get("t") == "s" and raw is not None else raw)
-                yield partition.value, i, cells
+            sheets = sorted((int(m[1]), n) for n in z.namelist() if (m := re.fullmatch(r"xl/worksheets/sheet(\d+)\.xml", n)))
+            for number, name in sheets:
+                with z.open(name) as xml:
+                    at = 0
+                    for _, row in ElementTree.iterparse(xml):
+                        if tag(row) != "row":
+                            continue
+                        cells: list[str | None] = []
+                        for c in (c for c in row if tag(c) == "c"):
+                            letters = re.match(r"[A-Z]*", c.get("r", ""))[0]
+                            place = sum((ord(x) - 64) * 26**i for i, x in enumerate(reversed(letters))) - 1 if letters else len(cells)
+                            cells += [None] * (place - len(cells))
+                            if c.get("t") == "inlineStr":
+                                cells.append("".join(t.text or "" for t in c.iter() if tag(t) == "t"))
+                            else:
+                                value = next((v.text for v in c if tag(v) == "v"), None)
+                                cells.append(shared[int(value)] if c.get("t") == "s" and value is not None else value)
+                        yield partition.value, number, at, cells
+                        at += 1
+                        row.clear()
+
+
+def sheets(spark: SparkSession, files: list[str]) -> DataFrame:
+    spark.dataSource.register(SheetSource)
+    return spark.read.format("sheet").option("path", ";".join(files)).load()
+
+
+#: What a heading of a column holds in small letters, the last column that fits counts.
+QUESTION_HEADS, SUB_HEADS, CATEGORY_HEADS = ["问题", "question"], ["sub_category", "sub-category", "子类别", "子分类", "亚类"], ["category", "类别", "分类", "类型"]
+
+
+def sheet_questions(rows: DataFrame) -> DataFrame:
+    """S-16: question, category, sub_category, file, sheet, row (from 1) of sheets with a column of questions, by fuzzy headings;
+    questions of three characters or less are left out, a missing category is empty."""
+    holds = lambda c, words: F.lower(c).rlike("|".join(words))
+    kind = lambda c: F.when(holds(c, QUESTION_HEADS), "q").when(holds(c, SUB_HEADS), "s").when(holds(c, CATEGORY_HEADS), "c").otherwise("")
+    kinds = F.transform("cells", lambda c: F.coalesce(kind(c), F.lit("")))
+    last = lambda k: F.coalesce(F.array_max(F.transform(kinds, lambda x, i: F.when(x == k, i + 1))), F.lit(0))
+    heads = rows.where("row = 0").select("file", "sheet", last("q").alias("q"), last("c").alias("c"), last("s").alias("s")).where("q > 0")
+    cell = lambda at: F.trim(F.coalesce(F.when((F.col(at) > 0) & (F.col(at) <= F.size("cells")), F.element_at("cells", F.greatest(F.col(at), F.lit(1)))), F.lit("")))
+    told = rows.where("row > 0").join(heads, ["file", "sheet"]).select(cell("q").alias("question"), cell("c").alias("category"), cell("s").alias("sub_category"), "file", "sheet", "row")
+    return told.where("length(question) > 3")

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from curato.session import shared_folder
+
 
 def read_files(spark: SparkSession, path: str, schema: str, kind: str = "parquet", files: int = 100) -> DataFrame:
     """R-01, S-14: new files of a folder; what is done is in the query's checkpoint."""
@@ -57,6 +60,41 @@ def each_batch(df: DataFrame, work: Callable[[DataFrame, int], None], checkpoint
     return df.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
 
 
+def progress(log: DataFrame) -> DataFrame:
+    """R-03: file, state, error, at of a log of events (file, state, error, at): once completed a file stays so, else its last failure counts."""
+    done = F.max(F.when(F.col("state") == "completed", F.col("at")))
+    last = F.max_by(F.struct("state", "error", "at"), F.struct("at", "error"))
+    told = log.groupBy("file").agg(done.alias("done"), last.alias("last"))
+    return told.select("file", F.when(F.col("done").isNotNull(), "completed").otherwise(F.col("last.state")).alias("state"), F.when(F.col("done").isNull(), F.col("last.error")).alias("error"), F.coalesce("done", "last.at").alias("at"))
+
+
+def pending(files: DataFrame, log: DataFrame) -> DataFrame:
+    """R-01, R-03: files (file) that no event of the log has completed."""
+    return files.join(log.where("state = 'completed'").select("file").distinct(), "file", "left_anti")
+
+
+def until_quota(df: DataFrame, order: str, cost: str, quota: float, start: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """R-04: rows from the start (one row, last_file) on whose costs together, by order, stay within the quota; and the state to go on
+    from (last_file): the first row that didn't fit, or none.
+
+    Costs before a row are sums of whole ranges of the order, found first, and a running sum inside its range, so no task sees all rows.
+    """
+    if start is not None:
+        df = df.join(F.broadcast(start.select("last_file").limit(1)), F.col(order) >= F.col("last_file")).drop("last_file")
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(n, order).withColumn("__part", F.spark_partition_id())
+    path = f"{shared_folder(df.sparkSession)}/quota-{uuid.uuid4().hex}"
+    dealt.write.parquet(path)
+    dealt = df.sparkSession.read.schema(dealt.schema).parquet(path)
+    # as many rows as partitions
+    sums = dealt.groupBy("__part").agg(F.sum(cost).alias("__sum"))
+    before = sums.withColumn("__before", F.coalesce(F.sum("__sum").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__sum")
+    inside = F.sum(cost).over(Window.partitionBy("__part").orderBy(order))
+    ran = dealt.join(F.broadcast(before), "__part").withColumn("__total", F.col("__before") + inside)
+    fits = ran.where(F.col("__total") <= quota).drop("__part", "__before", "__total")
+    return fits, ran.where(F.col("__total") > quota).agg(F.min(order).alias("last_file")).where("last_file is not null")
+
+
 def cache_key(query: Column, k: Column, sources: Column) -> Column:
     """R-05."""
     return F.md5(F.concat_ws(":", query, k.cast("string"), F.array_join(F.array_sort(sources), ",")))

@@ -47,5 +47,5 @@ def difference(plan, sql: str, spark, folder: str, con=None) -> str | None:
     other = sorted((tuple(plain(r[i]) for i in at) for r in rel.fetchall()), key=repr)
     if len(mine) != len(other):
         return f"{len(mine)} and {len(other)} rows"
-    bad = [(a, b) for a, b in zip(mine, other, strict=True) if repr(a) != repr(b) and not all(p == q or isinstance(p, (int, float)) and isinstance(q, (int, float)) and math.isclose(p, q, rel_tol=1e-8) for p, q in zip(a, b, strict=True))]
+    bad = [(a, b) for a, b in zip(mine, other, strict=True) if repr(a) != repr(b) and not all(p == q or float in (type(p), type(q)) and {type(p), type(q)} <= {int, float} and math.isclose(p, q, rel_tol=1e-8) for p, q in zip(a, b, strict=True))]
     return f"{len(bad)} rows, first {str(bad[0])[:700]} ({names})" if bad else None

@@ -4,9 +4,9 @@ import compare
 import pytest
 from pyspark.sql import functions as F
 
-from curato.plans import relational, scalars, structures
+from curato.plans import files, relational, scalars, structures
 
-ALL = {n: (p, c.sql.get(n)) for c in (scalars.catalog, relational.catalog, structures.catalog) for n, p in c.plans.items()}
+ALL = {n: (p, c.sql.get(n)) for c in (scalars.catalog, relational.catalog, structures.catalog, files.catalog) for n, p in c.plans.items()}
 MAY_BE_EMPTY = {"a25_tag_rate"}
 
 
