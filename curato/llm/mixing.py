@@ -175,8 +175,7 @@ def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows = shared.keep(_rows(docs, doc_id, text, source), "sizes")
     out, _ = mix_sources(rows)
     uses = out.select("at", "size", "pattern", F.when(F.col("size") > 0, (F.col("taken") / F.col("size")).cast("int")).otherwise(1).alias("uses")).distinct()
-    n = shared.free_name(docs, "__size")
-    p = shared.free_name(docs, "__pattern")
-    sized = docs.withColumns({n: words_of(docs[text].cast("string")), p: F.array(docs[source].cast("string"))})
-    both = sized.join(uses, sized[doc_id].eqNullSafe(uses["at"]) & (sized[n] == uses["size"]) & sized[p].eqNullSafe(uses["pattern"]))
-    return both.withColumn("uses", F.explode(F.when(F.col("uses") > 0, F.sequence(F.lit(1), F.col("uses"))))).select(*[sized[c] for c in docs.columns])
+    a, n, p, b, m, q, u = (shared.free_name(docs, f"__{x}") for x in ("at", "size", "pattern", "own_at", "own_size", "own_pattern", "uses"))
+    sized = docs.withColumns({a: docs[doc_id], n: words_of(docs[text].cast("string")), p: F.array(docs[source].cast("string"))})
+    both = sized.join(uses.toDF(b, m, q, u), F.col(a).eqNullSafe(F.col(b)) & (F.col(n) == F.col(m)) & F.col(p).eqNullSafe(F.col(q)))
+    return both.withColumn(u, F.explode(F.when(F.col(u) > 0, F.sequence(F.lit(1), F.col(u))))).select(*[F.col(f"`{c}`") for c in docs.columns])

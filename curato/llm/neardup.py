@@ -10,7 +10,7 @@ with probability 5e-6. A bucket of n classes makes n-1 pairs, each class with th
 choose centres. Pairs are verified on full sets, and links are joined into components. Where a bucket still holds several
 components, pairs between different components remain that no centre has settled: while those are many, more rounds use
 other centres; at last the classes outside the bucket's commonest component are compared with all classes of other
-components in it, in parts of bounded size. Nothing is capped: every pair that shares a bucket ends up verified or already joined.
+components in it, a part of the former with a part of the latter, each of bounded size. Nothing is capped: every pair that shares a bucket ends up verified or already joined.
 
 Defined results: a null text is empty; documents without words have no shingles, are linked with nothing and kept. A null
 doc_id counts as the smallest and is returned as null. Rows that repeat a doc_id are told apart by their sets; with equal
@@ -74,17 +74,6 @@ def _walk(values: np.ndarray, counts: np.ndarray, out: np.ndarray, m: int) -> No
             values, doc, way = values[open_], doc[open_], way[open_]
 
 
-def pack(values: np.ndarray) -> bytes:
-    """The top 40 bits of sorted hashes, four bytes and one byte apart."""
-    top = values >> np.uint64(24)
-    return (top >> np.uint64(8)).astype("<u4").tobytes() + top.astype(np.uint8).tobytes()
-
-
-def unpack(raw: bytes) -> np.ndarray:
-    n = len(raw) // 5
-    return (np.frombuffer(raw, "<u4", n).astype(np.uint64) << np.uint64(8)) | np.frombuffer(raw, np.uint8, n, 4 * n)
-
-
 def sets_of(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For blocks of texts: the first one's number, distinct shingles and where each text's begin."""
     data, offsets = shared.text_buffers(column)
@@ -119,48 +108,37 @@ def sketch(batches: Iterator[pa.RecordBatch], k: int = WORDS) -> Iterator[pa.Rec
 def full_sets(batches: Iterator[pa.RecordBatch], k: int = WORDS) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for _, values, begin in sets_of(batch.column(1), k):
-            rows = [pack(values[a:b]) for a, b in zip(begin, begin[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([pa.array(class_ids(values, begin)), pa.array(rows, pa.binary())], names=["c", "s"])
-
-
-def alike(both: int, x: int, y: int) -> bool:
-    return 100 * both >= THRESHOLD * (x + y - both)
-
-
-def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """a, b of the pairs a, b, x, y whose sets x and y are alike."""
-    for batch in batches:
-        ok = []
-        for x, y in zip(batch.column(2), batch.column(3), strict=True):
-            x, y = unpack(x.as_py()), unpack(y.as_py())
-            small, large = sorted((len(x), len(y)))
-            ok.append(100 * small >= THRESHOLD * large and alike(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)))
-        yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            rows = pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(values.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(class_ids(values, begin)), rows], names=["c", "s"])
 
 
 def settle(table: pa.Table) -> pa.Table:
-    """Links between the classes outside the bucket's main component (rest) and those of other components in this part."""
+    """Links between the classes of a bucket's part that are outside its main component (rest) and those of other components
+    in another part of it."""
     c, label, rest = (table.column(x).to_numpy() for x in ("c", "label", "rest"))
-    sets = [unpack(x.as_py()) for x in table.column("s")]
-    sizes = np.array([len(x) for x in sets])
+    sets = table.column("s").combine_chunks()
+    sizes = sets.value_lengths().to_numpy()
     ends = np.r_[0, np.cumsum(sizes)]
     # shingles get numbers once; a set is then a mask over them that all others are looked up in
-    shingles, every = np.unique(np.concatenate(sets), return_inverse=True)
+    shingles, every = np.unique(sets.flatten().to_numpy(), return_inverse=True)
     here, found = np.zeros(len(shingles), bool), []
-    main = ~rest if int(table.column("part")[0].as_py()) else np.ones(len(c), bool)
-    for u in np.flatnonzero(rest):
+    side = table.column("side").to_numpy(zero_copy_only=False)
+    for u in np.flatnonzero(rest & side):
         own = every[ends[u] : ends[u + 1]]
         here[own] = True
         both = np.add.reduceat(here[every].astype(np.int64), ends[:-1])
         here[own] = False
-        hit = main & (label != label[u]) & (100 * both >= THRESHOLD * (sizes + sizes[u] - both))
+        hit = ~side & (label != label[u]) & (100 * both >= THRESHOLD * (sizes + sizes[u] - both))
         found += [(c[u], c[v]) for v in np.flatnonzero(hit)[np.unique(label[hit], return_index=True)[1]]]
     return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
 
 
 def checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    x, y = sets.toDF("a", "x"), sets.toDF("b", "y")
-    return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
+    """The pairs a, b whose full sets are alike; row by row, so no task holds more than two sets besides its sorts."""
+    x, y, n, m = sets.toDF("a", "x"), sets.toDF("b", "y"), F.size("x"), F.size("y")
+    met = pairs.join(y, "b").join(x, "a").where(100 * F.least(n, m) >= THRESHOLD * F.greatest(n, m))
+    # 100 * both >= THRESHOLD * (n + m - both)
+    return met.where((100 + THRESHOLD) * F.size(F.array_intersect("x", "y")) >= THRESHOLD * (n + m)).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = WORDS) -> DataFrame:
@@ -186,22 +164,24 @@ def grouped(docs: DataFrame, doc_id: str, text: str, k: int = WORDS) -> DataFram
     label = None
     if shared.has_rows(buckets):
         wanted = buckets.select("c").distinct().join(classes, "c")
-        sets = shared.keep(own.join(wanted.select("at").distinct(), "at", "left_semi").mapInArrow(lambda b: full_sets(b, k), "c long, s binary").join(wanted.select("c"), "c", "left_semi").groupBy("c").agg(F.first("s").alias("s")), "sets")
+        sets = shared.keep(own.join(wanted.select("at").distinct(), "at", "left_semi").mapInArrow(lambda b: full_sets(b, k), "c long, s array<long>").join(wanted.select("c"), "c", "left_semi").groupBy("c").agg(F.first("s").alias("s")), "sets")
         label = joined(buckets, sets)
     table = classes.select("c", F.col("at").alias("smallest"), F.col("c").alias("label"))
     if label is not None:
         whole = label.join(table.select("c", "smallest"), label["v"] == F.col("c")).groupBy("label").agg(F.min("smallest").alias("least"))
         table = table.select("c", "smallest").join(label.join(whole, "label").select(F.col("v").alias("c"), "least", "label"), "c", "left").select("c", F.coalesce("least", "smallest").alias("smallest"), F.coalesce("label", "c").alias("label"))
-    out = sketched.select("at", "h", "n", "c").join(table, "c", "left")
+    # written, so that Spark can split the join at a class that holds a large part of all rows
+    out = sketched.select("at", "h", "n", "c").join(shared.keep(table, "classes"), "c", "left")
     return out.select("at", "h", "n", F.when(F.col("n") > 0, F.col("smallest")).otherwise(F.col("at")).alias("least"), F.when(F.col("n") > 0, F.col("label")).alias("label"))
 
 
-def joined(buckets: DataFrame, sets: DataFrame, rounds: int = 4, pairs_per_row: int = 1024) -> DataFrame:
+def joined(buckets: DataFrame, sets: DataFrame, pairs_per_row: int = 1024) -> DataFrame:
     """v, label of the classes that are linked with any other."""
     links = shared.keep(checked(buckets.where("c != centre").select(F.least("c", "centre").alias("a"), F.greatest("c", "centre").alias("b")).distinct(), sets), "pairs")
     label = shared.keep(components(links), "labels")
-    total = buckets.count()
-    for turn in range(1, rounds + 1):
+    total, before, turn = buckets.count(), None, 0
+    while True:
+        turn += 1
         # buckets of two are settled; in others, classes of different components may not have met
         marked = buckets.where("size > 2").join(label.withColumnRenamed("v", "c"), "c", "left").select("key", "c", F.coalesce("label", "c").alias("label"))
         sizes = marked.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
@@ -210,17 +190,23 @@ def joined(buckets: DataFrame, sets: DataFrame, rounds: int = 4, pairs_per_row:
         if not shared.has_rows(openings):
             return label
         todo = openings.where("rest").agg(F.sum("size")).first()[0]
-        if todo <= pairs_per_row * total or turn == rounds:
+        # once a round has brought little, what is left is compared one by one
+        if todo <= pairs_per_row * total or before is not None and todo > 0.7 * before:
             break
+        before = todo
         # other centres of the main component, for the rest; and of the rest, for all; buckets choose by one order, so those
         # that hold the same classes choose the same centres and their pairs are few
         ends = openings.groupBy("key").agg(F.min(F.when(~F.col("rest"), F.struct(F.xxhash64("c", F.lit(turn)).alias("h"), "c", "label"))).alias("p"), F.min(F.when(F.col("rest"), F.struct(F.xxhash64("c", F.lit(turn)).alias("h"), "c", "label"))).alias("q"))
         more = openings.join(ends, "key").select("c", "label", F.explode(F.array("p", "q")).alias("e")).where("label != e.label").select(F.least("c", "e.c").alias("a"), F.greatest("c", "e.c").alias("b")).distinct()
         links = shared.keep(links.union(checked(more, sets)), "pairs")
         label = shared.keep(components(links), "labels")
-    spread = openings.withColumn("parts", F.ceil(F.col("size") / MEMBERS_PER_PART).cast("int"))
-    spread = spread.withColumn("part", F.explode(F.when(F.col("rest"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("c"), F.col("parts")).cast("int")))))
-    found = spread.select("key", "part", "c", "label", "rest").join(sets, "c").groupBy("key", "part").applyInArrow(settle, "a long, b long")
+    # parts of the rest meet parts of the whole bucket, so that no task holds more than two parts
+    parts = lambda size: F.greatest(F.lit(1), F.ceil(F.col(size) / MEMBERS_PER_PART)).cast("int")
+    own = lambda n: F.pmod(F.xxhash64("c", F.lit(n)), F.col(n)).cast("int")
+    dealt = openings.withColumn("parts", parts("size")).withColumn("rests", parts("n_rest"))
+    asking = dealt.where("rest").select("key", own("rests").alias("i"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"), F.lit(True).alias("side"), "c", "label", "rest")
+    asked = dealt.select("key", F.explode(F.sequence(F.lit(0), F.col("rests") - 1)).alias("i"), own("parts").alias("j"), F.lit(False).alias("side"), "c", "label", "rest")
+    found = asking.union(asked).join(sets, "c").groupBy("key", "i", "j").applyInArrow(settle, "a long, b long")
     return shared.keep(components(links.union(found)), "labels")
 
 

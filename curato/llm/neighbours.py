@@ -1,12 +1,13 @@
 """Approximate nearest neighbours by NN-descent and greedy graph search.
 
-Equal vectors are one node. A first graph comes from TREES partitions of the nodes by random hyperplanes, whose medians are
-fitted on at most SAMPLE vectors and cut all nodes into leaves of about LEAF; a larger leaf is dealt to parts by hash.
-Inside a part each node's K nearest are found by blocks of matrix products. NN-descent then improves the graph by Spark
+Vectors that differ by a power of two only are one node. A first graph comes from TREES partitions of the nodes by random
+hyperplanes, whose medians are fitted on at most SAMPLE vectors and cut all nodes into leaves of about LEAF; cells that hold
+less than CELL_SAMPLE of the sample are cut on at the medians of the last cell that held more. A larger leaf is dealt to parts
+by hash. Inside a part each node's K nearest are found by blocks of matrix products. NN-descent then improves the graph by Spark
 joins: each node is a pivot whose neighbours, and those that have it as neighbour, meet there as neighbours of neighbours and
 offer each other what is nearer than their present worst; a pivot takes up to MEET of them, chosen by a hash that changes
 each round, and rounds go on until hardly an entry of the lists changes. Queries search the graph greedily: a query holds the EF
-nearest nodes found, and EF_A_LEVEL more for each level of the trees, each round expands its STEP nearest
+nearest nodes found, and EF_A_LEVEL more for each level of the trees; each round expands its STEP nearest
 unexpanded ones by a join with the graph, and it rests when none is left. Distances of descent and search use one byte a
 component; the RERANK nearest of each query are measured on the original vectors in double precision.
 
@@ -26,13 +27,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from curato.llm import shared
 
-K, TREES, LEAF, SAMPLE, ROUNDS, MEET, OFFERS = 32, 6, 8192, 20_000, 2, 32, 5
-EF, EF_A_LEVEL, STEP, RERANK, SEED = 128, 32, 32, 32, 41
+K, TREES, LEAF, SAMPLE, CELL_SAMPLE, ROUNDS, MEET, OFFERS = 32, 6, 256, 20_000, 32, 2, 32, 5
+EF, EF_A_LEVEL, STEP, RERANK, SEED = 64, 24, 32, 32, 41
 #: Descent ends after the first of its rounds, but ROUNDS at least, that changes a smaller share of the list entries.
 SETTLED = 0.002
 LISTS = "u long, ids array<long>, scores array<float>"
@@ -92,13 +94,26 @@ def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     return rows.where(F.size("e") == (length["n"] if length else 0))
 
 
+def scaled(df: DataFrame) -> DataFrame:
+    """vec_id and e times the power of two that brings its largest component to 0.5 to 1: cosines stay as they are, to the bit,
+    and squares stay finite."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x = b.column(1).flatten().to_numpy().reshape(b.num_rows, -1)
+                x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+                at = pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(at, pa.array(x.ravel()))], names=["vec_id", "e"])
+
+    return df.select("vec_id", "e").mapInArrow(work, "vec_id long, e array<double>")
+
+
 def pack_units(df: DataFrame) -> DataFrame:
     """node, e and the unit vector as q, one signed byte a component."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = b.column(1).flatten().to_numpy().reshape(b.num_rows, -1) if b.num_rows else np.zeros((0, 1))
-            # scaled by the largest component first, so that squares stay finite
-            x = x / np.abs(x).max(axis=1, keepdims=True)
             x = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
             small = np.rint(x * 127).astype(np.int8)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([r.tobytes() for r in small], pa.binary())], names=["node", "e", "members", "q"])
@@ -111,26 +126,37 @@ def depth_of(n: int, leaf: int) -> int:
 
 
 def trees_of(sample: np.ndarray, n: int, trees: int, leaf: int) -> list[list[tuple[np.ndarray, np.ndarray]]]:
-    """For each tree and level: hyperplanes (one a level) and the median of each cell, by cell number."""
+    """For each tree and level: a hyperplane and the median of each cell, by cell number; cells of levels for which the sample
+    is too small have the median of the cell above them that it is large enough for."""
     rng, depth, out = np.random.default_rng(SEED), depth_of(n, leaf), []
+    known = max(0, int(math.log2(max(1, len(sample) / CELL_SAMPLE))))
     for _ in range(trees):
         cell, levels = np.zeros(len(sample), np.int64), []
         for d in range(depth):
             plane = rng.normal(size=sample.shape[1])
             along = sample @ plane
-            cut = np.array([np.median(along[cell == c]) if (cell == c).any() else 0.0 for c in range(2**d)])
-            levels.append((plane, cut))
-            cell = cell * 2 + (along > cut[cell])
+            by = np.lexsort((along, cell))
+            edges = np.searchsorted(cell[by], np.arange(2 ** min(d, known) + 1))
+            middle = along[by][np.clip((edges[:-1] + edges[1:]) // 2, 0, max(0, len(by) - 1))] if len(by) else np.zeros(2 ** min(d, known))
+            levels.append((plane, middle))
+            if d < known:
+                cell = cell * 2 + (along > middle[cell])
         out.append(levels)
     return out
 
 
+def cells_of(x: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    cell = np.zeros(len(x), np.int64)
+    for d, (plane, middle) in enumerate(levels):
+        cell = cell * 2 + (x @ plane > middle[cell >> (d - (len(middle).bit_length() - 1))])
+    return cell
+
+
 def first_graph(nodes: DataFrame, n: int) -> DataFrame:
     spark = nodes.sparkSession
     picked = nodes.select("q").where(F.pmod(F.xxhash64("node", F.lit(SEED)), F.lit(1 << 30)) < max(1, int((1 << 30) * min(1.0, SAMPLE / max(1, n))))).limit(2 * SAMPLE).collect()
     sample = unit([r["q"] for r in picked], "i1") if picked else np.zeros((0, 1), np.float32)
     trees = trees_of(sample, n, TREES, LEAF)
-    parts = max(1, -(-n // LEAF))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -138,10 +164,7 @@ def first_graph(nodes: DataFrame, n: int) -> DataFrame:
                 continue
             x = unit(b.column(1).to_pylist(), "i1")
             for t, levels in enumerate(trees):
-                cell = np.zeros(len(x), np.int64)
-                for plane, cut in levels:
-                    cell = cell * 2 + (x @ plane > cut[cell])
-                yield pa.RecordBatch.from_arrays([pa.array(cell + (t << 32)), b.column(0), b.column(1)], names=["leaf", "node", "q"])
+                yield pa.RecordBatch.from_arrays([pa.array(cells_of(x, levels) + (t << 48)), b.column(0), b.column(1)], names=["leaf", "node", "q"])
 
     def nearest(table: pa.Table) -> pa.Table:
         u, x = table.column("node").to_numpy(), unit(table.column("q").to_pylist(), "i1")
@@ -225,6 +248,32 @@ def settled_graph(nodes: DataFrame, n: int) -> DataFrame:
     return graph
 
 
+def advance(batches: Iterator[pa.RecordBatch], ef: int) -> Iterator[pa.RecordBatch]:
+    """Pools after a round: rows without w are the pools, of which the first STEP open entries close; the others are reached."""
+    for table in whole_groups(batches):
+        old = table.filter(pc.is_null(table.column("w"))).combine_chunks()
+        new = table.filter(pc.is_valid(table.column("w"))).combine_chunks()
+        u, flat = old.column("u").to_numpy(), [old.column(c).combine_chunks() for c in ("ids", "scores", "open")]
+        n = flat[0].value_lengths().to_numpy()
+        ids, scores, open_ = (x.flatten().to_numpy(zero_copy_only=False) for x in flat)
+        before = np.cumsum(open_) - open_
+        head = np.r_[0, np.cumsum(n)][:-1]
+        open_ = open_ & (before - np.repeat(np.r_[before, 0][head], n) >= STEP)
+        q, pool = unit(old.column("q").to_pylist(), "i1"), np.repeat(np.arange(len(u)), n)
+        if new.num_rows:
+            own = np.searchsorted(u, new.column("u").to_numpy())
+            x = unit(new.column("x").to_pylist(), "i1")
+            ids, pool, open_ = np.r_[ids, new.column("w").to_numpy()], np.r_[pool, own], np.r_[open_, np.ones(len(own), bool)]
+            scores = np.r_[scores, np.einsum("ij,ij->i", x, q[own])]
+        by = np.lexsort((ids, -scores, pool))
+        ids, scores, open_, pool = ids[by], scores[by], open_[by], pool[by]
+        edges = np.searchsorted(pool, np.arange(len(u) + 1))
+        near = np.arange(len(pool)) - edges[pool] < ef
+        at = pa.array(np.r_[0, np.cumsum(np.minimum(np.diff(edges), ef))].astype(np.int32))
+        lists = [pa.ListArray.from_arrays(at, pa.array(x[near], t)) for x, t in ((ids, pa.int64()), (scores, pa.float32()), (open_, pa.bool_()))]
+        yield pa.RecordBatch.from_arrays([old.column("u").combine_chunks(), old.column("q").combine_chunks(), *lists], names=["u", "q", "ids", "scores", "open"])
+
+
 def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, ef: int = EF) -> DataFrame:
     """u, ids: for each query node the nearest nodes found, nearest first."""
     state = "u long, q binary, ids array<long>, scores array<float>, open array<boolean>"
@@ -241,35 +290,13 @@ def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, ef: int = EF)
         seen = reached.join(known, ["u", "w"], "left_anti").join(nodes.select(F.col("node").alias("w"), F.col("q").alias("x")), "w").select("u", "w", "x")
         rows = now.select("u", F.lit(None).cast("long").alias("w"), F.lit(None).cast("binary").alias("x"), "q", "ids", "scores", "open").unionByName(seen, allowMissingColumns=True)
 
-        def advance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for table in whole_groups(batches):
-                u, w = table.column("u").to_numpy(), table.column("w").to_pylist()
-                x, cols = table.column("x").to_pylist(), [table.column(c).to_pylist() for c in ("q", "ids", "scores", "open")]
-                heads = np.flatnonzero(np.r_[True, u[1:] != u[:-1]])
-                made = []
-                for a, b in zip(heads, np.r_[heads[1:], len(u)], strict=True):
-                    own = next(i for i in range(a, b) if w[i] is None)
-                    q, ids, scores, open_ = (c[own] for c in cols)
-                    left = STEP
-                    for i, o in enumerate(open_):
-                        if o and left:
-                            open_[i], left = False, left - 1
-                    fresh = [i for i in range(a, b) if i != own]
-                    if fresh:
-                        found = unit([x[i] for i in fresh], "i1") @ unit([q], "i1")[0]
-                        ids, scores, open_ = ids + [w[i] for i in fresh], scores + found.tolist(), open_ + [True] * len(fresh)
-                    by = sorted(range(len(ids)), key=lambda i: (-scores[i], ids[i]))[:ef]
-                    made.append((int(u[a]), q, [ids[i] for i in by], [scores[i] for i in by], [open_[i] for i in by]))
-                types = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.float32()), pa.list_(pa.bool_())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made), types, strict=True)], names=["u", "q", "ids", "scores", "open"])
-
-        last, now = now, shared.keep(regroup(rows, "u").mapInArrow(advance, state), "pools")
+        last, now = now, shared.keep(regroup(rows, "u").mapInArrow(lambda b: advance(b, ef), state), "pools")
         shared.forget(last)
 
 
 def nearest_neighbours(vectors: DataFrame, every: int = 50, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row whose id is divisible by every."""
-    rows = shared.keep(usable(vectors, vec_id, embedding).groupBy("vec_id").agg(F.min("e").alias("e")), "vectors")
+    rows = shared.keep(scaled(usable(vectors, vec_id, embedding).groupBy("vec_id").agg(F.min("e").alias("e"))), "vectors")
     order = F.row_number().over(Window.partitionBy("e").orderBy("vec_id"))
     # k+1 ids of a node are all that its neighbours, or one of its own rows, can ask for
     firsts = rows.withColumn("r", order).where(F.col("r") <= k + 1).groupBy("e").agg(F.sort_array(F.collect_list("vec_id")).alias("members"))
@@ -291,7 +318,7 @@ def nearest_neighbours(vectors: DataFrame, every: int = 50, k: int = 5, vec_id:
 
 def brute_force(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     """The same from every pair of a query and a row, in blocks, to measure recall on."""
-    rows = usable(vectors, "vec_id", "embedding").groupBy("vec_id").agg(F.min("e").alias("e"))
+    rows = scaled(usable(vectors, "vec_id", "embedding").groupBy("vec_id").agg(F.min("e").alias("e")))
     asked = rows.where(F.col("vec_id") % every == 0).collect()
     if not asked:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")

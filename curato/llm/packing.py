@@ -1,10 +1,11 @@
 """Optimal length buckets: boundaries that pad least, and token-budget batches inside each bucket.
 
-Lengths are counted in words. The global histogram is added up in Spark; lengths up to EXACT are cells of their own, longer
-ones share a cell with lengths that are at most 1/EXACT longer, so its size follows the logarithm of the longest text and a
-cell is padded to the longest length in it. Dynamic programming over the cells finds the boundaries: the least padding of the
-first j cells in b buckets is the least over i of that of the first i cells in b-1 buckets and the padding of cells i+1..j to
-the length of cell j. Padding of a range follows from running sums, so each (b, j) is one vector step.
+Lengths are counted in words. The global histogram is added up in Spark and has a row for each length that occurs, so it is
+bounded by the words of the longest text. Dynamic programming over it finds the boundaries: the least padding of the first j
+lengths in b buckets is the least over i of that of the first i lengths in b-1 buckets and the padding of lengths i+1..j to
+the longest of them. Padding of a range follows from running sums, and the best i never falls as j grows, so the middle j of a
+stretch is settled first and halves what is looked at for those on both sides: O(buckets * n log n) in all, whole levels of
+the halving at a time in numpy.
 
 A batch of a bucket holds floor(budget / length of the bucket) texts, at least one. Texts are batched in the order of a
 seeded hash. A bucket may hold most of the texts, so positions are not counted in one task: texts are dealt to SLICES
@@ -24,41 +25,57 @@ from pyspark.sql import functions as F
 from curato.llm import shared
 from curato.llm.mixing import words_of
 
-BUCKETS, BUDGET, EXACT, SLICES, SEED = 16, 16_384, 1024, 256, 29
+BUCKETS, BUDGET, SLICES, SEED = 16, 16_384, 256, 29
 
 
-def boundaries(lengths: np.ndarray, counts: np.ndarray, sums: np.ndarray, buckets: int) -> list[int]:
-    """Ascending padded lengths of at most so many buckets; lengths ascend, and sums are the words of each cell."""
+def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
+    """Ascending padded lengths of at most so many buckets, those of least padding; lengths ascend."""
     n = len(lengths)
     if not n:
         return []
-    many, words = np.r_[0, np.cumsum(counts.astype(np.float64))], np.r_[0, np.cumsum(sums.astype(np.float64))]
-    buckets = min(buckets, n)
-    best = np.full((buckets + 1, n + 1), np.inf)
-    back = np.zeros((buckets + 1, n + 1), np.int64)
-    best[0, 0] = 0
-    for b in range(1, buckets + 1):
-        for j in range(b, n + 1):
-            total = best[b - 1, :j] + (many[j] - many[:j]) * lengths[j - 1] - (words[j] - words[:j])
-            back[b, j] = i = int(np.argmin(total))
-            best[b, j] = total[i]
+    lengths = lengths.astype(np.int64)
+    many, words = np.r_[0, np.cumsum(counts)], np.r_[0, np.cumsum(counts * lengths)]
+    best = (many * np.r_[0, lengths] - words).astype(np.float64)  # one bucket
+    back = [np.zeros(n + 1, np.int64)]
+    for _ in range(min(buckets, n) - 1):
+        best, at = _one_more(best, lengths, many, words)
+        back.append(at)
     out, j = [], n
-    for b in range(int(np.argmin(best[:, n])), 0, -1):
-        out.append(int(lengths[j - 1]))
-        j = back[b, j]
+    for at in reversed(back):
+        if j:
+            out.append(int(lengths[j - 1]))
+            j = int(at[j])
     return out[::-1]
 
 
-def cell(length):
-    """Lengths of a cell have the same number: the length itself up to EXACT, then steps of its logarithm."""
-    return F.when(length <= EXACT, length.cast("double")).otherwise(EXACT + F.floor(F.log(length / EXACT) / F.log(F.lit(1 + 1 / EXACT))).cast("double"))
+def _one_more(best: np.ndarray, lengths: np.ndarray, many: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least padding of the first j lengths in one bucket more than best has, and where its last bucket begins."""
+    n = len(lengths)
+    out, at = np.full(n + 1, np.inf), np.zeros(n + 1, np.int64)
+    out[0] = 0
+    # stretches of j, and of the i among which their best one is
+    lo, hi, least, most = (np.array([x]) for x in (1, n, 0, n - 1))
+    while len(lo):
+        j = (lo + hi) // 2
+        last = np.minimum(most, j - 1)
+        runs = last - least + 1
+        heads = np.r_[0, np.cumsum(runs)[:-1]]
+        i = np.arange(runs.sum()) - np.repeat(heads - least, runs)
+        to = np.repeat(j, runs)
+        cost = best[i] + (many[to] - many[i]) * lengths[to - 1] - (words[to] - words[i])
+        out[j] = np.minimum.reduceat(cost, heads)
+        # of equally good ones the first
+        first = np.minimum.reduceat(np.where(cost == np.repeat(out[j], runs), i, n), heads)
+        at[j] = first
+        left, right = lo < j, j < hi
+        lo, hi, least, most = np.r_[lo[left], j[right] + 1], np.r_[j[left] - 1, hi[right]], np.r_[least[left], first[right]], np.r_[first[left], most[right]]
+    return out, at
 
 
-def histogram(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Longest length, count and words of each cell."""
-    found = rows.groupBy(cell(F.col("n_words")).alias("cell")).agg(F.max("n_words").alias("most"), F.count(F.lit(1)).alias("n"), F.sum("n_words").alias("words")).collect()
-    found.sort(key=lambda r: r["most"])
-    return tuple(np.array([r[c] for r in found], np.int64) for c in ("most", "n", "words"))
+def histogram(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths that occur, and how often."""
+    found = sorted(rows.groupBy("n_words").agg(F.count(F.lit(1)).alias("n")).collect())
+    return tuple(np.array([r[c] for r in found], np.int64) for c in ("n_words", "n"))
 
 
 def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:

@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -283,8 +283,10 @@ def told_texts(docs: DataFrame, labels: DataFrame, doc_id: str, text: str) -> Da
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(mins[:, j].view(np.int64)) for j in range(COPY_SEEDS))], names=["tid", "toxic", "text", *least_of])
 
     kept = shared.keep(texts.mapInArrow(least, "tid long, toxic int, text string, " + ", ".join(f"{m} long" for m in least_of)), "told")
-    alike = F.greatest(*[F.count(F.lit(1)).over(Window.partitionBy(m)) for m in least_of])
-    return kept.select("tid", "toxic", "text").join(kept.select("tid", (1 / alike).alias("vote")), "tid")
+    # a row a text of the sample at most
+    for m in least_of:
+        kept = kept.join(F.broadcast(kept.groupBy(m).agg(F.count(F.lit(1)).alias(f"{m}_n"))), m)
+    return kept.select("tid", "toxic", "text", (1 / F.greatest(*[F.col(f"{m}_n") for m in least_of])).alias("vote"))
 
 
 def stems_of(text: str, known: set[str]) -> dict[str, int]:

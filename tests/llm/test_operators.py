@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -83,16 +84,31 @@ def test_warc(spark):
     assert warc.page_digests(pages.limit(0)).count() == 0
 
 
+def padding(lengths, counts, ends):
+    return sum(c * (min(e for e in ends if e >= n) - n) for n, c in zip(lengths, counts, strict=True))
+
+
 def test_boundaries_are_best():
     rng = np.random.default_rng(1)
     lengths, counts = np.array([1, 3, 4, 9, 12, 20]), rng.integers(1, 9, 6)
-    pad = lambda ends: sum(c * (min(e for e in ends if e >= n) - n) for n, c in zip(lengths, counts, strict=True))
-    from itertools import combinations
-
     for b in (1, 2, 3, 9):
-        best = min(pad([*x, 20]) for k in range(min(b, 6)) for x in combinations(lengths[:-1].tolist(), k))
-        got = packing.boundaries(lengths, counts, lengths * counts, b)
-        assert pad(got) == best and len(got) <= b
+        best = min(padding(lengths, counts, [*x, 20]) for k in range(min(b, 6)) for x in itertools.combinations(lengths[:-1].tolist(), k))
+        got = packing.boundaries(lengths, counts, b)
+        assert padding(lengths, counts, got) == best and len(got) <= b
+    assert packing.boundaries(lengths[:0], counts[:0], 3) == [] and packing.boundaries(np.array([7]), np.array([2]), 3) == [7]
+
+
+def test_boundaries_of_long_texts_are_best():
+    """Against the plain recurrence, on lengths to 20,000 words with ties and gaps."""
+    rng = np.random.default_rng(2)
+    for n, b in ((40, 5), (150, 16), (150, 3)):
+        lengths, counts = np.sort(rng.choice(20_000, n, replace=False)), rng.integers(1, 50, n) * rng.integers(0, 9, n) + 1
+        many, words = np.r_[0, np.cumsum(counts)], np.r_[0, np.cumsum(counts * lengths)]
+        least = [0] + [math.inf] * n
+        for _ in range(b):
+            least = [0] + [min(least[i] + (many[j] - many[i]) * lengths[j - 1] - (words[j] - words[i]) for i in range(j)) for j in range(1, n + 1)]
+        got = packing.boundaries(lengths, counts, b)
+        assert padding(lengths, counts, got) == least[n] and len(got) <= b
 
 
 def test_packing(table, empty):
@@ -104,7 +120,10 @@ def test_packing(table, empty):
         batches[r.bucket, r.batch].append(r)
     for own in batches.values():
         assert sorted(r.slot for r in own) == list(range(len(own))) and (len(own) == 1 or len(own) * own[0].padded_words <= 300)
-    assert collections.Counter(r.n_words for r in rows) == collections.Counter(len((t or "").encode().split()) for _, t, _ in made())
+    many = collections.Counter(len((t or "").encode().split()) for _, t, _ in made())
+    assert collections.Counter(r.n_words for r in rows) == many
+    lengths = np.array(sorted(many))
+    assert sum(r.padded_words - r.n_words for r in rows) == padding(lengths, [many[n] for n in lengths], packing.boundaries(lengths, np.array([many[n] for n in lengths]), packing.BUCKETS))
 
 
 def test_chat(spark):
@@ -349,6 +368,8 @@ def test_mixing(table, empty):
     assert all(abs(b[1] - b[2]) <= b[3] for b in by.values())
     again = sorted((str(r.doc_id), r.taken) for r in mixing.mix_documents(table.repartition(3)).collect())
     assert again == sorted((str(r.doc_id), r.taken) for r in rows)
+    odd = table.withColumns({n: F.lit(7) for n in ("uses", "__uses", "at", "__at_", "pattern", "taken")})
+    assert mixing.mixed_documents(odd).columns == odd.columns
     out = mixing.mixed_documents(table)
     assert out.columns == table.columns and out.select(F.sum(mixing.words_of(F.col("text")))).first()[0] == sum(r.taken for r in rows)
     assert mixing.mix_documents(empty).count() == 0 and mixing.mixed_documents(empty).count() == 0
@@ -372,10 +393,27 @@ def test_substrings(table, empty):
     assert sum(x[1] for x in want.values()) > 200
     got = collections.Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substrings.digest(table).collect())
     assert got == collections.Counter((i, *want[i, t or ""][:2], hashlib.sha256(want[i, t or ""][2]).hexdigest()) for i, t, _ in made())
+    odd = table.withColumns({n: F.lit(7) for n in ("__n_words", "__n_removed", "__KEPT", "at", "tid", "opens")})
+    assert substrings.without_repeats(odd).columns == odd.columns
     cut = substrings.without_repeats(table)
     assert cut.columns == table.columns and cut.count() == table.count() and substrings.digest(empty).count() == 0
 
 
+def test_window_hashes_are_wide_enough(table, monkeypatch):
+    """Bits grow with the windows, into a second hash; with too few, different windows would be taken for equal ones."""
+    for words in (10**3, 10**8, 10**10, 2**44):
+        buckets = max(substrings.LEAST_BUCKETS, words >> 20)
+        first, second = substrings.hash_bytes(words, buckets)
+        assert 8 * first + math.log2(buckets) <= 64 + 1e-9 and 8 * (first + second) + math.log2(buckets) >= 2 * math.log2(words) - 1 + substrings.SURE
+    want = removed(made(), 20)
+    want = collections.Counter((i, *want[i, t or ""][:2]) for i, t, _ in made())
+    got = lambda: collections.Counter((r.doc_id, r.n_words, r.n_removed) for r in substrings.digest(table).collect())
+    monkeypatch.setattr(substrings, "hash_bytes", lambda words, buckets: (1, 4))
+    assert got() == want
+    monkeypatch.setattr(substrings, "hash_bytes", lambda words, buckets: (1, 0))
+    assert got() != want
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 127, 128, 700])
 def test_superminhash_is_the_sequential_one(n):
     values = np.random.default_rng(n).integers(0, 2**63, n).astype(np.uint64)
@@ -384,7 +422,7 @@ def test_superminhash_is_the_sequential_one(n):
     for v in values:
         way = list(range(m))
         for j in range(m):
-            u = int(shared.mix(np.array([(int(v) + int(neardup.GOLD) * (j + 1)) % 2**64], np.uint64))[0])
+            u = int(shared.mix(np.array([(int(v) + int(shared.GOLD) * (j + 1)) % 2**64], np.uint64))[0])
             k = j + ((u & 0xFFFFFFFF) * (m - j) >> 32)
             way[j], way[k] = way[k], way[j]
             want[way[j]] = min(want[way[j]], (j << 32) | (u >> 32))
@@ -441,8 +479,12 @@ def test_neardup_of_one_group(spark, monkeypatch):
             w[rng.randrange(len(w))] = f"x{rng.random()}"
         rows.append((i, " ".join(w), "a"))
     monkeypatch.setattr(neardup, "MEMBERS_PER_PART", 16)
-    got = collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs(spark, rows)).collect())
-    assert got == classes(rows)
+    joined = neardup.joined
+    for settle_at_once in (False, True):
+        if settle_at_once:
+            monkeypatch.setattr(neardup, "joined", lambda b, s: joined(b, s, pairs_per_row=10**9))
+        got = collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs(spark, rows)).collect())
+        assert got == classes(rows)
 
 
 @pytest.mark.parametrize("per_task", [250_000, 5])
@@ -472,6 +514,31 @@ def test_neighbours(spark, monkeypatch):
     assert neighbours.nearest_neighbours(df.limit(0)).count() == 0
 
 
+def test_neighbours_of_extreme_vectors(spark):
+    """Components whose squares, or norms' product, leave the range of doubles; multiples have a cosine of 1."""
+    base = np.random.default_rng(3).normal(size=(60, 8))
+    rows = [(i, [float(v) * (1e200, 1e-200, 1.0, 1e-308)[i % 4] for v in r]) for i, r in enumerate(base)] + [(100, [float(v) * 2.0**900 for v in base[0]]), (101, [float(v) * 3 for v in base[0]])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r.rank, r.vec_id, round(r.score, 12)) for r in neighbours.nearest_neighbours(df).collect())
+    plain = {i: np.array(v) / np.abs(v).max() for i, v in rows}
+    cos = lambda a, b: float(plain[a] @ plain[b] / np.sqrt(plain[a] @ plain[a]) / np.sqrt(plain[b] @ plain[b]))
+    want = []
+    for q in (0, 50, 100):
+        best = sorted(((round(-cos(q, v), 12), v) for v in plain if v != q))[:5]
+        want += [(q, n, v, -c) for n, (c, v) in enumerate(best, 1)]
+    assert got == sorted(want)
+
+
+@pytest.mark.parametrize("n", [40, 5000])
+def test_tree_cells(n):
+    """Levels past what the sample can tell go on at the medians of the last cells; leaves stay near the size asked."""
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(20_000, 16)).astype(np.float32)
+    for levels in neighbours.trees_of(x[:n], len(x), 2, 64):
+        sizes = np.bincount(neighbours.cells_of(x, levels))
+        assert len(levels) == 9 and len(sizes) <= 512 and np.sort(sizes)[-5] < 64 * 12
+
+
 def test_descent_goes_on_until_settled(spark, monkeypatch):
     """With many leaves two rounds leave most lists unfinished."""
     monkeypatch.setattr(neighbours, "LEAF", 24)
