@@ -19,7 +19,8 @@ STUDY_BOOK = [
     "(结果|摘要|讨论|方法)(部分)?指出", "在(本|该)?实验中", "(本|该)实验(中)?", "该论文(中|指出|认为|表明)",
 ]
 STUDY_PAPER = [
-    *STUDY_BOOK[:7], "(本|该)试验(中)?", "在(本|该)?体系中", "(本文|该文)描述的.*体系中",
+    "根据(本|该|这项)?研究", "在(本|该|这项)?研究中", "(本|该)研究表明", "(本文|该文)(中)?(认为|指出|表明|描述)",
+    "(结果|摘要|讨论|方法)(部分)?指出", "在(本|该)?实验中", "(本|该)实验(中)?", "(本|该)试验(中)?", "在(本|该)?体系中", "(本文|该文)描述的.*体系中",
     "这项研究(中|表明|发现)", "这篇文章(中|指出|认为|表明)", "该论文(中|指出|认为|表明)",
 ]
 STUDY_THESIS = [

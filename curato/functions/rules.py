@@ -16,7 +16,9 @@ def safe(c: Column) -> Column:
 def study_dependent(c: C, kind: str = "book") -> Column:
     """F-01: wording that depends on a study; kind: book, paper or thesis."""
     lists = {"book": W.STUDY_BOOK, "paper": W.STUDY_PAPER, "thesis": W.STUDY_THESIS}
-    return safe(matches_any(c, lists[kind], "(?iu)" if kind == "thesis" else ""))
+    found = matches_any(c, lists[kind], "(?iu)" if kind == "thesis" else "")
+    # all wordings but a thesis's are Chinese
+    return safe(found if kind == "thesis" else col(c).rlike("[一-鿿]") & found)
 
 
 def has_forbidden_phrase(c: C) -> Column:

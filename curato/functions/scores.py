@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from curato.functions import patterns as W
 from curato.functions.rules import has_forbidden_phrase, study_dependent
-from curato.functions.text import C, any_of, col, count_words_in, first_rule, similarity_tokens, soft_relevance, strip, words_of
+from curato.functions.text import C, any_of, col, count_words_in, first_rule, once, similarity_tokens, soft_relevance, strip
 
 WEIGHTS = {"length_score": 0.10, "completeness_score": 0.15, "logic_score": 0.20, "clarity_score": 0.15, "academic_score": 0.15, "reasoning_score": 0.25}
 NO_STEPS = "array<string>"
@@ -48,15 +48,14 @@ def length_score(q: Column, a: Column) -> Column:
 
 
 def completeness_score(q: Column, a: Column, steps: Column) -> Column:
-    rel, n = soft_relevance(q, a), F.size(steps)
-    out = 100 + ladder(rel, (rel < 0.08, -35), (rel < 0.15, -20), (rel < 0.25, -10)) + ladder(n, (n == 0, 0), (n < 3, -20), (n > 10, -10), otherwise=8)
+    n = F.size(steps)
+    out = 100 + once(soft_relevance(q, a), lambda rel: ladder(rel, (rel < 0.08, -35), (rel < 0.15, -20), (rel < 0.25, -10))) + ladder(n, (n == 0, 0), (n < 3, -20), (n > 10, -10), otherwise=8)
     return clamp(out - 10 * count_words_in(a, W.VAGUE))
 
 
 def logic_score(a: Column, steps: Column, cot: Column) -> Column:
-    n = F.size(sentences(a))
     chain = F.when(F.size(steps) > 0, F.array_join(steps, "\n")).otherwise(cot)
-    return clamp(100 + ladder(n, (n < 2, -20), (n > 10, -8)) + F.when((chain != "") & ~any_of(chain, W.CONNECTORS), -12.0).otherwise(0.0))
+    return clamp(100 + once(F.size(sentences(a)), lambda n: ladder(n, (n < 2, -20), (n > 10, -8))) + F.when((chain != "") & ~any_of(chain, W.CONNECTORS), -12.0).otherwise(0.0))
 
 
 def clarity_score(q: Column, a: Column) -> Column:
@@ -88,20 +87,25 @@ def qa_score(q: C, a: C, steps: C | None = None, cot: C | None = None, conclusio
         "length_score": length_score(x, y), "completeness_score": completeness_score(x, y, s), "logic_score": logic_score(y, s, c),
         "clarity_score": clarity_score(x, y), "academic_score": academic_score(x, y), "reasoning_score": reasoning_score(s, c, k),
     }
-    total = reduce(lambda t, n: t + parts[n] * WEIGHTS[n], WEIGHTS, F.lit(0.0))
     n, m = F.length(x), F.length(y)
     issues = [
         F.when(n < 8, "问题过短").when(n > 220, "问题过长"), F.when(m < 30, "答案过短").when(m > 1200, "答案过长"), F.when(has_forbidden_phrase(x) | has_forbidden_phrase(y), "存在违禁短语"),
         F.when(study_dependent(x) | study_dependent(y), "存在研究依赖表达"), F.when(F.size(s) == 0, None).when(F.size(s) < 3, "推理步骤不足").when(F.size(s) > 10, "推理步骤过多"),
     ]
-    advice = [
+    advice = lambda total: [
         F.when(total < 60, "建议重新生成或进行失败回收再生成"), F.when(total < 75, "建议检查：是否存在模糊指代/学术违规口吻/推理链不连贯"),
         F.when((F.size(s) == 0) & (total > 80), "可考虑启用推理链生成以提升深度"), F.when(total >= 90, "质量优秀，可直接使用"),
     ]
-    return F.struct(
-        F.bround(total, 2).alias("total_score"), quality_level(total).alias("quality_level"), F.struct(*[F.bround(v, 2).alias(k) for k, v in parts.items()]).alias("dimension_scores"),
-        F.array_compact(F.array(*issues)).alias("issues"), F.array_compact(F.array(*advice)).alias("suggestions"),
-    )
+
+    def told(own: Column) -> Column:
+        """The result from the six dimensions, which are computed once."""
+        total = reduce(lambda t, n: t + own[n] * WEIGHTS[n], WEIGHTS, F.lit(0.0))
+        return F.struct(
+            F.bround(total, 2).alias("total_score"), quality_level(total).alias("quality_level"), F.struct(*[F.bround(own[k], 2).alias(k) for k in parts]).alias("dimension_scores"),
+            F.array_compact(F.array(*issues)).alias("issues"), F.array_compact(F.array(*advice(total))).alias("suggestions"),
+        )
+
+    return once(F.struct(*[v.cast("double").alias(k) for k, v in parts.items()]), told)
 
 
 def quality_level(total: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -28,9 +29,16 @@ def strip(c: C) -> Column:
     return replace_all(c, (r"(?U)^\s+|\s+$", ""))
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), where the value is computed once however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def any_of(c: C, words: list[str]) -> Column:
-    """Whether one of the literal words occurs: one alternation, so the text is read once."""
-    return col(c).rlike("|".join(re.escape(w) for w in words))
+    """Whether one of the literal words occurs: one alternation, tried only where a word's first character stands."""
+    every = "|".join(re.escape(w) for w in words)
+    firsts = "".join(sorted({re.escape(w[0]) for w in words if w}))
+    return col(c).rlike(f"(?=[{firsts}])(?:{every})" if all(words) else every)
 
 
 def matches_any(c: C, patterns: list[str], flags: str = "") -> Column:
@@ -246,9 +254,15 @@ def token_set_hash(c: C) -> Column:
 
 def simhash_tokens(c: C) -> Column:
     """P-28: words of ASCII letters and digits, and pairs of neighbouring CJK characters."""
-    han = F.regexp_extract_all(col(c), F.lit("([一-鿿])"), 1)
-    pairs = F.when(F.size(han) > 1, F.transform(F.sequence(F.lit(1), F.size(han) - 1), lambda i: F.concat(F.element_at(han, i), F.element_at(han, i + 1)))).otherwise(F.array().cast("array<string>"))
-    return F.concat(F.regexp_extract_all(F.lower(col(c)), F.lit("([a-z0-9]+)"), 1), pairs)
+    none = F.array().cast("array<string>")
+    next_to = lambda han: F.transform(F.sequence(F.lit(1), F.size(han) - 1), lambda i: F.concat(F.element_at(han, i), F.element_at(han, i + 1)))
+    pairs = once(F.regexp_extract_all(col(c), F.lit("([一-鿿])"), 1), lambda han: F.when(F.size(han) > 1, next_to(han)).otherwise(none))
+    # most texts hold two CJK characters somewhere or none at all
+    return F.concat(F.regexp_extract_all(F.lower(col(c)), F.lit("([a-z0-9]+)"), 1), F.when(has_cjk_pair(c), pairs).when(col(c).isNotNull(), none))
+
+
+def has_cjk_pair(c: C) -> Column:
+    return col(c).rlike("(?s)[一-鿿].*?[一-鿿]")
 
 
 def simhash(tokens: C) -> Column:
@@ -384,5 +398,5 @@ def core_keywords(c: C) -> Column:
 
 def soft_relevance(q: C, a: C) -> Column:
     """Share of the question's distinct SimHash tokens that the answer has."""
-    x, y = F.array_distinct(simhash_tokens(q)), simhash_tokens(a)
-    return F.when(F.size(x) == 0, 0.0).otherwise(F.size(F.array_intersect(x, y)) / F.greatest(F.lit(1), F.size(x)))
+    share = lambda x: F.when(F.size(x) == 0, 0.0).otherwise(F.size(F.array_intersect(x, simhash_tokens(a))) / F.greatest(F.lit(1), F.size(x)))
+    return once(F.array_distinct(simhash_tokens(q)), share)
