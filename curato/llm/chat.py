@@ -2,10 +2,12 @@
 
 Calls and results are two tables that a hash join links by (conversation, identifier); the join is a full outer one over
 keys that are made unique first, so a call without result, a result without call and repeats of either all get a status and
-none is lost. A call is ordered after the calls it depends on: its level is one more than the largest level below it. Levels
-are found by rounds of joins over the calls that are not placed yet, each round doubling how far a call sees down its chain
-of dependencies, so rounds grow with the logarithm of the longest chain and no task holds a conversation. Calls on a cycle,
-or above one, never come to rest and are told so. Arguments are validated against a JSON schema of their tool and written
+none is lost. A call is ordered after the calls it depends on: its level is one more than the largest level below it. Edges
+between two calls that a third call lies between don't matter for that and go first. Calls with one dependency point to it, and
+pointers double until they reach an anchor, a call with none or with several, so chains take rounds by the logarithm of their
+length; rounds over the anchors then follow the longest chain of calls with several dependencies. All of it are joins by
+(conversation, call), so no task holds a conversation. Calls on a cycle, or above one, never come to rest and are told so.
+Arguments are validated against a JSON schema of their tool and written
 with sorted keys and no blanks, in Arrow batches.
 
 Defined results: a null or empty identifier links with nothing (status unnamed); of calls, or results, that repeat an
@@ -72,45 +74,48 @@ def problems(value, schema: dict, at: str = "$") -> list[str]:
 def firsts(df: DataFrame, by: str) -> DataFrame:
     """df with turn: 0 for the first row of each (conv_id, by), else how many came before; rows without by are all first."""
     w = Window.partitionBy("conv_id", by).orderBy("position")
-    return df.withColumn("turn", F.row_number().over(w) - 1)
+    # rows without by stay out of the window, in which they would be one group
+    named = df.where(F.col(by).isNotNull()).withColumn("turn", F.row_number().over(w) - 1)
+    return named.unionByName(df.where(F.col(by).isNull()).withColumn("turn", F.lit(0)))
 
 
 def levels(calls: DataFrame, edges: DataFrame) -> DataFrame:
-    """conv_id, call_id, level of calls (unique); null for calls on a cycle or above one. edges: conv_id, call_id, needs.
+    """conv_id, call_id, level of calls (conv_id, call_id, position; unique); null for calls on a cycle or above one.
 
-    A call's longest chain is looked for by max-plus doubling: after t rounds, paths hold the longest chains of up to 2**t
-    dependencies between two calls, kept as one row for each call and what it can reach that is not yet at rest.
+    edges: conv_id, call_id, needs.
     """
-    spark = calls.sparkSession
-    real = edges.join(calls.select("conv_id", F.col("call_id").alias("needs")), ["conv_id", "needs"]).select("conv_id", "call_id", "needs").distinct()
-    # a call whose needs all come earlier is ordered by position alone; only conversations with a need that comes later, or
-    # with a call of several needs, take rounds of peeling; the others are chains, whose heights double
-    fan = real.groupBy("conv_id", "call_id").agg(F.count(F.lit(1)).alias("n"))
-    wide = shared.keep(fan.where("n > 1").select("conv_id").distinct(), "wide")
-    chain = real.join(wide, "conv_id", "left_anti")
-    # pointer doubling: (call, ancestor, steps); a chain of n calls is at rest after log2(n) rounds
-    now = shared.keep(calls.join(chain, ["conv_id", "call_id"], "left").join(wide, "conv_id", "left_anti").select("conv_id", "call_id", F.col("needs").alias("up"), F.when(F.col("needs").isNull(), 0).otherwise(1).cast("long").alias("steps")), "chains")
+    at = calls.select("conv_id", F.col("call_id").alias("needs"), F.col("position").alias("needs_at"))
+    every = shared.keep(edges.join(at, ["conv_id", "needs"]).join(calls, ["conv_id", "call_id"]).select("conv_id", "call_id", "needs", (F.col("needs_at") < F.col("position")).alias("back")).distinct(), "edges")
+    # an edge back over two others back can't be on a longest chain; edges back make no cycle, so their longest chains stay
+    back = every.where("back").select("conv_id", "call_id", "needs")
+    over = back.withColumnRenamed("needs", "mid").join(back.select("conv_id", F.col("call_id").alias("mid"), "needs"), ["conv_id", "mid"]).select("conv_id", "call_id", "needs").distinct()
+    real = shared.keep(every.drop("back").join(over, ["conv_id", "call_id", "needs"], "left_anti"), "edges")
+    fan = real.groupBy("conv_id", "call_id").agg(F.count(F.lit(1)).alias("n"), F.min("needs").alias("one"))
+    own = calls.select("conv_id", "call_id").join(fan, ["conv_id", "call_id"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    single = F.col("n") == 1
+    # an anchor points to itself; others to their need, some steps up
+    now = shared.keep(own.select("conv_id", "call_id", "n", F.when(single, F.col("one")).otherwise(F.col("call_id")).alias("up"), F.when(single, 1).otherwise(0).cast("long").alias("steps"), (~single).alias("rest")), "chains")
     longest = now.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0
-    for _ in range(math.ceil(math.log2(longest + 1)) + 1 if longest else 0):
-        above = now.select("conv_id", F.col("call_id").alias("up"), F.col("up").alias("up2"), F.col("steps").alias("more"))
-        last, now = now, shared.keep(now.join(above, ["conv_id", "up"], "left").select("conv_id", "call_id", F.col("up2").alias("up"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")), "chains")
-        shared.forget(last)
-        if not shared.has_rows(now.where("up is not null")):
+    for _ in range(math.ceil(math.log2(longest + 1)) + 1):
+        if not shared.has_rows(now.where("not rest")):
             break
-    out = now.select("conv_id", "call_id", F.when(F.col("up").isNull(), F.col("steps")).alias("level"))
-    if not shared.has_rows(wide):
-        return out
-    # peeling: calls all of whose needs are placed come next
-    left = calls.select("conv_id", "call_id").join(wide, "conv_id", "left_semi")
-    needs = real.join(wide, "conv_id", "left_semi")
-    placed, level = spark.createDataFrame([], "conv_id long, call_id string, level long"), 0
-    while True:
-        held = needs.join(placed.select("conv_id", F.col("call_id").alias("needs")), ["conv_id", "needs"], "left_anti").select("conv_id", "call_id").distinct()
-        free = shared.keep(left.join(placed, ["conv_id", "call_id"], "left_anti").join(held, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(level).cast("long")), "level")
-        if not shared.has_rows(free):
+        above = now.select("conv_id", F.col("call_id").alias("up"), F.col("up").alias("up2"), F.col("steps").alias("more"), ((F.col("n") != 1) | F.col("rest")).alias("there"))
+        last, now = now, shared.keep(now.join(above, ["conv_id", "up"]).select("conv_id", "call_id", "n", F.col("up2").alias("up"), (F.col("steps") + F.col("more")).alias("steps"), (F.col("rest") | F.col("there")).alias("rest")), "chains")
+        shared.forget(last)
+    flat = now.where("rest").select("conv_id", "call_id", F.col("up").alias("anchor"), "steps")
+    placed = shared.keep(now.where("n = 0").select("conv_id", F.col("call_id").alias("anchor"), F.lit(0).cast("long").alias("level")), "placed")
+    several = real.join(now.where("n > 1").select("conv_id", "call_id"), ["conv_id", "call_id"])
+    # a need on a cycle has no anchor, so what is above it is never placed
+    left = shared.keep(several.join(flat.withColumnRenamed("call_id", "needs"), ["conv_id", "needs"], "left").select("conv_id", "call_id", "anchor", (F.col("steps") + 1).alias("w")), "left")
+    while shared.has_rows(left):
+        met = left.join(placed, ["conv_id", "anchor"], "left").groupBy("conv_id", "call_id").agg(F.bool_and(F.col("level").isNotNull()).alias("all"), F.max(F.col("level") + F.col("w")).alias("level"))
+        fresh = shared.keep(met.where("all").select("conv_id", F.col("call_id").alias("anchor"), "level"), "fresh")
+        if not shared.has_rows(fresh):
             break
-        placed, level = placed.union(free), level + 1
-    return out.union(left.join(placed, ["conv_id", "call_id"], "left").select("conv_id", "call_id", "level"))
+        placed = shared.keep(placed.union(fresh), "placed")
+        left = shared.keep(left.join(fresh.select("conv_id", F.col("anchor").alias("call_id")), ["conv_id", "call_id"], "left_anti"), "left")
+    told = flat.join(placed, ["conv_id", "anchor"]).select("conv_id", "call_id", (F.col("level") + F.col("steps")).alias("level"))
+    return calls.select("conv_id", "call_id").join(told, ["conv_id", "call_id"], "left")
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
@@ -119,7 +124,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
     c, r = named(calls), named(results)
     one_c, one_r = c.where("key is not null and turn = 0"), r.where("key is not null and turn = 0")
     edges = one_c.select("conv_id", "call_id", F.explode("needs").alias("needs"))
-    depth = levels(one_c.select("conv_id", "call_id"), edges)
+    depth = levels(one_c.select("conv_id", "call_id", "position"), edges)
     lost = edges.join(one_c.select("conv_id", F.col("call_id").alias("needs")), ["conv_id", "needs"], "left_anti").groupBy("conv_id", "call_id").agg(F.count(F.lit(1)).cast("int").alias("missing"))
     both = one_c.join(one_r.select("conv_id", "call_id", F.col("content").alias("content"), F.col("position").alias("answered"), F.lit(True).alias("has")), ["conv_id", "call_id"], "left").join(depth, ["conv_id", "call_id"], "left").join(lost, ["conv_id", "call_id"], "left")
     status = F.when(F.col("level").isNull(), "cycle").when(F.col("has").isNull(), "no_result").when(F.col("answered") <= F.col("position"), "result_before_call").otherwise("linked")
@@ -159,20 +164,27 @@ def _refuse(word: str):
     raise ValueError(word)
 
 
-#: The tool that turns of a conversation are read as calls of.
-REPLY = {"type": "object", "required": ["role", "text"], "additionalProperties": False, "properties": {"role": {"enum": ["user", "system"]}, "text": {"type": "string", "minLength": 1}}}
+#: The tools that turns of a conversation are read as calls of: a user's turn asks for a reply, any other sets up.
+TOOLS = {
+    "reply": {"type": "object", "required": ["role", "text"], "additionalProperties": False, "properties": {"role": {"enum": ["user"]}, "text": {"type": "string", "minLength": 1}}},
+    "setup": {"type": "object", "required": ["role", "text"], "additionalProperties": False, "properties": {"role": {"enum": ["system"]}, "text": {"type": "string", "minLength": 1}}},
+}
 
 
 def conversation_calls(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Turns that aren't an assistant's are calls of the tool "reply", each of which needs the call before it; an assistant's
-    turn is the result of the call one turn before. A turn's number is its identifier."""
+    """Turns that aren't an assistant's are calls, which need the calls one and two turns before, as far as those are calls; an
+    assistant's turn is the result of the call one turn before. A turn's number is its identifier."""
     t = turns.select(turns["conv_id"].cast("long").alias("conv_id"), turns["turn"].cast("long").alias("position"), "role", turns["text"].cast("string").alias("text"))
     asked = t.where("role is null or role != 'assistant'").withColumn("call_id", F.coalesce(F.col("position").cast("string"), F.lit("")))
-    before = F.lag("call_id").over(Window.partitionBy("conv_id").orderBy("position", "text"))
-    calls = asked.withColumn("before", before).select("conv_id", "call_id", "position", F.lit("reply").alias("tool"), F.to_json(F.struct("role", "text"), {"ignoreNullFields": "false"}).alias("arguments"), F.when((F.col("before") != "") & (F.col("before") != F.col("call_id")), F.array("before")).otherwise(F.array().cast("array<string>")).alias("needs"))
+    # equal keys of a conversation are told by turn, so a long conversation is no one group
+    there = asked.where("position is not null").select("conv_id", "position", "call_id").distinct()
+    before = [there.select("conv_id", (F.col("position") + i).alias("position"), F.col("call_id").alias(f"b{i}")) for i in (1, 2)]
+    linked = asked.join(before[0], ["conv_id", "position"], "left").join(before[1], ["conv_id", "position"], "left")
+    tool = F.when(F.col("role") == "user", "reply").otherwise("setup")
+    calls = linked.select("conv_id", "call_id", "position", tool.alias("tool"), F.to_json(F.struct("role", "text"), {"ignoreNullFields": "false"}).alias("arguments"), F.array_compact(F.array("b1", "b2")).alias("needs"))
     results = t.where("role = 'assistant'").select("conv_id", F.coalesce((F.col("position") - 1).cast("string"), F.lit("")).alias("call_id"), "position", F.col("text").alias("content"))
     return calls, results
 
 
 def link_conversations(turns: DataFrame) -> DataFrame:
-    return link(*conversation_calls(turns), {"reply": REPLY})
+    return link(*conversation_calls(turns), TOOLS)

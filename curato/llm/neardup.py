@@ -160,7 +160,8 @@ def grouped(docs: DataFrame, doc_id: str, text: str, k: int = WORDS) -> DataFram
     # equal sets have equal bands; a class is told by one of its rows
     banded = sketched.where("n > 0").groupBy("c").agg(F.first("bands").alias("bands")).select("c", F.posexplode("bands").alias("band", "key"))
     centres = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct(F.xxhash64("c", F.col("band") % ORDERS).alias("h"), F.col("c").alias("c"))).alias("first")).where("size > 1")
-    buckets = shared.keep(banded.join(centres, "key").select("key", "c", F.col("first.c").alias("centre"), "size"), "buckets")
+    # written, so that Spark can split the join at a bucket that holds a large part of the classes
+    buckets = shared.keep(banded.join(shared.keep(centres, "centres"), "key").select("key", "c", F.col("first.c").alias("centre"), "size"), "buckets")
     label = None
     if shared.has_rows(buckets):
         wanted = buckets.select("c").distinct().join(classes, "c")
@@ -186,9 +187,10 @@ def joined(buckets: DataFrame, sets: DataFrame, pairs_per_row: int = 1024) -> Da
         marked = buckets.where("size > 2").join(label.withColumnRenamed("v", "c"), "c", "left").select("key", "c", F.coalesce("label", "c").alias("label"))
         sizes = marked.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
         main = sizes.groupBy("key").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("size"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-        openings = shared.keep(marked.join(main, "key").select("key", "c", "label", (F.col("label") != F.col("most.label")).alias("rest"), "size", (F.col("size") - F.col("most.n")).alias("n_rest")), "open")
-        if not shared.has_rows(openings):
+        main = shared.keep(main, "main")
+        if not shared.has_rows(main):
             return label
+        openings = shared.keep(marked.join(main, "key").select("key", "c", "label", (F.col("label") != F.col("most.label")).alias("rest"), "size", (F.col("size") - F.col("most.n")).alias("n_rest")), "open")
         todo = openings.where("rest").agg(F.sum("size")).first()[0]
         # once a round has brought little, what is left is compared one by one
         if todo <= pairs_per_row * total or before is not None and todo > 0.7 * before:

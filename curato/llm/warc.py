@@ -2,11 +2,15 @@
 
 Payloads travel as (record, chunk number, bytes) rows of at most CHUNK bytes, each with the SHA-1 of its record up to and
 including it, so neither the writer nor the reader holds a record. Writing: payload digests are computed where the rows are
-scanned; equal payloads are found by joining digests that occur more than once (AQE broadcasts or splits that join), and
-tasks then stream gzip members, one per record, into files of the shared folder. A file's name has the task attempt in it and
+scanned; equal payloads are found by joining digests that occur more than once. Up to FEW of those are broadcast, so payloads
+stay where they are read; more of them meet the pages in a shuffle, which AQE splits. Tasks then stream gzip members, one per
+record, into files of the shared folder. A file's name has the task attempt in it and
 only files of successful attempts are in the manifest table that the write returns, so a lost executor leaves at most a file
 that is never read. Reading streams each file of the manifest back, one task per file.
 
+A record's id is a UUID made of page_id, payload digest, task and place in the task's file, so no two records of an archive
+share one, whatever page_id repeats or is null. page_id, and that of the response that a revisit repeats, have headers of their own.
+
 Defined results: a null payload is empty; a null page_id is written without a number and read back as null; rows that repeat
 the page_id and the payload of a response are responses too (the same capture again); an empty table gives an empty archive.
 Line breaks in an url become %0D and %0A. Other columns are ignored.
@@ -16,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -27,6 +32,8 @@ from pyspark.sql import functions as F
 from curato.llm import shared
 
 CHUNK = 1 << 20
+#: Digests of 40 characters that are broadcast at most, some 20 MB.
+FEW = 200_000
 #: All records carry this date, so that reruns write the same bytes.
 DATE = "2000-01-01T00:00:00Z"
 MANIFEST = "path string, records long, bytes long"
@@ -47,6 +54,8 @@ def chunk_records(pages: DataFrame, page_id: str = "page_id", url: str = "url",
     rows = pages.select(pages[page_id].cast("long").alias("page_id"), link.alias("url"), raw.alias("payload"))
     rows = rows.withColumn("sha1", F.sha1("payload")).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
     again = rows.where(F.col("payload_bytes") >= min_bytes).groupBy("sha1").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    again = shared.keep(again, "digests")
+    again = F.broadcast(again) if again.count() <= FEW else again
     told = rows.join(again, "sha1", "left").withColumn("refers_to", F.when(F.col("first") > F.coalesce("page_id", F.lit(-(2**63))), F.col("first")))
     parts = F.when(F.col("refers_to").isNull(), F.greatest(F.lit(1), F.ceil(F.col("payload_bytes") / chunk))).otherwise(F.lit(1)).cast("int")
     return (
@@ -55,15 +64,17 @@ def chunk_records(pages: DataFrame, page_id: str = "page_id", url: str = "url",
     )
 
 
-def head(page_id: int | None, url: str | None, digest: str, size: int, refers_to: int | None) -> bytes:
+def head(page_id: int | None, url: str | None, digest: str, size: int, refers_to: int | None, place: str) -> bytes:
     lines = [
-        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:x-page:{'' if page_id is None else page_id}>", f"WARC-Date: {DATE}",
+        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}:{digest}:{place}')}>", f"WARC-Date: {DATE}",
         f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {size}", "Content-Type: text/html; charset=utf-8", f"Content-Length: {size if refers_to is None else 0}",
     ]
     if url is not None:
         lines.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
+    if page_id is not None:
+        lines.append(f"X-Page-ID: {page_id}")
     if refers_to is not None:
-        lines += [f"WARC-Refers-To: <urn:x-page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        lines += [f"X-Refers-To-Page-ID: {refers_to}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     return ("\r\n".join(lines) + "\r\n\r\n").encode()
 
 
@@ -92,7 +103,7 @@ def write_archives(chunks: DataFrame, folder: str, level: int = 1) -> DataFrame:
             for page, url, sha1, n, refers, no, last, data in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "sha1", "payload_bytes", "refers_to", "chunk_no", "is_last", "data")), strict=True):
                 if no == 0:
                     gz, running = zlib.compressobj(level, wbits=31), hashlib.sha1()
-                    out.write(gz.compress(head(page, url, b32(bytes.fromhex(sha1)), n, refers)))
+                    out.write(gz.compress(head(page, url, b32(bytes.fromhex(sha1)), n, refers, f"{task.partitionId()}:{records}")))
                 out.write(gz.compress(data))
                 running.update(data)
                 if last:
@@ -160,7 +171,7 @@ def read_archives(spark: SparkSession, manifest: DataFrame, folder: str, chunk:
                 while line := source.line():
                     name, _, value = line.decode().partition(": ")
                     said[name] = value
-                number = lambda name: int(x) if (x := said.get(name, "").removeprefix("<urn:x-page:").removesuffix(">")) else None
+                number = lambda name: int(said[name]) if name in said else None
                 left, no, running, seen = int(said["Content-Length"]), 0, hashlib.sha1(), 0
                 digest, size = said["WARC-Payload-Digest"].removeprefix("sha1:"), int(said["X-Payload-Length"])
                 while True:
@@ -169,7 +180,7 @@ def read_archives(spark: SparkSession, manifest: DataFrame, folder: str, chunk:
                     running.update(data)
                     so_far = b32(running.digest())
                     intact = (said["WARC-Type"] == "revisit" or so_far == digest and seen == size) if not left else None
-                    yield said["WARC-Record-ID"], number("WARC-Record-ID"), said.get("WARC-Target-URI"), said["WARC-Type"], number("WARC-Refers-To"), size, digest, no, data, seen, so_far, not left, intact
+                    yield said["WARC-Record-ID"], number("X-Page-ID"), said.get("WARC-Target-URI"), said["WARC-Type"], number("X-Refers-To-Page-ID"), size, digest, no, data, seen, so_far, not left, intact
                     no += 1
                     if not left:
                         break

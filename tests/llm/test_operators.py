@@ -71,7 +71,7 @@ def test_sharding_weights(spark):
     assert set(share) == {0, 1} and abs(share[1] - 0.75) < 0.02
 
 
-def test_warc(spark):
+def test_warc(spark, monkeypatch):
     rows = [(1, "u", "same"), (5, "u\n", "same"), (3, None, "same"), (7, "u", None), (8, "u", ""), (9, "u", "é" * 1_300_000), (None, "u", "same"), (5, "u", "same")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = {r.page_id: r for r in warc.page_digests(pages).collect()}
@@ -80,6 +80,10 @@ def test_warc(spark):
     chunks = warc.archive_pages(pages).where("page_id = 9").orderBy("chunk_no").collect()
     assert [len(c.data) for c in chunks] == [1 << 20, 1 << 20, 2_600_000 - (2 << 20)] and b"".join(c.data for c in chunks).decode() == "é" * 1_300_000
     assert [c.digest_so_far for c in chunks][0] == warc.b32(hashlib.sha1(chunks[0].data).digest())
+    records = warc.archive_pages(pages).where("is_last").select("record_id").collect()
+    assert len(records) == len(rows) == len({r.record_id for r in records}) and all(r.record_id.startswith("<urn:uuid:") for r in records)
+    monkeypatch.setattr(warc, "FEW", 0)
+    assert {(r.page_id, r.record_type, r.refers_to) for r in warc.page_digests(pages).collect()} == {(r.page_id, r.record_type, r.refers_to) for r in got.values()}
     assert warc.archive_pages(pages, min_bytes=100).where("record_type = 'revisit'").count() == 0
     assert warc.page_digests(pages.limit(0)).count() == 0
 
@@ -144,6 +148,44 @@ def test_chat(spark):
     assert chat.link(calls.limit(0), results.limit(0), schemas).count() == 0
 
 
+def plain_levels(calls, edges):
+    """Longest chain below each call, None on cycles and above them."""
+    needs = {c: {b for a, b in edges if a == c and b in calls} for c in calls}
+    level = {}
+    while True:
+        ready = {c: 1 + max((level[b] for b in needs[c]), default=-1) for c in calls if c not in level and needs[c] <= level.keys()}
+        if not ready:
+            return {c: level.get(c) for c in calls}
+        level |= ready
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_levels(spark, seed):
+    """Chains, fans, edges over others, calls needed before they are made, cycles and missing needs."""
+    rng = random.Random(seed)
+    calls, edges, want = [], [], {}
+    for conv in range(8):
+        n = rng.randrange(1, 25)
+        names = [f"c{i}" for i in range(n)]
+        own = [(names[i], names[max(0, i - 1)]) for i in range(n) if rng.random() < 0.7 and i] + [(rng.choice(names), rng.choice([*names, "zz"])) for _ in range(rng.randrange(0, n))]
+        if conv % 2:
+            own = [(a, b) for a, b in own if b == "zz" or int(b[1:]) < int(a[1:])]
+        calls += [(conv, c, i) for i, c in enumerate(names)]
+        edges += [(conv, *e) for e in own]
+        want |= {(conv, c): v for c, v in plain_levels(names, own).items()}
+    got = {(r.conv_id, r.call_id): r.level for r in chat.levels(spark.createDataFrame(calls, "conv_id long, call_id string, position long"), spark.createDataFrame(edges, "conv_id long, call_id string, needs string")).collect()}
+    assert got == want and None in want.values()
+
+
+def test_link_conversations(spark):
+    turns = [(1, 0, "system", "be kind"), (1, 1, "user", "hi"), (1, 2, "assistant", "hello"), (1, 3, "user", ""), (1, 4, "assistant", None), (2, 0, "user", "alone"), (3, 1, "assistant", "orphan"), (None, None, None, None), (4, 0, "user", "a"), (4, 0, "user", "b")]
+    got = sorted(((r.conv_id, r.call_id, r.status, r.tool, r.level, r.valid) for r in chat.link_conversations(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()), key=repr)
+    assert got == sorted([
+        (1, "0", "no_result", "setup", 0, True), (1, "1", "linked", "reply", 1, True), (1, "3", "linked", "reply", 2, False), (2, "0", "no_result", "reply", 0, True), (3, "0", "no_call", None, None, True),
+        (None, "", "unnamed", "setup", None, False), (4, "0", "no_result", "reply", 0, True), (4, "0", "repeat", "reply", None, True),
+    ], key=repr)
+
+
 def shingles(text, lower=True):
     raw = (text or "").encode()
     w = (bytes(b + 32 if 65 <= b < 91 else b for b in raw) if lower else raw).split()
@@ -351,11 +393,62 @@ def test_targets():
 
 
 def test_flow_prefers_few_repeats():
-    flow = mixing.min_cost_flow([10, 10, 10], [[0], [0, 1], [1]], [25, 20], 2)
-    assert [sum(f) for f in flow] == [sum(flow[0]), sum(flow[1]), sum(flow[2])] and flow[0][0] + flow[1][0] == 25 and flow[1][1] + flow[2][0] == 20
+    flow = mixing.min_cost_flow([10, 10, 10], [[0], [0, 1], [1]], [[20], [20, 20], [20]], [25, 20])
+    assert flow[0][0] + flow[1][0] == 25 and flow[1][1] + flow[2][0] == 20
     assert sum(max(0, sum(f) - 10) for f in flow) == 15
 
 
+def test_flow_is_cheapest():
+    """Against all whole flows of small networks."""
+    rng = random.Random(4)
+    for _ in range(60):
+        n, k = rng.randrange(1, 4), rng.randrange(1, 3)
+        supply = [rng.randrange(1, 4) for _ in range(n)]
+        members = [sorted(rng.sample(range(k), rng.randrange(1, k + 1))) for _ in range(n)]
+        rooms = [[rng.randrange(1, 5) for _ in m] for m in members]
+        quotas = [rng.randrange(0, 6) for _ in range(k)]
+        arcs = [(p, i) for p in range(n) for i in range(len(members[p]))]
+
+        def price(flow, supply=supply):
+            return sum((w // supply[p]) and sum(r * r * supply[p] for r in range(w // supply[p])) + (w // supply[p]) ** 2 * (w % supply[p]) for p, w in flow.items())
+
+        best = (-1, 0)
+        for amounts in itertools.product(*[range(rooms[p][i] + 1) for p, i in arcs]):
+            got, by = [0] * k, collections.Counter()
+            for (p, i), w in zip(arcs, amounts, strict=True):
+                got[members[p][i]] += w
+                by[p] += w
+            if all(g <= q for g, q in zip(got, quotas, strict=True)):
+                best = max(best, (sum(got), -price(by)))
+        flow = mixing.min_cost_flow(supply, members, rooms, quotas)
+        by = {p: sum(f) for p, f in enumerate(flow)}
+        assert all(0 <= w <= r for f, room in zip(flow, rooms, strict=True) for w, r in zip(f, room, strict=True))
+        assert (sum(by.values()), -price(by)) == best, (supply, members, rooms, quotas)
+
+
+def test_use_costs():
+    assert mixing.use_costs(10, 25) == [(10, 0), (10, 1), (5, 4)] and mixing.use_costs(0, 9) == [] and mixing.use_costs(3, 0) == []
+    many = mixing.use_costs(2, 2 * 5000)
+    assert sum(w for w, _ in many) == 10_000 and len(many) < 24 and [c for _, c in many] == sorted({c for _, c in many})
+
+
+def test_mixing_of_overlapping_sources(spark):
+    """Texts that two sources hold are shared out between them before any text repeats."""
+    rng = random.Random(6)
+    both = [" ".join(str(rng.random()) for _ in range(10)) for _ in range(3000)]
+    rows = [(i, t, "a") for i, t in enumerate(both)] + [(10_000 + i, t, "b") for i, t in enumerate(both)]
+    rows = mixing._rows(docs(spark, rows), "doc_id", "text", "source")
+    out, plan = mixing.mix_sources(rows, weights=(1, 1), share=0.45)
+    taken = collections.Counter()
+    for r in out.where("taken > 0").collect():
+        taken[r.h] += r.taken // r["size"]
+    assert plan["targets"] == [13_500, 13_500] and abs(sum(taken.values()) - 2700) <= 2
+    assert sum(n > 1 for n in taken.values()) <= 0.02 * len(taken)
+    out, _ = mixing.mix_sources(rows, weights=(1, 0.5), share=0.75)
+    told = {r.source: (r.t, r.twice) for r in out.groupBy("source").agg(F.sum("taken").alias("t"), F.count_if(F.col("taken") > F.col("size")).alias("twice")).collect()}
+    assert abs(told["a"][0] - 30_000) <= 10 and abs(told["b"][0] - 15_000) <= 10
+
+
 def test_mixing(table, empty):
     rows = mixing.mix_documents(table).collect()
     by = collections.defaultdict(lambda: [0, 0, 0.0, 0])
@@ -574,3 +667,26 @@ def test_pipeline(spark, sf):
         if name == "near_dedup":
             assert docs_.count() == docs_.select("doc_id").distinct().count()
     assert counts[0] > counts[1] > counts[2] == counts[3] and counts[4] == counts[5]
+
+
+def test_pipeline_stages_on_odd_tables(spark, sf, table, empty):
+    """Nulls, repeated rows, empty and long texts, clashing columns and an empty table, in each stage on its own."""
+    odd = table.withColumns({n: F.lit("x") for n in ("events", "SCORE", "__uses", "__turn", "__kept", "bucket", "batch", "pattern")})
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, sf).count() == 0, name
+        out = stage(spark, odd, sf)
+        if name == "packing":
+            assert out.count() == odd.count()
+            continue
+        assert out.columns == odd.columns, name
+        rows, left = collections.Counter(repr(r) for r in odd.collect()), collections.Counter(repr(r) for r in out.collect())
+        if name in ("toxicity", "near_dedup"):
+            assert left <= rows and left, name
+        if name == "toxicity":
+            assert left == rows
+        if name == "near_dedup":
+            assert {r.text for r in out.where("doc_id is null or length(trim(coalesce(text, ''))) = 0").collect()} >= {None, "", "   "}
+        if name == "substring_dedup":
+            assert out.count() == odd.count() and out.where("text is null").count() == odd.where("text is null").count()
+        if name == "mixing":
+            assert set(left) <= set(rows) and all(left[k] >= n for k, n in rows.items() if "text=None" in k or "text=''" in k)
