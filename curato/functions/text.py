@@ -272,12 +272,16 @@ def simhash(tokens: C) -> Column:
     """
     half = lambda t, at: F.conv(F.substring(F.md5(t), at, 8), 16, 10).cast("long")
     values = F.transform(col(tokens), lambda t: F.struct(half(t, 17).alias("hi"), half(t, 25).alias("lo")))
-    ones = lambda part, i: F.aggregate(values, F.lit(0), lambda n, v: n + F.shiftright(v[part], i).bitwiseAND(F.lit(1)).cast("int"))
-    out = F.lit(0).cast("long")
-    for i in range(64):
-        many = ones("lo" if i < 32 else "hi", i % 32) * 2 > F.size(col(tokens))
-        out = out.bitwiseOR(F.when(many, F.lit(1 << i if i < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")))
-    return out
+
+    def bits(v: Column) -> Column:
+        ones = lambda part, i: F.aggregate(v, F.lit(0), lambda n, x: n + F.shiftright(x[part], i).bitwiseAND(F.lit(1)).cast("int"))
+        out = F.lit(0).cast("long")
+        for i in range(64):
+            many = ones("lo" if i < 32 else "hi", i % 32) * 2 > F.size(v)
+            out = out.bitwiseOR(F.when(many, F.lit(1 << i if i < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")))
+        return out
+
+    return once(values, bits)
 
 
 def hamming(a: C, b: C) -> Column:

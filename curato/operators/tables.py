@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from curato.functions.text import once
+
 
 def unseen(df: DataFrame, seen: DataFrame, *keys: str) -> DataFrame:
     """J-03, D-11, D-12, R-01, R-02: rows whose keys are not in seen."""
@@ -186,11 +188,11 @@ def in_context(df: DataFrame, key: str, text: str, word: str, around: int) -> Da
 
     Places are found inside the row, so only hits and their own few words are exploded.
     """
-    w = F.split(F.col(text), " ")
-    at = F.filter(F.sequence(F.lit(1), F.size("w")), lambda i: F.element_at("w", i) == word)
     lo = lambda i: F.greatest(F.lit(1), i - around)
-    hits = F.transform("at", lambda i: F.struct(i.cast("long").alias("i"), F.array_join(F.slice("w", lo(i), i + around - lo(i) + 1), " ").alias("around")))
-    return df.select(key, w.alias("w")).select(key, "w", at.alias("at")).where("size(at) > 0").select(key, F.explode(hits).alias("h")).select(key, "h.i", "h.around")
+    near = lambda w, i: F.array_join(F.slice(w, lo(i), i + around - lo(i) + 1), " ")
+    places = lambda w: F.filter(F.sequence(F.lit(1), F.size(w)), lambda i: F.element_at(w, i) == word)
+    hits = once(F.split(F.col(text), " "), lambda w: F.transform(places(w), lambda i: F.struct(i.cast("long").alias("i"), near(w, i).alias("around"))))
+    return df.select(key, F.explode(hits).alias("h")).select(key, "h.i", "h.around")
 
 
 def retrieve(queries: DataFrame, docs: DataFrame, k: int = 5) -> DataFrame:

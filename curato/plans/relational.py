@@ -256,7 +256,8 @@ def _(x: Tables) -> DataFrame:
     return o.smoothed(x.events.withColumn("ok", (F.col("event_type") != "error").cast("int")).withColumn("at", F.struct("ts", "event_id")), "user_id", "at", "ok")
 
 
-@query("w07_context", "WITH z AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents), p AS (SELECT doc_id, unnest(list_transform(list_filter(range(1, len(w) + 1), lambda i: w[i] = 'the'), lambda i: struct_pack(i := i, around := array_to_string(w[greatest(1, i - 5) : i + 5], ' ')))) AS h FROM z) SELECT doc_id, h.i::BIGINT AS i, h.around AS around FROM p")
+@query("w07_context", """WITH p AS (SELECT doc_id, generate_subscripts(w, 1) AS i, unnest(w) AS word FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents)), h AS (SELECT doc_id, i, unnest(range(-5, 6)) AS o FROM p WHERE word = 'the')
+SELECT h.doc_id, h.i::BIGINT AS i, string_agg(p.word, ' ' ORDER BY p.i) AS around FROM h JOIN p ON p.doc_id = h.doc_id AND p.i = h.i + h.o GROUP BY h.doc_id, h.i""")
 def _(x: Tables) -> DataFrame:
     """W-07: five words on either side."""
     return o.in_context(x.documents, "doc_id", "text", "the", 5).select("doc_id", "i", "around")
