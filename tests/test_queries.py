@@ -24,7 +24,7 @@ def test_against_sql(name, spark, sf, con):
 @pytest.mark.parametrize("name", [n for n in ALL if not ALL[n][1]])
 def test_runs(name, spark, sf):
     df = ALL[name][0](spark, sf)
-    assert df.columns and df.select(F.count(F.lit(1))).first()[0] >= 0
+    assert df.columns and (df.select(F.count(F.lit(1))).first()[0] > 0 or name in MAY_BE_EMPTY)
 
 
 @pytest.mark.parametrize("name", ["f25_chinese_patent", "l16_key_sentences"])
