@@ -250,10 +250,10 @@ def _(x: Tables) -> DataFrame:
     return o.recent_count(x.events, "event_type", ["ts", "event_id"]).select("event_id", "recent")
 
 
-@query("w06_smoothed")
+@query("w06_smoothed", "WITH z AS (SELECT user_id, (event_type <> 'error')::INT AS x, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events) SELECT user_id, round(0.5 * pow(0.9, max(n)) + sum(0.1 * pow(0.9, n - i) * x), 9) AS mean FROM z GROUP BY user_id")
 def _(x: Tables) -> DataFrame:
-    """W-06: tested against a fold in Python."""
-    return o.smoothed(x.events.withColumn("ok", (F.col("event_type") != "error").cast("int")).withColumn("at", F.struct("ts", "event_id")), "user_id", "at", "ok")
+    """W-06."""
+    return o.smoothed(x.events.withColumn("ok", (F.col("event_type") != "error").cast("int")).withColumn("at", F.struct("ts", "event_id")), "user_id", "at", "ok").withColumn("mean", F.round("mean", 9))
 
 
 @query("w07_context", """WITH p AS (SELECT doc_id, generate_subscripts(w, 1) AS i, unnest(w) AS word FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents)), h AS (SELECT doc_id, i, unnest(range(-5, 6)) AS o FROM p WHERE word = 'the')

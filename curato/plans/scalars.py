@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from curato.functions import judging as j
+from curato.functions import patterns as W
 from curato.functions import scores as s
 from curato.functions import text as t
 from curato.functions import values as v
@@ -227,9 +228,15 @@ def _(x: Tables) -> DataFrame:
     return x.qa().select("doc_id", j.think_effort(made, F.when(F.col("doc_id") % 3 == 0, "方案设计").otherwise("other")).alias("effort"))
 
 
-@query("p59_complexity")
+TERMS = " + ".join(f"contains(t, '{w}')::INT" for w in dict.fromkeys(W.TECHNICAL))
+
+
+@query("p59_complexity", f"""WITH {QA_SQL}, z AS (SELECT doc_id, lower(concat(q, ' ', a)) AS t FROM qa), p AS (SELECT doc_id, t, length(t) AS n, list_transform(regexp_split_to_array(t, '[.!?。！？]'), lambda x: length(x)) AS parts FROM z),
+c AS (SELECT doc_id, greatest(1, least(5, round_even(least(5, ({TERMS}) / greatest(n / 10, 1) * 100) * 0.3 + least(5, list_sum(parts) / greatest(1, len(parts)) / 30) * 0.2 + least(5, n / 1000) * 0.2
+    + least(5, len(regexp_extract_all(t, '\\d+\\.?\\d*%?')) / 10) * 0.15 + least(5, len(regexp_extract_all(t, '[α-ωΑ-ΩΣμ→℃±]')) / 20) * 0.15, 0)))::INT AS complexity FROM p)
+SELECT doc_id, complexity, CASE WHEN complexity <= 3 THEN 'medium' ELSE 'hard' END AS difficulty FROM c""")
 def _(x: Tables) -> DataFrame:
-    """P-59, P-60; tested against plain Python."""
+    """P-59, P-60."""
     z = x.qa().select("doc_id", s.complexity("q", "a").alias("complexity"))
     return z.withColumn("difficulty", s.fit_difficulty("complexity", F.array(F.lit("medium"), F.lit("hard")), F.lit(2), F.lit(None).cast("string")))
 
