@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curato.llm import chat, fingerprints, mixing, neardup, neighbours, packing, sharding, substrings, toxicity, warc
+from curato.llm import chat, divergence, fingerprints, mixing, neardup, neighbours, packing, pieces, runs, sharding, substrings, toxicity, warc
 from curato.session import ready
 
 
@@ -18,6 +18,13 @@ def _on(table: str, work: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSe
     return lambda spark, sf_dir: work(_read(spark, sf_dir, table))
 
 
+def model() -> str:
+    """The file of the public SentencePiece model."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": _on("documents", sharding.shard_records),
@@ -30,8 +37,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_substrings": _on("documents", substrings.digest),
         "op9_neighbours": _on("embeddings", neighbours.nearest_neighbours),
         "op10_neardup": _on("documents", neardup.near_duplicates),
+        "op11_pieces": lambda spark, sf_dir: pieces.digest(_read(spark, sf_dir, "documents"), model()),
+        "op12_runs": _on("documents", runs.digest),
+        "op13_divergence": _on("documents", divergence.audit),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": sharding.oracle_sql(), "op2_warc": warc.ORACLE_SQL}
+    return {"op1_sharding": sharding.oracle_sql(), "op2_warc": warc.ORACLE_SQL, "op13_divergence": divergence.oracle_sql()}
