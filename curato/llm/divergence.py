@@ -5,7 +5,8 @@ lower-cased. A language keeps the terms that at least LEAST of its documents hol
 itself, gives each kept term a smoothed share p = 1 + floor(SCALE * (count + 2) / (N + 2 V)); two shares p, q of a term diverge
 by floor((p - q)^2 / (p + q)). Counts are multiplied as decimals, so all arithmetic is exact beyond 64 bits too.
 
-Plain relational steps: matches are exploded once, each document's distinct ones behind all of its matches, and counted by
+Plain relational steps: matches are exploded once (they are what lies between the matches of the opposite pattern, which Spark cuts
+out in a tenth of the time of listing them; the empty strings at the ends of a text go), each document's distinct ones behind all of its matches, and counted by
 language, source and term (partial sums before the shuffle, so a frequent word is as cheap as any). That table is written down.
 Kept terms are crossed with the language's groups, which makes zeros dense. A language may hold nearly all terms, so the crossing
 is an equi-join on language and slice, in which the short table of groups stands once a slice. Pairs of sources come from a
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from curato.llm import shared
 
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+TERM, BETWEEN = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LEAST, BEST, SCALE = 10, 10, 1_000_000_000
 
@@ -34,8 +35,8 @@ LEAST, BEST, SCALE = 10, 10, 1_000_000_000
 def term_counts(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """lang, source, term, its occurrences n, and documents that hold it."""
     rows = docs.select(*[F.coalesce(docs[c].cast("string"), F.lit("")).alias(to) for c, to in ((lang, "lang"), (source, "source"), (text, "text"))])
-    matches = rows.select("lang", "source", F.regexp_extract_all(F.translate("text", UPPER, LOWER), F.lit(TERM), F.lit(0)).alias("all"))
-    each = matches.select("lang", "source", F.size("all").alias("many"), F.posexplode(F.concat("all", F.array_distinct("all"))).alias("at", "term"))
+    matches = rows.select("lang", "source", F.split(F.translate("text", UPPER, LOWER), BETWEEN).alias("all"))
+    each = matches.select("lang", "source", F.size("all").alias("many"), F.posexplode(F.concat("all", F.array_distinct("all"))).alias("at", "term")).where("term <> ''")
     again = F.col("at") >= F.col("many")
     return each.groupBy("lang", "source", "term").agg(F.count_if(~again).alias("n"), F.count_if(again).alias("documents"))
 
