@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from curato.functions import text as t
 from curato.operators import chunking as ch
 from curato.operators import classify as cl
+from curato.operators import communities as cm
 from curato.operators import graph as g
 from curato.operators import nearness as nr
 from curato.operators import tables as o
@@ -168,6 +169,17 @@ def _(x: Tables) -> DataFrame:
     return g.communities(edges(x), 5).groupBy("label").count()
 
 
+@query("g11_louvain", """WITH e AS (SELECT c_custkey * 2 AS src, c_nationkey * 2 + 1 AS dst FROM customer UNION SELECT s_suppkey * -2 - 2, s_nationkey * 2 + 1 FROM supplier), m AS (SELECT src AS id, dst AS star FROM e UNION SELECT dst, dst FROM e),
+s AS (SELECT star, min(id) AS community, count(*) AS nodes, count(*) - 1 AS links FROM m GROUP BY star) SELECT community, nodes, round((SELECT sum(links / t - (links / t) * (links / t)) FROM s, (SELECT sum(links) AS t FROM s)), 9) AS modularity FROM s""")
+def _(x: Tables) -> DataFrame:
+    """G-11: customers and suppliers of a nation are a star, and each star is a community."""
+    star = lambda c: (F.col(c) * 2 + 1).cast("long").alias("dst")
+    e = nr.stored(x.customer.select((F.col("c_custkey") * 2).cast("long").alias("src"), star("c_nationkey")).union(x.supplier.select((F.col("s_suppkey") * -2 - 2).cast("long").alias("src"), star("s_nationkey"))))
+    found = nr.stored(cm.louvain(e, least=0.0))
+    q = cm.modularity(cm.weighted_links(e), found).select(F.round("modularity", 9).alias("modularity"))
+    return found.groupBy("community").agg(F.count(F.lit(1)).alias("nodes")).join(q, F.lit(True))
+
+
 @query("g13_properties", f"""WITH {EDGES}, s AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM edges WHERE src <> dst), t AS (SELECT count(*) AS triangles FROM s x JOIN s y ON x.b = y.a JOIN s z ON z.a = x.a AND z.b = y.b), n AS (SELECT count(*) AS nodes FROM (SELECT src FROM edges UNION SELECT dst FROM edges))
 SELECT nodes, (SELECT count(*) FROM edges) AS edges, (SELECT count(*) FROM edges WHERE src = dst) AS self_loops, triangles, (SELECT count(*) FROM edges) / (nodes * (nodes - 1)) AS density FROM n, t""")
 def _(x: Tables) -> DataFrame:
