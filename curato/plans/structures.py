@@ -14,6 +14,7 @@ from curato.operators import communities as cm
 from curato.operators import graph as g
 from curato.operators import nearness as nr
 from curato.operators import tables as o
+from curato.operators import validation as va
 from curato.plans.base import QA_SQL, Catalog, Tables
 from curato.plans.scalars import SIM
 from curato.sources import readers, writers
@@ -223,6 +224,64 @@ def _(x: Tables) -> DataFrame:
     return made.withColumn("level", g.confidence_level(F.col("confidence")))
 
 
+#: Order lines as claims of an answer, the evidence it cites, and the entities it may name; customers and what they bought as the graph.
+CLAIMS = """i AS (SELECT l_orderkey AS aid, l_partkey AS cid, min(l_suppkey) AS s, min(l_returnflag) AS flag, min(l_linestatus) AS stat FROM lineitem GROUP BY ALL),
+answers AS (SELECT o_orderkey AS aid, o_custkey AS centre, 2 + (CASE WHEN o_orderpriority[1] IN ('1', '2') THEN 1 ELSE 0 END) + (CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS aspect_count FROM orders),
+c AS (SELECT aid, cid, 'part ' || cid AS head, CASE WHEN flag = 'A' AND stat = 'F' THEN 'meta' ELSE 'sold_by' END AS relation, CASE WHEN s % 11 = 0 THEN '' ELSE 'supp ' || s END AS tail, s % 7 <> 0 AS cites FROM i),
+bank AS (SELECT aid, cid, 'part ' || cid AS head, CASE WHEN cid % 3 = 0 THEN 'made_by' ELSE 'sold_by' END AS relation, CASE WHEN cid % 13 = 0 THEN '' ELSE 'supp ' || s END AS tail FROM i WHERE cid % 5 <> 0),
+allowed AS (SELECT aid, 'part ' || cid AS e FROM i WHERE aid % 2 = 0 UNION SELECT aid, 'supp ' || s FROM i WHERE aid % 2 = 0 AND s % 4 <> 0),
+links AS (SELECT DISTINCT o_custkey AS centre, 'part ' || l_partkey AS e FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+ends AS (SELECT c.aid, c.cid, count(*) AS ends, count(*) FILTER (allowed.e IS NULL) AS outside FROM (SELECT aid, cid, head AS e FROM c UNION ALL SELECT aid, cid, tail FROM c WHERE tail <> '') c LEFT JOIN allowed ON allowed.aid = c.aid AND allowed.e = c.e GROUP BY ALL),
+judged AS (SELECT c.*, ends, outside, CASE WHEN c.relation = 'meta' THEN 'meta' WHEN c.aid IN (SELECT aid FROM allowed) AND outside > 0 THEN 'invalid_entity' WHEN c.tail = '' THEN 'bad_claim_format' WHEN NOT cites THEN 'missing_evidence'
+    WHEN b.relation = c.relation AND b.tail = c.tail THEN 'supported' ELSE 'unsupported' END AS status, b.cid IS NULL OR b.tail = '' AS failing FROM c JOIN ends USING (aid, cid) LEFT JOIN bank b ON b.aid = c.aid AND b.cid = c.cid)"""
+
+
+def claimed(x: Tables) -> tuple[DataFrame, ...]:
+    """answers, claims, bank, allowed and edges of order lines."""
+    aspects = "array('Gene_function', ' regulation ', CASE WHEN substr(o_orderpriority, 1, 1) IN ('1', '2') THEN 'phenotype' ELSE 'odd' END, CASE WHEN o_orderstatus = 'F' THEN 'species' ELSE 'Regulation' END)"
+    answers = x.orders.select(F.col("o_orderkey").alias("aid"), F.concat(F.lit(" cust "), "o_custkey").alias("centre"), F.expr(aspects).alias("aspects"))
+    i = x.lineitem.groupBy(F.col("l_orderkey").alias("aid"), F.col("l_partkey").alias("cid")).agg(F.min("l_suppkey").alias("s"), F.min("l_returnflag").alias("flag"), F.min("l_linestatus").alias("stat"))
+    part, supp = F.concat(F.lit("part "), "cid"), F.concat(F.lit("supp "), "s")
+    meta = F.when((F.col("flag") == "A") & (F.col("stat") == "F"), "Unknown_from_available_information").otherwise(" sold_by")
+    ids = F.when(F.col("s") % 7 == 0, F.array(F.lit(" "))).otherwise(F.array(F.concat(F.lit("E"), "cid"), F.lit("")))
+    claims = i.select("aid", "cid", F.concat(F.lit("part  "), "cid").alias("head"), meta.alias("relation"), F.when(F.col("s") % 11 != 0, supp).alias("tail"), ids.alias("evidence_ids"))
+    bank = i.where("cid % 5 <> 0").select("aid", F.concat(F.lit("E"), "cid").alias("eid"), part.alias("head"), F.when(F.col("cid") % 3 == 0, "made_by").otherwise("sold_by").alias("relation"), F.when(F.col("cid") % 13 == 0, "").otherwise(supp).alias("tail"))
+    even = i.where("aid % 2 = 0")
+    allowed = even.select("aid", part.alias("entity")).union(even.where("s % 4 <> 0").select("aid", supp))
+    edges_ = x.lineitem.join(x.orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.concat(F.lit("cust "), "o_custkey").alias("src"), F.concat(F.lit("part "), "l_partkey").alias("dst"))
+    return answers, claims, bank, allowed, edges_
+
+
+@query("q07_statuses", f"WITH {CLAIMS} SELECT aid, cid, status, ends, outside FROM judged")
+def _(x: Tables) -> DataFrame:
+    """Q-07: each claim by its entities and its evidence."""
+    _, claims, bank, allowed, _ = claimed(x)
+    return va.judged_claims(claims, bank, allowed).select("aid", "cid", "status", "ends", "outside")
+
+
+@query("q07_validation", f"""WITH {CLAIMS}, per AS (SELECT aid, count(*) AS claims, avg(CASE status WHEN 'meta' THEN 0.5 WHEN 'supported' THEN 1 ELSE 0 END) AS support, count(*) FILTER (status = 'meta') AS metas, sum(ends) AS ends, sum(outside) AS outside,
+    count(*) FILTER (status <> 'meta' AND NOT cites) AS uncited, count(*) FILTER (status <> 'meta' AND cites) AS cited, count(*) FILTER (status <> 'meta' AND cites AND failing) AS failing FROM judged GROUP BY aid),
+held AS (SELECT aid, count(*) AS evidence, count(DISTINCT relation) AS relations FROM bank GROUP BY aid), sizes AS (SELECT centre, count(*) AS neighbours FROM links GROUP BY centre),
+met AS (SELECT a.aid, count(*) AS met FROM (SELECT DISTINCT aid, head AS e FROM c) n JOIN answers a USING (aid) JOIN links USING (centre, e) GROUP BY a.aid),
+parts AS (SELECT a.aid, aspect_count, coalesce(evidence, 0) AS n, coalesce(relations, 0) AS r, CASE WHEN a.aid NOT IN (SELECT aid FROM allowed) THEN 0.8::DOUBLE WHEN coalesce(ends, 0) = 0 THEN 0.5 ELSE 1 - outside / ends END AS entity,
+    greatest(0.0::DOUBLE, 1 - (coalesce(failing, 0) + coalesce(uncited, 0)) / greatest(1, coalesce(cited, 0) + coalesce(uncited, 0))) AS referenced, CASE WHEN neighbours IS NULL THEN 0.7::DOUBLE ELSE least(1.0::DOUBLE, 2 * coalesce(met, 0) / neighbours) END AS overlap,
+    coalesce(support, 0.5::DOUBLE) AS support, coalesce(metas, 0) / greatest(1, coalesce(claims, 0)) AS meta FROM answers a LEFT JOIN per USING (aid) LEFT JOIN held USING (aid) LEFT JOIN met USING (aid) LEFT JOIN sizes USING (centre)),
+info AS (SELECT *, least(1.0::DOUBLE, greatest(0.0::DOUBLE, (0.30::DOUBLE * least(1.0::DOUBLE, n / 6) + 0.15::DOUBLE * least(1.0::DOUBLE, r / greatest(1, n) * 1.5::DOUBLE) + 0.25::DOUBLE * support + 0.15::DOUBLE * overlap + 0.15::DOUBLE * referenced) * (1 - 0.35::DOUBLE * least(1.0::DOUBLE, meta)))) AS information FROM parts),
+conf AS (SELECT *, least(1.0::DOUBLE, greatest(0.0::DOUBLE, 0.40::DOUBLE * support + 0.22::DOUBLE * referenced + 0.16::DOUBLE * entity + 0.08::DOUBLE * overlap + 0.14::DOUBLE * information)) AS c FROM info)
+SELECT aid, aspect_count::INT AS aspect_count, entity, referenced, overlap, support, information, c AS confidence, CASE WHEN c >= 0.85 THEN 'high' WHEN c >= 0.6 THEN 'medium' ELSE 'low' END AS level, aspect_count >= 3 AND c >= 0.6 AS passed FROM conf""")
+def _(x: Tables) -> DataFrame:
+    """Q-07: all five parts from tables."""
+    return va.validate(*claimed(x))
+
+
+@query("g18_links", """WITH w AS (SELECT doc_id AS aid, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_()-]+') AS words FROM documents)
+SELECT aid, entity, place - 1 AS place FROM (SELECT aid, unnest(words) AS word, generate_subscripts(words, 1) AS place FROM w) JOIN (VALUES ('the', 1), ('der', 2), ('les', 3), ('de', 4)) a(word, entity) USING (word)""")
+def _(x: Tables) -> DataFrame:
+    """G-18, Q-07: aliases of one word; longer ones and overlaps are tested on made texts."""
+    alias = x.spark.createDataFrame([("the", 1), ("der", 2), ("les", 3), ("de", 4)], "alias string, id int")
+    return va.link_entities(x.documents.select(F.col("doc_id").alias("aid"), "text"), alias, 2).select("aid", "entity", "place")
+
+
 #: Documents as Markdown with a heading for each line.
 MARKED = "concat('# ', source, '\\n', 'intro text\\n## Introduction\\n', text, '\\n## 2. Results\\n', text, '\\n### 2.1 Detail\\n', text, '\\n## References\\n', text)"
 
