@@ -67,7 +67,14 @@ def _(x: Tables) -> DataFrame:
     return nr.similar_items(rows, x.embeddings.where("label = 1").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("v")), 4, 512).withColumn("score", F.round("score", 6))
 
 
-@query("d05_embeddings")
+#: Vectors of each label, one after another; kept are those that no kept one before them is alike to.
+GREEDY = """WITH RECURSIVE e AS (SELECT label, vec_id, embedding::DOUBLE[] AS v, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings),
+r AS (SELECT label, n, [vec_id] AS ids, [v] AS vs FROM e WHERE n = 1 UNION ALL SELECT label, n, CASE WHEN alike THEN ids ELSE list_append(ids, vec_id) END, CASE WHEN alike THEN vs ELSE list_append(vs, v) END
+    FROM (SELECT r.label, e.n, r.ids, r.vs, e.vec_id, e.v, list_max(list_transform(r.vs, lambda k: list_cosine_similarity(k, e.v))) >= 0.45 AS alike FROM r JOIN e ON e.label = r.label AND e.n = r.n + 1))
+SELECT unnest(ids) AS id, label FROM r QUALIFY n = max(n) OVER (PARTITION BY label)"""
+
+
+@query("d05_embeddings", GREEDY)
 def _(x: Tables) -> DataFrame:
     """D-05, D-06; tested against the plain loop."""
     return nr.dedup_embeddings(x.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label"), 0.45, "label").select("id", "label")
@@ -449,6 +456,20 @@ def _(x: Tables) -> DataFrame:
     return x.spark.read.parquet(f"{path}-out").groupBy("event_type").agg(F.max("n").alias("n"))
 
 
+@query("r07_stream_dedup", GREEDY)
+def _(x: Tables) -> DataFrame:
+    """R-07, D-06: three files of vectors one after another, each a micro-batch; what is kept is what a batch in that order keeps."""
+    path = f"{_scratch(x)}/vectors"
+    rows = x.embeddings.select(F.col("label").alias("scope"), F.col("vec_id").alias("id"), F.timestamp_seconds(F.col("vec_id") + 10**9).alias("at"), F.lit(None).cast("string").alias("text"), F.col("embedding").cast("array<double>").alias("v"))
+    low, high = x.embeddings.agg(F.min("vec_id"), F.max("vec_id")).first()
+    for n in range(3) if low is not None else []:
+        third = F.floor((F.col("id") - low) * 3 / (high - low + 1)) == n
+        rows.where(third).coalesce(1).write.mode("append").parquet(path)
+    schema = ", ".join(f"{c} {k}" for c, k in rows.dtypes)
+    flows.run(flows.keep_first(flows.read_files(x.spark, path, schema, files=1), "1 second", 0.45, 10**9), f"{path}-out", f"{path}-state").awaitTermination()
+    return x.spark.read.parquet(f"{path}-out").where("how = 'kept'").select("id", F.col("scope").alias("label"))
+
+
 @query("x02_service", "SELECT event_id, concat('echo: ', event_type) AS reply FROM events")
 def _(x: Tables) -> DataFrame:
     """X-01, X-02, G-24."""

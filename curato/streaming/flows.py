@@ -5,10 +5,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from curato.session import shared_folder
@@ -50,6 +51,91 @@ def usage(df: DataFrame, by: str, ok: str, keep: float = 0.9, start: float = 0.5
     return df.groupBy(by).applyInPandasWithState(fold, f"{by} {kind}, n long, mean double", "n long, mean double", "update", GroupStateTimeout.NoTimeout)
 
 
+class KeepFirst(StatefulProcessor):
+    """The items of one scope that are kept, as state: their vectors in a list, their texts in a map."""
+
+    def __init__(self, least: float, live: int):
+        self.least, self.live = least, live
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.kept = handle.getListState("kept", "id long, at long, v array<double>")
+        self.seen = handle.getMapState("seen", "text string", "id long, at long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        new = pd.concat(rows)
+        micros = new["at"].astype("datetime64[us]").astype("int64").to_numpy()
+        order = np.lexsort((new["id"].to_numpy(), micros))
+        held = [tuple(x) for x in self.kept.get()] if self.kept.exists() else []
+        ids, ats = [x[0] for x in held], [x[1] for x in held]
+        width = next((len(v) for v in [*(x[2] for x in held), *new["v"]] if v is not None and len(v)), 1)
+        # unit vectors of what is kept, in an array that doubles
+        room = np.zeros((max(16, 2 * len(held)), width))
+        for i, x in enumerate(held):
+            room[i] = x[2]
+        told = []
+        for i in order:
+            at, row = int(micros[i]), new.iloc[int(i)]
+            like, how = None, "kept"
+            if row["text"] is not None and self.seen.containsKey((row["text"],)):
+                first = self.seen.getValue((row["text"],))
+                if first[1] >= at - self.live:
+                    like, how = first[0], "same"
+            unit = np.zeros(width)
+            if row["v"] is not None and len(row["v"]) == width and (norm := np.linalg.norm(row["v"])) > 0:
+                unit = np.asarray(row["v"], float) / norm
+            if like is None and ids:
+                score = room[: len(ids)] @ unit
+                alike = np.flatnonzero((score >= self.least) & (np.asarray(ats) >= at - self.live))
+                if len(alike) and unit.any():
+                    like, how = ids[alike[0]], "alike"
+            if like is None:
+                if row["text"] is not None:
+                    self.seen.updateValue((row["text"],), (int(row["id"]), at))
+                if len(ids) == len(room):
+                    room = np.vstack([room, np.zeros_like(room)])
+                room[len(ids)] = unit
+                ids.append(int(row["id"]))
+                ats.append(at)
+            told.append((*key, row["id"], row["at"], how, like))
+        newest = max(int(micros.max()), max(ats, default=0))
+        live = [i for i, at in enumerate(ats) if at >= newest - self.live]
+        self.kept.put([(ids[i], ats[i], room[i].tolist()) for i in live]) if live else self.kept.clear()
+        for text, (_, at) in list(self.seen.iterator()) if self.seen.exists() else []:
+            if at < newest - self.live:
+                self.seen.removeKey(text)
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer((newest + self.live) // 1000 + 1)
+        out = pd.DataFrame(told, columns=["scope", "id", "at", "how", "like"])
+        yield out.astype({"like": "Int64"})
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.kept.clear()
+        self.seen.clear()
+        yield pd.DataFrame({"scope": [], "id": [], "at": [], "how": [], "like": []})
+
+    def close(self) -> None:
+        pass
+
+
+def keep_first(df: DataFrame, late: str, least: float, live_seconds: int) -> DataFrame:
+    """R-07, D-06: of a stream (scope, id, at, text, v), what is kept, as a decision for each row: scope, id, at, how, like.
+
+    In order of at and id inside a micro-batch, and of micro-batches, a row is dropped if a row of its scope that was kept at most
+    live_seconds before has the same text (how same) or a vector of cosine at least `least` (alike); like is that row. Null texts
+    equal nothing, and null, zero and vectors of another length are alike to nothing. Rows behind the watermark are left out by
+    Spark. What is older than live_seconds leaves the state with the scope's next rows, or when the watermark passes it.
+
+    State is kept in RocksDB, which this sets for the session. A task holds the vectors of one scope that are still alive, and
+    its new rows: choose scopes and life so that they fit.
+    """
+    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    kind = dict(df.dtypes)["scope"]
+    rows = df.withWatermark("at", late).groupBy("scope")
+    return rows.transformWithStateInPandas(KeepFirst(least, live_seconds * 1_000_000), f"scope {kind}, id long, at timestamp, how string, like long", "append", "eventtime", eventTimeColumnName="at")
+
+
 def run(df: DataFrame, path: str, checkpoint: str, mode: str = "append", kind: str = "parquet") -> StreamingQuery:
     """K-02, R-01: all that is there now, and what came since the last run, once."""
     return df.writeStream.format(kind).option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
