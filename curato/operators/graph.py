@@ -5,7 +5,7 @@ Paths grow by one join a hop, bounded by hops; iterative ones checkpoint each ro
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curato.operators.nearness import stored
@@ -48,6 +48,41 @@ def paths(edges: DataFrame, starts: DataFrame, hops: int, ends: DataFrame | None
     return found
 
 
+def best_paths(edges: DataFrame, asked: DataFrame, weights: dict[str, float], k: int = 10, hops: int = 5, other: float = 0.5) -> DataFrame:
+    """G-07, Q-08: start, end, rank, score, nodes, rels: for each asked (start, end) the k simple paths of the best score, .7 of the mean
+    weight of the relations + .3 / (1 + hops), of equal ones the first as text.
+
+    Paths grow by a join a hop. Fewest hops from each node to the ends, found first, leave out what can't arrive any more, and
+    a path is dropped once the best score it can still reach, with the largest weight on all hops that are left, is below the
+    k-th best that its question has. Of what has arrived only k rows a question stay.
+    """
+    asked = stored(asked.select("start", "end").where("start != end").distinct())
+    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    left = distances(back, asked.select(F.col("end").alias("id")), hops).select(F.col("start").alias("end"), F.col("at").alias("dst"), F.col("d").alias("left"))
+    weight = F.coalesce(F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])[F.col("rel")], F.lit(other)) if weights else F.lit(other)
+    steps = stored(edges.select("src", "rel", "dst", weight.alias("w")).distinct())
+    top = steps.agg(F.max("w")).first()[0] or 0.0
+    score = lambda total, n: F.round(0.7 * total / n + 0.3 / (1 + n), 9)
+    now = asked.select("start", "end", F.col("start").alias("src"), F.array("start").alias("nodes"), F.array().cast("array<string>").alias("rels"), F.lit(0.0).alias("total"))
+    found = None
+    order = Window.partitionBy("start", "end").orderBy(F.desc("score"), F.concat_ws(">", F.transform("nodes", lambda n: n.cast("string"))), F.concat_ws(">", "rels"))
+    for hop in range(1, hops + 1):
+        grown = now.join(steps, "src").where(~F.array_contains("nodes", F.col("dst"))).join(left, ["end", "dst"]).where(F.col("left") + hop <= hops)
+        grown = grown.select("start", "end", F.col("dst").alias("src"), F.concat("nodes", F.array("dst")).alias("nodes"), F.concat("rels", F.array("rel")).alias("rels"), (F.col("total") + F.col("w")).alias("total"), "left")
+        grown = stored(grown)
+        arrived = grown.where("left = 0").select("start", "end", score(F.col("total"), hop).alias("score"), "nodes", "rels")
+        met = arrived if found is None else found.drop("rank").unionByName(arrived)
+        found = stored(met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
+        worst = found.where(F.col("rank") == k).select("start", "end", F.col("score").alias("worst"))
+        # the mean weight may rise with more hops and the other part falls, so all lengths that are left are tried
+        ends = [F.when(F.col("left") + hop <= n, score(F.col("total") + top * (n - hop), n)) for n in range(hop + 1, hops + 1)]
+        if not ends:
+            break
+        bound = F.greatest(*ends) if len(ends) > 1 else ends[0]
+        now = grown.where("left > 0").join(worst, ["start", "end"], "left").where(F.col("worst").isNull() | (bound >= F.col("worst"))).drop("worst", "left")
+    return found.select("start", "end", "rank", "score", "nodes", "rels")
+
+
 def explained(nodes: Column, rels: Column) -> Column:
     """G-06, G-07: a path as text."""
     return F.concat(F.element_at(nodes, 1).cast("string"), F.array_join(F.transform(rels, lambda r, i: F.concat(F.lit(" -["), r, F.lit("]-> "), F.element_at(nodes, i + 2).cast("string"))), ""))
@@ -163,12 +198,24 @@ def properties(edges: DataFrame) -> DataFrame:
     """G-13: nodes, edges, density, self loops and triangles."""
     ends = edges.select(F.col("src").alias("id")).union(edges.select("dst"))
     simple = edges.where("src != dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
-    wedge = simple.toDF("a", "b").join(simple.toDF("b", "c"), "b")
-    closed = wedge.join(simple.toDF("a", "c"), ["a", "c"]).agg(F.count(F.lit(1)).alias("triangles"))
+    up = upward(simple.select(F.col("a").alias("src"), F.col("b").alias("dst")).union(simple.select("b", "a")))
+    closed = triangles(up).agg(F.count(F.lit(1)).alias("triangles"))
     one = ends.agg(F.countDistinct("id").alias("nodes")).join(edges.agg(F.count(F.lit(1)).alias("edges"), F.count_if(F.col("src") == F.col("dst")).alias("self_loops")), F.lit(True)).join(closed, F.lit(True))
     return one.withColumn("density", F.col("edges") / F.greatest(F.lit(1), F.col("nodes") * (F.col("nodes") - 1)))
 
 
+def upward(links: DataFrame) -> DataFrame:
+    """a, b: each link once, from the end of smaller (degree, id), so that out-degrees are at most the root of twice the links."""
+    degree = links.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("k"))
+    both = links.join(degree.toDF("src", "ks"), "src").join(degree.toDF("dst", "kd"), "dst")
+    return stored(both.where((F.col("ks") < F.col("kd")) | ((F.col("ks") == F.col("kd")) & (F.col("src") < F.col("dst")))).select(F.col("src").alias("a"), F.col("dst").alias("b")))
+
+
+def triangles(up: DataFrame) -> DataFrame:
+    """a, b, c of each triangle once: only the wedge at its end of smallest degree is joined, so a hub doesn't make all pairs of its neighbours."""
+    return up.toDF("a", "b").join(up.toDF("a", "c"), "a").where("b != c").join(up.toDF("b", "c"), ["b", "c"])
+
+
 def path_lengths(edges: DataFrame, parts: int = 1) -> DataFrame:
     """G-13: diameter and avg_path_length of the undirected graph, null if it is not connected.
 
@@ -189,19 +236,13 @@ def path_lengths(edges: DataFrame, parts: int = 1) -> DataFrame:
 
 def clustering(edges: DataFrame) -> DataFrame:
     """G-13: the mean over nodes of the share of pairs of their neighbours that are neighbours; nodes with one neighbour have 0.
-
-    Of each wedge only the one at its end of smallest degree is joined, so a hub does not make all pairs of its neighbours.
     """
     ids = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
     links = stored(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src != dst").distinct())
     degree = links.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("k"))
-    # each link once, from the end of smaller (degree, id): out-degrees are at most the root of twice the links
-    d1, d2 = degree.toDF("src", "ks"), degree.toDF("dst", "kd")
-    up = stored(links.join(d1, "src").join(d2, "dst").where((F.col("ks") < F.col("kd")) | ((F.col("ks") == F.col("kd")) & (F.col("src") < F.col("dst")))).select(F.col("src").alias("a"), F.col("dst").alias("b")))
-    closed = up.toDF("a", "b").join(up.toDF("a", "c"), "a").where("b != c").join(up.toDF("b", "c"), ["b", "c"])
-    triangles = closed.select(F.explode(F.array("a", "b", "c")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("t"))
+    per = triangles(upward(links)).select(F.explode(F.array("a", "b", "c")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("t"))
     share = F.when(F.col("k") > 1, 2 * F.coalesce("t", F.lit(0)) / (F.col("k") * (F.col("k") - 1))).otherwise(0.0)
-    return ids.join(degree, "id", "left").join(triangles, "id", "left").agg(F.avg(share).alias("clustering_coefficient"))
+    return ids.join(degree, "id", "left").join(per, "id", "left").agg(F.avg(share).alias("clustering_coefficient"))
 
 
 def isolates(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -235,8 +276,6 @@ def evidence(edges: DataFrame, centres: DataFrame, most: int = 30) -> DataFrame:
 
     around = both_ways(edges).join(centres.select("id"), "id", "left_semi").distinct()
     first = newest(around, "id", [F.col("direction").desc(), F.col("rel"), F.col("other")], most)
-    from pyspark.sql import Window
-
     return first.withColumn("eid", F.concat(F.lit("E"), F.row_number().over(Window.partitionBy("id").orderBy(F.col("direction").desc(), "rel", "other"))))
 
 

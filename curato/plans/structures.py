@@ -121,6 +121,18 @@ def _(x: Tables) -> DataFrame:
     return g.paths(edges(x), nodes(x).where("id = 1"), 1).select(g.explained(F.col("nodes"), F.col("rels")).alias("said"))
 
 
+@query("g07_best_paths", f"""WITH RECURSIVE {EDGES}, p AS (SELECT src AS start, dst AS node, [src, dst] AS nodes, [rel] AS rels FROM edges WHERE src >= 100000 UNION ALL SELECT start, dst, list_append(nodes, dst), list_append(rels, rel) FROM p JOIN edges ON src = p.node WHERE NOT list_contains(nodes, dst) AND len(rels) < 5),
+s AS (SELECT start, node AS "end", nodes, rels, list_sum(list_transform(rels, lambda r: CASE r WHEN 'next_to' THEN 1.0::DOUBLE WHEN 'part_of' THEN 0.9::DOUBLE ELSE 0.5::DOUBLE END)) AS total, len(rels) AS n FROM p WHERE node >= 1000 AND node < 100000),
+r AS (SELECT *, round(0.7::DOUBLE * total / n + 0.3::DOUBLE / (1 + n), 9) AS score, array_to_string(nodes, '>') AS path FROM s)
+SELECT start, "end", row_number() OVER (PARTITION BY start, "end" ORDER BY score DESC, path, array_to_string(rels, '>'))::INT AS rank, score, path FROM r QUALIFY rank <= 2""")
+def _(x: Tables) -> DataFrame:
+    """G-07, Q-08: the two best paths from each supplier to each region."""
+    n = nr.stored(nodes(x))
+    asked = n.where("type = 'supplier'").select(F.col("id").alias("start")).join(n.where("type = 'region'").select(F.collect_list("id").alias("ends")), F.lit(True)).select("start", F.explode("ends").alias("end"))
+    found = g.best_paths(edges(x), asked, {"next_to": 1.0, "part_of": 0.9}, 2)
+    return found.select("start", "end", "rank", "score", F.array_join(F.transform("nodes", lambda v: v.cast("string")), ">").alias("path"))
+
+
 @query("g05_distances", f"""WITH RECURSIVE {EDGES}, l AS (SELECT DISTINCT src, dst FROM edges), p AS (SELECT 1::BIGINT AS start, 1::BIGINT AS node, 0 AS d UNION SELECT p.start, l.dst, p.d + 1 FROM p JOIN l ON l.src = p.node WHERE p.d < 5) SELECT start, node, min(d)::INT AS d FROM p GROUP BY start, node""")
 def _(x: Tables) -> DataFrame:
     """G-05, A-33."""
