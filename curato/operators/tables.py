@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter, deque
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,7 +45,7 @@ def keep_last(df: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 def rank_in(df: DataFrame, by: str, *order: str) -> DataFrame:
     """W-01, J-14: position inside a group, from 0."""
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order)) - 1)
+    return numbered_in(df, by, list(order), "rank").withColumn("rank", F.col("rank") - 1)
 
 
 def fill_down(df: DataFrame, value: str, by: str, order: str) -> DataFrame:
@@ -51,15 +53,72 @@ def fill_down(df: DataFrame, value: str, by: str, order: str) -> DataFrame:
     return df.withColumn(value, F.last(value, ignorenulls=True).over(Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
 
 
+def _dealt(df: DataFrame, by: str, order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """df dealt to ranges of (group, order), __part, and rows of each group in each range (__n); so a group of most rows is many tasks'."""
+    from curato.operators.nearness import stored
+
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = stored(df.repartitionByRange(n, by, *order).withColumn("__part", F.spark_partition_id()))
+    return dealt, dealt.groupBy("__part", by).agg(F.count(F.lit(1)).alias("__n"))
+
+
+def numbered_in(df: DataFrame, by: str, order: list[str], name: str) -> DataFrame:
+    """df with numbers from 1 inside each group, in two steps: rows before a range, and row numbers inside it. Null is a group."""
+    dealt, counts = _dealt(df, by, order)
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    told = counts.select(F.col("__part").alias("__p"), F.col(by).alias("__by"), before.alias("__before"))
+    inside = F.row_number().over(Window.partitionBy("__part", by).orderBy(*order))
+    met = dealt.withColumn("__in", inside).join(told, (F.col("__part") == F.col("__p")) & F.col(by).eqNullSafe(F.col("__by")))
+    return met.withColumn(name, F.col("__before") + F.col("__in")).drop("__part", "__p", "__by", "__before", "__in")
+
+
 def recent_count(df: DataFrame, by: str, order: list[str], rows: int = 1000) -> DataFrame:
     """W-05: rows of the same group among the last so many of it, the row itself included."""
-    return df.withColumn("recent", F.count(F.lit(1)).over(Window.partitionBy(by).orderBy(*order).rowsBetween(-(rows - 1), 0)))
+    return numbered_in(df, by, order, "recent").withColumn("recent", F.least("recent", F.lit(rows).cast("long")))
+
+
+def balanced(strategies: list[str], rows: int = 1000) -> tuple[list[str], int]:
+    """L-13: the strategies that a balancer gives one after another, and from which place on they come again in turn.
+
+    Each time it is the one least used among the last so many, of equal ones the first by name. What it gives depends on its last
+    rows only, so it goes round in the end: places past the list count on from there.
+    """
+    names, used, last, out, met = sorted(set(strategies)), Counter(), deque(), [], {}
+    while (state := tuple(last)) not in met:
+        met[state] = len(out)
+        out.append(min(names, key=lambda n: (used[n], n)))
+        used[out[-1]] += 1
+        last.append(out[-1])
+        if len(last) > rows:
+            used[last.popleft()] -= 1
+    return out, met[state]
+
+
+def least_used(df: DataFrame, order: list[str], strategies: list[str], rows: int = 1000, name: str = "strategy") -> DataFrame:
+    """L-13, W-05: each row, in order, with the strategy that is least used among the last so many rows.
+
+    Rows are numbered over all ranges of the order, and a number tells the strategy; the table of turns follows the strategies and
+    the window, not the rows, and is broadcast. Strategies that repeat count once; there must be one.
+    """
+    turns, again = balanced(strategies, rows)
+    told = df.sparkSession.createDataFrame(list(enumerate(turns)), f"__turn long, {name} string")
+    at = F.col("__at") - 1
+    turn = F.when(at < len(turns), at).otherwise(again + (at - again) % (len(turns) - again))
+    return numbered(df, order, "__at").withColumn("__turn", turn).join(F.broadcast(told), "__turn").drop("__turn", "__at")
 
 
 def smoothed(df: DataFrame, by: str, order: str, value: str, keep: float = 0.9, start: float = 0.5) -> DataFrame:
-    """W-06: an exponential mean of each group's values in order, as a fold over a sorted array."""
-    told = df.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(order, value))).alias("s"))
-    return told.select(by, F.aggregate("s", F.lit(start), lambda m, x: m * keep + x[value].cast("double") * (1 - keep)).alias("mean"))
+    """W-06: an exponential mean of each group's values in order: values weigh less by each row that follows.
+
+    A range of a group is summed by the rows that follow inside it, and then weighed once by those in later ranges.
+    """
+    dealt, counts = _dealt(df, by, [order])
+    behind = F.row_number().over(Window.partitionBy("__part", by).orderBy(F.desc(order))) - 1
+    sums = dealt.withColumn("__behind", behind).groupBy("__part", by).agg(F.sum(F.col(value).cast("double") * (1 - keep) * F.pow(F.lit(keep), "__behind")).alias("__s"))
+    after = F.coalesce(F.sum("__n").over(Window.partitionBy(by).orderBy(F.desc("__part")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    told = counts.select(F.col("__part").alias("__p"), F.col(by).alias("__by"), "__n", after.alias("__after"))
+    met = sums.join(told, (F.col("__part") == F.col("__p")) & F.col(by).eqNullSafe(F.col("__by")))
+    return met.groupBy(by).agg((F.sum(F.coalesce("__s", F.lit(0.0)) * F.pow(F.lit(keep), "__after")) + start * F.pow(F.lit(keep), F.sum("__n"))).alias("mean"))
 
 
 def around(words: Column, hit: Column, reach: int = 5) -> Column:

@@ -33,7 +33,7 @@ def paths_of(folder: str, told: DataFrame) -> list[str]:
 def _(x: Tables) -> DataFrame:
     """S-02."""
     path = scratch(x)
-    made = x.documents.select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 3 > 0, F.col("source")).alias("source"), F.when(F.col("doc_id") % 2 == 0, F.col("lang")).alias("label"), F.when(F.col("doc_id") % 5 > 0, F.substring("text", 1, 9)).alias("text"))
+    made = x.documents.select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 3 > 0, F.col("source")).alias("source"), F.when(F.col("doc_id") % 2 == 0, F.col("lang")).alias("label"), F.when(F.col("doc_id") % 5 > 0, F.col("text")).alias("text"))
     writers.json_out(made, path)
     good, _ = readers.good_and_bad(readers.json_lines(x.spark, path, "id long, source string, label string, text string"))
     return readers.theses(good, ["SRC1", "src2"]).select("id", "source")

@@ -250,6 +250,12 @@ def _(x: Tables) -> DataFrame:
     return o.recent_count(x.events, "event_type", ["ts", "event_id"]).select("event_id", "recent")
 
 
+@query("l13_least_used", "SELECT event_id, ['clear', 'deepen', 'extend', 'vary', 'why'][(row_number() OVER (ORDER BY ts, event_id) - 1) % 1001 % 5 + 1] AS strategy FROM events")
+def _(x: Tables) -> DataFrame:
+    """L-13: five strategies come in turn, and begin again once the window of 1,000 is full; other numbers are tested against the loop."""
+    return o.least_used(x.events, ["ts", "event_id"], ["why", "vary", "clear", "extend", "deepen"]).select("event_id", "strategy")
+
+
 @query("w06_smoothed", "WITH z AS (SELECT user_id, (event_type <> 'error')::INT AS x, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events) SELECT user_id, round(0.5 * pow(0.9, max(n)) + sum(0.1 * pow(0.9, n - i) * x), 9) AS mean FROM z GROUP BY user_id")
 def _(x: Tables) -> DataFrame:
     """W-06."""
@@ -439,13 +445,15 @@ def _(x: Tables) -> DataFrame:
 ADDED = "CASE doc_id % 4 WHEN 0 THEN '为什么' WHEN 1 THEN '是否研究模型' WHEN 2 THEN '基因 5%' ELSE '' END"
 
 
-@query("f20_retrieval_need", f"""WITH {QA_SQL}, z AS (SELECT doc_id, concat({ADDED}, q) AS q, CASE WHEN doc_id % 5 = 0 THEN a[1:40] ELSE a END AS a FROM qa), y AS (SELECT *, concat(q, a) AS b FROM z),
+@query("f20_retrieval_need", f"""WITH {QA_SQL}, z AS (SELECT doc_id, concat({ADDED}, q) AS q, a FROM qa UNION ALL SELECT -1 - doc_id, concat({ADDED}, q), 'a short answer' FROM qa), y AS (SELECT *, concat(q, a) AS b FROM z),
 w AS (SELECT *, {COUNT('b', [w for ws in j.RETRIEVAL_WORDS.values() for w in ws])} AS words, {ANY('q', j.OPEN_QUESTIONS)} AS open, {ANY('b', j.CONCEPT_WORDS)} AS concept FROM y),
 s AS (SELECT *, least(words * 3, 30) + CASE WHEN open THEN 15 ELSE 0 END - CASE WHEN {ANY('q', j.CLOSED_QUESTIONS)} THEN 5 ELSE 0 END + CASE WHEN length(a) > 800 THEN 20 WHEN length(a) > 200 THEN 10 ELSE 0 END + CASE WHEN concept THEN 15 ELSE 0 END
     + CASE WHEN regexp_matches(b, '\\p{{N}}') THEN 5 ELSE 0 END + CASE WHEN contains(b, '%') OR contains(b, '百分') THEN 3 ELSE 0 END + CASE WHEN {ANY('b', j.UNITS)} THEN 2 ELSE 0 END + CASE WHEN length(q) > 50 THEN 5 WHEN length(q) > 30 THEN 3 ELSE 0 END AS score FROM w)
 SELECT doc_id, score::INT AS score, CASE WHEN length(q) < 5 THEN FALSE WHEN length(a) > 2000 THEN TRUE WHEN length(a) < 50 AND NOT (open OR words >= 3 OR concept) THEN FALSE ELSE score >= 25 END AS needed FROM s""")
 def _(x: Tables) -> DataFrame:
-    z = x.qa().select("doc_id", F.concat(F.expr(ADDED), "q").alias("q"), F.when(F.col("doc_id") % 5 == 0, F.substring("a", 1, 40)).otherwise(F.col("a")).alias("a"))
+    """F-20: all questions with their answers, and once more with a short one."""
+    z = x.qa().select("doc_id", F.concat(F.expr(ADDED), "q").alias("q"), "a")
+    z = z.union(z.select(-1 - F.col("doc_id"), "q", F.lit("a short answer")))
     return z.select("doc_id", j.retrieval_score("q", "a").alias("score"), j.needs_retrieval("q", "a").alias("needed"))
 
 

@@ -160,9 +160,9 @@ def _(x: Tables) -> DataFrame:
     return x.labels.select("doc_id", t.judge_scores(said).alias("s")).select("doc_id", "s.accuracy", "s.relevance", "s.total")
 
 
-@query("p37_numbered_pairs", f"WITH {QA_SQL}, z AS (SELECT doc_id, regexp_replace(q, '[QA]', '', 'g') AS x, regexp_replace(a, '[QA]', '', 'g') AS y FROM qa WHERE length(q) > 5 AND length(a) > 5) SELECT doc_id, {STRIP('x')} AS question, {STRIP('y')} AS answer FROM z UNION ALL SELECT doc_id, {STRIP('y')}, {STRIP('x')} FROM z")
+@query("p37_numbered_pairs", f"WITH {QA_SQL}, z AS (SELECT doc_id, concat('which ', regexp_replace(q, '[QA]', '', 'g')) AS x, concat('since ', regexp_replace(a, '[QA]', '', 'g')) AS y FROM qa) SELECT doc_id, {STRIP('x')} AS question, {STRIP('y')} AS answer FROM z UNION ALL SELECT doc_id, {STRIP('y')}, {STRIP('x')} FROM z")
 def _(x: Tables) -> DataFrame:
-    z = x.qa().where("length(q) > 5 and length(a) > 5").select("doc_id", F.regexp_replace("q", "[QA]", "").alias("x"), F.regexp_replace("a", "[QA]", "").alias("y"))
+    z = x.qa().select("doc_id", *[F.concat(F.lit(w), F.coalesce(F.regexp_replace(c, "[QA]", ""), F.lit(""))).alias(to) for w, c, to in (("which ", "q", "x"), ("since ", "a", "y"))])
     said = F.concat(F.lit("Q1: "), "x", F.lit("\nA1: "), "y", F.lit("\nQ2: "), "y", F.lit("\nA2: "), "x")
     return z.select("doc_id", F.explode(t.numbered_pairs(said)).alias("p")).select("doc_id", "p.question", "p.answer")
 
