@@ -293,7 +293,7 @@ def _(x: Tables) -> DataFrame:
     return va.validate(*claimed(x))
 
 
-@query("g18_links", """WITH w AS (SELECT doc_id AS aid, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_()-]+') AS words FROM documents)
+@query("g18_links", """WITH w AS (SELECT doc_id AS aid, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_()-]+') AS words FROM documents)
 SELECT aid, entity, place - 1 AS place FROM (SELECT aid, unnest(words) AS word, generate_subscripts(words, 1) AS place FROM w) JOIN (VALUES ('the', 1), ('der', 2), ('les', 3), ('de', 4)) a(word, entity) USING (word)""")
 def _(x: Tables) -> DataFrame:
     """G-18, Q-07: aliases of one word; longer ones and overlaps are tested on made texts."""
