@@ -126,11 +126,13 @@ def _(x: Tables) -> DataFrame:
     return readers.id_list(rows.select(cell(0).cast("int").alias("at"), cell(1).alias("a"), cell(2).alias("b")), "a", "b", "at").select("id", "alt_id", "rel_path")
 
 
-@query("s20_ratios", "SELECT name, share FROM (VALUES ('easy', 0.5::DOUBLE), ('medium', 0.25::DOUBLE), ('hard item', 0.25::DOUBLE)) t(name, share)")
+@query("s20_ratios", "SELECT lang, count(*) AS documents, CASE lang WHEN 'en' THEN 0.5::DOUBLE WHEN 'de' THEN 0.25::DOUBLE WHEN 'pt br' THEN 0.25::DOUBLE ELSE 0.0::DOUBLE END AS share, floor((SELECT count(*) FROM documents) * CASE lang WHEN 'en' THEN 0.5::DOUBLE WHEN 'de' THEN 0.25::DOUBLE WHEN 'pt br' THEN 0.25::DOUBLE ELSE 0.0::DOUBLE END)::BIGINT AS wanted FROM documents GROUP BY lang")
 def _(x: Tables) -> DataFrame:
-    """S-20: a small configuration file, read on the driver."""
-    text = "# shares\nratios:\neasy: 2\nmedium: 1.0\nhard item: 1\n"
-    return x.spark.createDataFrame(list(readers.ratios(text).items()), "name string, share double")
+    """S-20: a small configuration file, read on the driver, against the documents of each language and all of them."""
+    shares = x.spark.createDataFrame(list(readers.ratios("# shares\nratios:\nen: 2\nde: 1.0\npt br: 1\n").items()), "lang string, share double")
+    have = x.documents.groupBy("lang").agg(F.count(F.lit(1)).alias("documents"))
+    told = have.join(shares, "lang", "left").join(have.agg(F.sum("documents").alias("all_")), F.lit(True))
+    return told.select("lang", "documents", F.coalesce("share", F.lit(0.0)).alias("share"), F.floor(F.col("all_") * F.coalesce("share", F.lit(0.0))).alias("wanted"))
 
 
 UPLOAD = "CASE WHEN turn = 0 THEN concat('{\"__type__\": \"dataset\", \"name\": \"set ', conv_id, '\"}') WHEN role = 'user' THEN concat('{\"question\": \"q', turn, '\", \"answer\": \"a', conv_id, '\", \"topic\": \"', role, '\"}') ELSE '{\"note\": 1}' END"
