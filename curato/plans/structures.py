@@ -14,6 +14,7 @@ from curato.operators import communities as cm
 from curato.operators import graph as g
 from curato.operators import nearness as nr
 from curato.operators import tables as o
+from curato.operators import tasks as tk
 from curato.operators import validation as va
 from curato.plans.base import QA_SQL, Catalog, Tables
 from curato.plans.scalars import SIM
@@ -233,6 +234,50 @@ def _(x: Tables) -> DataFrame:
     return g.evidence(edges(x), nodes(x).where("id < 10")).select("id", "rel", "other", "direction", "eid")
 
 
+#: Evidence of all nodes.
+BANK = f"""{EDGES}, l AS (SELECT *, md5(concat('s|', src, '|', rel, '|', dst)) AS lot FROM edges), ways AS (SELECT src AS id, src AS head, rel AS relation, dst AS tail, 'out' AS direction FROM edges UNION ALL SELECT dst, src, rel, dst, 'in' FROM edges),
+s0 AS (SELECT src AS id, src AS head, min(rel) AS relation, dst AS tail, 'out' AS direction, 0 AS step FROM edges GROUP BY src, dst QUALIFY row_number() OVER (PARTITION BY src ORDER BY min(rel), dst) <= 30),
+i AS (SELECT src AS id FROM edges UNION SELECT dst FROM edges), n0 AS (SELECT id, count(*) AS n FROM s0 GROUP BY id), h1 AS (SELECT id FROM i LEFT JOIN n0 USING (id) WHERE coalesce(n, 0) < 6),
+s1 AS (SELECT *, 1 AS step FROM ways WHERE id IN (SELECT id FROM h1) QUALIFY row_number() OVER (PARTITION BY id, direction ORDER BY relation, head, tail) <= 30),
+b1 AS (SELECT id, head, relation, tail, direction, min(step) AS step FROM (SELECT * FROM s0 UNION ALL SELECT * FROM s1) GROUP BY id, head, relation, tail, direction QUALIFY row_number() OVER (PARTITION BY id ORDER BY min(step), direction DESC, relation, head, tail) <= 30),
+n1 AS (SELECT id, count(*) AS n FROM b1 GROUP BY id HAVING count(*) < 6), via AS (SELECT DISTINCT id, v FROM (SELECT id, unnest([head, tail]) AS v FROM b1 JOIN n1 USING (id)) WHERE v <> id),
+s2 AS (SELECT id, src AS head, rel AS relation, dst AS tail, 'out' AS direction, 2 AS step FROM via JOIN l ON l.src = v JOIN n1 USING (id) WHERE NOT EXISTS (FROM b1 WHERE b1.id = via.id AND head = src AND relation = rel AND tail = dst) QUALIFY row_number() OVER (PARTITION BY id ORDER BY lot, src, rel, dst) <= 6 - n),
+b2 AS (SELECT * FROM b1 UNION ALL SELECT * FROM s2), n2 AS (SELECT id FROM b2 GROUP BY id HAVING count(*) < 6),
+f AS (SELECT * FROM l WHERE src <> dst ORDER BY lot LIMIT 16), t AS (SELECT f.lot, f.src, f.rel, f.dst, e.rel AS rel2, e.dst AS dst2 FROM f LEFT JOIN l e ON e.src = f.dst AND e.dst <> f.dst AND e.dst <> f.src QUALIFY row_number() OVER (PARTITION BY f.lot ORDER BY e.lot) = 1),
+pool AS (SELECT *, row_number() OVER (ORDER BY lot) - 1 AS place FROM t), lent AS (SELECT id, p.* FROM n2 JOIN pool p ON p.place = ('0x' || substr(md5(concat('s|', id)), 1, 8))::BIGINT % (SELECT count(*) FROM pool)),
+s3 AS (SELECT id, src AS head, rel AS relation, dst AS tail FROM lent UNION SELECT id, dst, rel2, dst2 FROM lent WHERE dst2 IS NOT NULL),
+b3 AS (SELECT * FROM b2 UNION ALL SELECT *, 'out', 3 FROM s3 WHERE NOT EXISTS (FROM b2 WHERE b2.id = s3.id AND b2.head = s3.head AND b2.relation = s3.relation AND b2.tail = s3.tail)),
+bank AS (SELECT *, concat('E', row_number() OVER (PARTITION BY id ORDER BY step, direction DESC, relation, head, tail)) AS eid FROM b3)"""
+
+
+@query("g19_bank", f"WITH {BANK} SELECT id, eid, head, relation, tail, direction, step FROM bank")
+def _(x: Tables) -> DataFrame:
+    """G-19, D-08: of all nodes."""
+    e = nr.stored(edges(x))
+    return tk.evidence_bank(e, nodes(x), seed="s")
+
+
+@query("g19_allowed", f"""WITH {BANK}, near AS (SELECT src AS id, dst AS entity, 1 AS a, row_number() OVER (PARTITION BY src ORDER BY min(rel), dst) AS b, 0 AS c FROM edges GROUP BY src, dst QUALIFY b <= 25),
+said AS (SELECT id, head AS entity, 2 AS a, substr(eid, 2)::BIGINT AS b, 0 AS c FROM bank UNION ALL SELECT id, tail, 2, substr(eid, 2)::BIGINT, 1 FROM bank), u AS (SELECT DISTINCT id, id AS entity, 0 AS a, 0 AS b, 0 AS c FROM bank UNION ALL SELECT * FROM near UNION ALL SELECT * FROM said)
+SELECT id, entity, row_number() OVER (PARTITION BY id ORDER BY min((a, b, c)))::INT AS place FROM u GROUP BY id, entity QUALIFY place <= 33""")
+def _(x: Tables) -> DataFrame:
+    """G-19: what answers may name."""
+    e = nr.stored(edges(x))
+    return tk.allowed_entities(nr.stored(tk.evidence_bank(e, nodes(x), seed="s")), e)
+
+
+@query("g23_tasks", f"""WITH {BANK}, c AS (SELECT 'species' AS kind, id, md5(concat('s|species|', id)) AS lot FROM i WHERE id < 1000 UNION ALL SELECT 'phenotype', id, md5(concat('s|phenotype|', id)) FROM i UNION ALL SELECT 'keyword', id, md5(concat('s|keyword|', id)) FROM i WHERE contains(id::VARCHAR, '1')
+UNION ALL SELECT 'degree', id, concat(lpad((1000000000000000 - count(*))::VARCHAR, 16, '0'), '|', id) FROM ways GROUP BY id),
+k AS (SELECT kind, id, row_number() OVER (PARTITION BY kind ORDER BY lot, id)::INT AS rank FROM c WHERE id IN (SELECT src FROM edges) AND id IN (SELECT id FROM bank GROUP BY id HAVING count(*) >= 6) QUALIFY rank <= 7)
+SELECT kind, rank, id, eid, head, relation, tail, direction, step FROM k JOIN bank USING (id)""")
+def _(x: Tables) -> DataFrame:
+    """G-23, L-10: centres by type, by the commonest types where none fits, by keyword and by degree."""
+    e, n = nr.stored(edges(x)), nr.stored(nodes(x))
+    chosen = tk.centres_by_type(n, "species", ["nation"], seed="s").unionByName(tk.centres_by_type(n, "phenotype", ["trait"], seed="s"))
+    chosen = chosen.unionByName(tk.centres_by_keyword(n, "keyword", "1", "s")).unionByName(tk.centres_by_degree(e, "degree"))
+    return tk.tasks(e, nr.stored(chosen), 7, seed="s")
+
+
 @query("q07_claims", "SELECT o_orderkey AS aid, 1 AS cid, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS supported, 0.40 * CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END + 0.22 + 0.16 * 0.5 + 0.08 * 0.7 + 0.14 * 0.5 AS confidence, CASE WHEN o_orderstatus = 'F' THEN 'medium' ELSE 'low' END AS level FROM orders")
 def _(x: Tables) -> DataFrame:
     """Q-07, J-13."""
