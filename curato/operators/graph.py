@@ -167,6 +167,57 @@ def closeness(dist: DataFrame) -> DataFrame:
     return per.join(n, F.lit(True)).select("id", (F.col("r") / F.col("total") * F.col("r") / F.greatest(F.lit(1), F.col("n") - 1)).alias("closeness"))
 
 
+def neighbourhoods(edges: DataFrame, lg: int = 12, rounds: int = 64, settled: float = 0.0) -> DataFrame:
+    """G-13, A-33, G-10 at size: id, reach: how many nodes reach it in at most 0, 1, 2 and so on hops, by HyperLogLog.
+
+    Each node holds a sketch of the nodes that reach it, of at most 2^lg bytes, and each round takes the union with those of the
+    nodes before it: one join and one partial aggregation on the edges, whatever the number of pairs. Ends when no round adds more
+    than a share `settled` of the pairs, or after `rounds` hops. The relative standard error of a count is 1.04 / 2^(lg / 2),
+    1.6 % at 12, and counts of some hundred are nearly exact. Edges with a null end are none; loops and repeats add nothing.
+    """
+    links = stored(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL AND src != dst").distinct())
+    every = edges.select(F.col("src").alias("id")).union(edges.select("dst")).where("id IS NOT NULL").distinct()
+    # keys of one kind for all types of ids
+    now = every.groupBy("id").agg(F.hll_sketch_agg(F.col("id").cast("string"), lg).alias("sketch")).withColumn("reach", F.array(F.lit(1).cast("long")))
+    now = stored(now)
+    before = float(now.count())
+    for _ in range(rounds):
+        told = links.join(now.select(F.col("id").alias("src"), "sketch"), "src").select(F.col("dst").alias("id"), "sketch", F.lit(None).cast("array<bigint>").alias("reach"))
+        met = now.unionByName(told).groupBy("id").agg(F.hll_union_agg("sketch").alias("sketch"), F.max("reach").alias("reach"))
+        # an estimate may waver; a node never loses what reached it
+        met = met.withColumn("n", F.greatest(F.hll_sketch_estimate("sketch"), F.element_at("reach", -1)))
+        new = stored(met.select("id", "sketch", F.concat("reach", F.array("n")).alias("reach")))
+        pairs = float(new.agg(F.sum(F.element_at("reach", -1))).first()[0] or 0)
+        if pairs <= before * (1 + settled):
+            break
+        now, before = new, pairs
+    return now.select("id", "reach")
+
+
+def sketched_lengths(reach: DataFrame, share: float = 0.9) -> DataFrame:
+    """G-13, A-33: pairs, avg_path_length, diameter (the most hops that add a pair) and effective_diameter (hops that hold a share of
+    the pairs, between two numbers in proportion) of neighbourhoods. No pair: one row with 0 pairs and nulls."""
+    level = reach.select(F.posexplode("reach").alias("d", "n")).groupBy("d").agg((F.sum("n") - F.count(F.lit(1))).alias("n"))
+    # a row a hop
+    hops = level.agg(F.sort_array(F.collect_list(F.struct("d", "n"))).alias("h")).select(F.transform("h", lambda x: x["n"].cast("double")).alias("n")).withColumn("all", F.coalesce(F.element_at("n", F.when(F.size("n") > 0, -1)), F.lit(0.0)))
+    gains = F.transform(F.slice("n", 2, F.greatest(F.lit(0), F.size("n") - 1)), lambda x, i: (i + 1) * (x - F.element_at("n", i + 1)))
+    over = F.filter(F.transform("n", lambda x, i: F.when(x >= share * F.col("all"), i)), lambda i: i.isNotNull())[0]
+    low, high = F.element_at("n", over), F.element_at("n", over + 1)
+    made = hops.withColumn("over", over).select(
+        F.col("all").cast("long").alias("pairs"), F.when(F.col("all") > 0, F.aggregate(gains, F.lit(0.0), lambda s, x: s + x) / F.col("all")).alias("avg_path_length"),
+        F.when(F.col("all") > 0, F.size("n") - 1).alias("diameter"), F.when(F.col("all") > 0, F.when(over == 0, 0.0).otherwise(over - 1 + (share * F.col("all") - low) / (high - low))).alias("effective_diameter"),
+    )
+    return made
+
+
+def sketched_closeness(reach: DataFrame) -> DataFrame:
+    """G-10: as closeness, of neighbourhoods, for nodes that others reach."""
+    n = reach.agg(F.count(F.lit(1)).alias("n"))
+    far = F.aggregate(F.transform(F.slice("reach", 2, F.size("reach")), lambda x, i: (i + 1) * (x - F.element_at("reach", i + 1))), F.lit(0).cast("long"), lambda s, x: s + x)
+    per = reach.select("id", (F.element_at("reach", -1) - 1).alias("r"), far.alias("total")).where("r > 0")
+    return per.join(n, F.lit(True)).select("id", (F.col("r") / F.col("total") * F.col("r") / F.greatest(F.lit(1), F.col("n") - 1)).alias("closeness"))
+
+
 def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
     """G-11, X15: label propagation; a node takes its neighbours' commonest label, of equal ones the smallest."""
     links = stored(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src != dst").distinct())

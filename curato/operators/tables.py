@@ -28,6 +28,39 @@ def lookup_either(df: DataFrame, table: DataFrame, first: tuple[str, str], secon
     return both.withColumn(value, F.coalesce("__v1", "__v2")).drop("__k1", "__v1", "__k2", "__v2")
 
 
+def find_files(df: DataFrame, files: DataFrame, path: str = "path", parts: int = 8) -> DataFrame:
+    """S-10: df with the file of files(file) that its path means, and by which rule: exact (the path without blanks at its ends is a
+    file), tidied (so it is with / for \\, without ./ and double /), tail (the longest run of two or more last parts in common),
+    name (the last part) or stem (the last part without its ending). Of files found alike the first as text; null where none is.
+    Letters are compared as they are for exact, else in lower case. Null and blank paths find nothing.
+
+    Every path gives its keys, and of the files of one key only the first stays before the join, so that a name that many folders
+    hold is one row and the join is of equal keys, one to one.
+    """
+    known = files.select("file").where("trim(file) != ''").distinct()
+    index = known.select("file", F.explode(_path_keys("file", parts)).alias("k")).groupBy("k").agg(F.min("file").alias("file"))
+    asked = df.select(F.col(path).alias("__path")).where("trim(__path) != ''").distinct()
+    asked = asked.select("__path", F.explode(_path_keys("__path", parts)).alias("k"))
+    best = asked.join(index, "k").groupBy("__path").agg(F.min(F.struct(F.col("k.rule").alias("rule"), (-F.col("k.n")).alias("n"), "file")).alias("b"))
+    rules = F.array(*[F.lit(x) for x in ("exact", "tidied", "tail", "name", "stem")])
+    told = best.select("__path", F.col("b.file").alias("file"), F.element_at(rules, F.col("b.rule") + 1).alias("rule"))
+    return df.join(told, F.col(path) == F.col("__path"), "left").drop("__path")
+
+
+def _path_keys(c: str, parts: int) -> Column:
+    """Structs of rule, number of parts and text."""
+    plain = F.trim(F.col(c))
+    tidy = F.regexp_replace(F.regexp_replace(F.lower(plain), r"[/\\]+", "/"), r"^(\./)+|(?<=/)(\./)+", "")
+    # empty parts of a leading or closing slash are none
+    split = F.array_remove(F.split(tidy, "/"), "")
+    key = lambda rule, n, text: F.struct(F.lit(rule).alias("rule"), n.cast("int").alias("n"), text.alias("text"))
+    last = F.element_at(split, -1)
+    tails = F.transform(F.sequence(F.lit(2), F.greatest(F.lit(2), F.least(F.lit(parts), F.size(split)))), lambda n: key(2, n, F.concat_ws("/", F.slice(split, F.greatest(-n, -F.size(split)), n))))
+    tails = F.when(F.size(split) >= 2, tails).otherwise(F.filter(tails, lambda _: F.lit(False)))
+    some = F.concat(F.array(key(0, F.lit(0), plain), key(1, F.lit(0), tidy)), tails, F.array(key(3, F.lit(0), last), key(4, F.lit(0), F.regexp_replace(last, r"(?<=.)\.[^.]*$", ""))))
+    return F.when(F.size(split) > 0, some).otherwise(F.array(key(0, F.lit(0), plain)))
+
+
 def orphans(child: DataFrame, parent: DataFrame, key: str, parent_key: str) -> DataFrame:
     """J-15, M-06, G-14: rows whose parent is missing."""
     return child.where(F.col(key).isNotNull()).join(parent.select(F.col(parent_key).alias(key)).distinct(), key, "left_anti")

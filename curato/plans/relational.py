@@ -185,10 +185,25 @@ def _(x: Tables) -> DataFrame:
 
 @query("j05_either_key", "SELECT e.event_id, coalesce(a.c_name, b.c_name) AS c_name FROM events e LEFT JOIN customer a ON e.event_id = a.c_custkey LEFT JOIN customer b ON e.user_id = b.c_custkey")
 def _(x: Tables) -> DataFrame:
-    """J-05, S-09, S-10."""
+    """J-05, S-09."""
     return o.lookup_either(x.events.select("event_id", "user_id"), x.customer.select("c_custkey", "c_name"), ("event_id", "c_custkey"), ("user_id", "c_custkey"), "c_name").select("event_id", "c_name")
 
 
+@query("s10_found_files", """WITH f AS (SELECT DISTINCT concat('data/', source, '/', lang, '/', doc_id % 50, '.md') AS file FROM documents),
+q AS (SELECT page_id, CASE page_id % 6 WHEN 0 THEN concat(' data/src', page_id % 4, '/en/', page_id % 50, '.md ') WHEN 1 THEN concat('./Data\\src', page_id % 4, '//en/./', page_id % 50, '.md') WHEN 2 THEN concat('/old/src', page_id % 4, '/de/', page_id % 50, '.md') WHEN 3 THEN concat('x/', page_id % 60, '.md') WHEN 4 THEN concat(page_id % 60, '.json') END AS path FROM pages),
+u AS (SELECT DISTINCT file AS p, file, true AS own FROM f UNION ALL SELECT DISTINCT path, NULL, false FROM q WHERE path IS NOT NULL), t AS (SELECT *, regexp_replace(regexp_replace(lower(trim(p)), '[/\\\\]+', '/', 'g'), '(^|/)(\\./)+', '\\1', 'g') AS tidy FROM u), s AS (SELECT *, list_filter(string_split(tidy, '/'), lambda w: w <> '') AS w FROM t),
+k AS (SELECT p, file, own, 0 AS rule, 0 AS n, trim(p) AS k FROM s UNION ALL SELECT p, file, own, 1, 0, tidy FROM s UNION ALL SELECT p, file, own, 2, n, array_to_string(w[-n:], '/') FROM s, range(2, 9) r(n) WHERE n <= len(w)
+UNION ALL SELECT p, file, own, 3, 0, w[-1] FROM s UNION ALL SELECT p, file, own, 4, 0, regexp_replace(w[-1], '(.)\\.[^.]*$', '\\1') FROM s),
+b AS (SELECT a.p AS path, i.file, ['exact', 'tidied', 'tail', 'name', 'stem'][a.rule + 1] AS rule FROM k a JOIN k i USING (rule, n, k) WHERE NOT a.own AND i.own QUALIFY row_number() OVER (PARTITION BY a.p ORDER BY a.rule, -a.n, i.file) = 1)
+SELECT page_id, file, rule FROM q LEFT JOIN b USING (path)""")
+def _(x: Tables) -> DataFrame:
+    """S-10."""
+    files = x.documents.select(F.expr("concat('data/', source, '/', lang, '/', doc_id % 50, '.md')").alias("file"))
+    paths = """CASE page_id % 6 WHEN 0 THEN concat(' data/src', page_id % 4, '/en/', page_id % 50, '.md ') WHEN 1 THEN concat('./Data\\\\src', page_id % 4, '//en/./', page_id % 50, '.md')
+        WHEN 2 THEN concat('/old/src', page_id % 4, '/de/', page_id % 50, '.md') WHEN 3 THEN concat('x/', page_id % 60, '.md') WHEN 4 THEN concat(page_id % 60, '.json') END"""
+    return o.find_files(x.pages.select("page_id", F.expr(paths).alias("path")), files).select("page_id", "file", "rule")
+
+
 @query("j06_retrieval", """WITH d AS (SELECT doc_id AS did, unnest(list_distinct(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+'))) AS w FROM documents),
 q AS (SELECT item_id AS qid, unnest(list_distinct(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+'))) AS w FROM benchmark), n AS (SELECT count(*) AS n FROM documents),
 idf AS (SELECT w, ln((max(n) + 1) / (count(*) + 0.5)) AS idf FROM d, n WHERE w <> '' GROUP BY w),

@@ -173,6 +173,19 @@ def _(x: Tables) -> DataFrame:
     return g.path_lengths(edges(x))
 
 
+@query("g13_sketched")
+def _(x: Tables) -> DataFrame:
+    """G-13, A-33: lengths by sketches, either way; tested against all pairs."""
+    e = edges(x)
+    return g.sketched_lengths(g.neighbourhoods(e.select("src", "dst").union(e.select("dst", "src"))))
+
+
+@query("g10_sketched")
+def _(x: Tables) -> DataFrame:
+    """G-10: closeness by sketches; tested against all pairs."""
+    return g.sketched_closeness(g.neighbourhoods(edges(x)))
+
+
 @query("g13_clustering", f"""WITH {EDGES}, l AS (SELECT src, dst FROM edges WHERE src <> dst UNION SELECT dst, src FROM edges WHERE src <> dst), k AS (SELECT src AS id, count(*) AS k FROM l GROUP BY src), t AS (SELECT x.src AS id, count(*) / 2 AS t FROM l x JOIN l y ON x.src = y.src AND x.dst <> y.dst JOIN l z ON z.src = x.dst AND z.dst = y.dst GROUP BY x.src)
 SELECT avg(CASE WHEN k > 1 THEN 2 * coalesce(t, 0) / (k * (k - 1)) ELSE 0 END) AS clustering_coefficient FROM k LEFT JOIN t USING (id)""")
 def _(x: Tables) -> DataFrame:
