@@ -36,7 +36,7 @@ from curato.llm import shared
 K, TREES, LEAF, SAMPLE, CELL_SAMPLE, ROUNDS, MEET, OFFERS = 32, 6, 256, 20_000, 32, 2, 32, 5
 EF, EF_A_LEVEL, STEP, RERANK, SEED = 64, 24, 32, 32, 41
 #: Descent ends after the first of its rounds, but ROUNDS at least, that changes a smaller share of the list entries.
-SETTLED = 0.01
+SETTLED = 0.002
 LISTS = "u long, ids array<long>, scores array<float>"
 
 
