@@ -8,8 +8,13 @@ joins: each node is a pivot whose neighbours, and those that have it as neighbou
 offer each other what is nearer than their present worst; a pivot takes up to MEET of them, chosen by a hash that changes
 each round, and rounds go on until hardly an entry of the lists changes. Queries search the graph greedily: a query holds the EF
 nearest nodes found, and EF_A_LEVEL more for each level of the trees; each round expands its STEP nearest
-unexpanded ones by a join with the graph, and it rests when none is left. Distances of descent and search use one byte a
-component; the RERANK nearest of each query are measured on the original vectors in double precision.
+unexpanded ones by a join with the graph, and it rests when none is left. The RERANK nearest of each query are measured on the
+original vectors in double precision.
+
+Trees, descent and search measure Euclidean distances of unit vectors, which order as cosines do, on codes: each component as a
+whole number over the range that the components have, in one byte at first. Where vectors lie so near to each other that the
+rounding of codes blurs the distances of the k-th and the K-th neighbour, for more than BLURRED of the nodes, the graph is made
+anew of two bytes a component, then of four, which tell more than cosines in double precision do.
 
 No table is broadcast and no step compares all queries with all nodes: the work of a node or query does not depend on how
 many there are, apart from more rounds of descent and search and longer pools, by the level.
@@ -37,6 +42,8 @@ K, TREES, LEAF, SAMPLE, CELL_SAMPLE, ROUNDS, MEET, OFFERS = 32, 6, 256, 20_000,
 EF, EF_A_LEVEL, STEP, RERANK, SEED = 64, 24, 32, 32, 41
 #: Descent ends after the first of its rounds, but ROUNDS at least, that changes a smaller share of the list entries.
 SETTLED = 0.002
+#: Codes, coarse to fine. A list is blurred if its k-th and last distance differ by less than SHARP standard deviations of rounding.
+KINDS, SHARP, BLURRED = ("i1", "i2", "i4"), 6, 0.002
 LISTS = "u long, ids array<long>, scores array<float>"
 
 
@@ -81,8 +88,17 @@ def regroup(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(shared.partitions(df.sparkSession), key).sortWithinPartitions(key)
 
 
-def unit(raw: list[bytes], kind: str) -> np.ndarray:
-    return np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1).astype(np.float32)
+def decoded(raw: list[bytes], kind: str) -> np.ndarray:
+    """Codes as floats that hold them, and for one byte also their products, without loss."""
+    return np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1).astype(np.float32 if kind == "i1" else np.float64)
+
+
+def nearness(x: np.ndarray) -> np.ndarray:
+    """Negative squared distances between the rows of x, or of each of a stack of such arrays."""
+    # from a row among them, so that near rows far from the origin lose no digits
+    x = x - x[..., :1, :]
+    size = np.einsum("...i,...i->...", x, x)
+    return np.minimum(2 * (x @ np.swapaxes(x, -1, -2)) - size[..., :, None] - size[..., None, :], 0)
 
 
 def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
@@ -109,16 +125,41 @@ def scaled(df: DataFrame) -> DataFrame:
     return df.select("vec_id", "e").mapInArrow(work, "vec_id long, e array<double>")
 
 
-def pack_units(df: DataFrame) -> DataFrame:
-    """node, e and the unit vector as q, one signed byte a component."""
+def units(batch: pa.RecordBatch, column: int) -> np.ndarray:
+    x = batch.column(column).flatten().to_numpy().reshape(batch.num_rows, -1)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
+def ranges(nodes: DataFrame) -> tuple[np.ndarray, float]:
+    """The middle of each component's range over all unit vectors, and half the widest range."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low = high = None
         for b in batches:
-            x = b.column(1).flatten().to_numpy().reshape(b.num_rows, -1) if b.num_rows else np.zeros((0, 1))
-            x = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
-            small = np.rint(x * 127).astype(np.int8)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([r.tobytes() for r in small], pa.binary())], names=["node", "e", "members", "q"])
+            if b.num_rows:
+                x = units(b, 0)
+                low = x.min(axis=0) if low is None else np.minimum(low, x.min(axis=0))
+                high = x.max(axis=0) if high is None else np.maximum(high, x.max(axis=0))
+        if low is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(low))), pa.array(low), pa.array(high)], names=["i", "low", "high"])
 
-    return df.mapInArrow(work, "node long, e array<double>, members array<long>, q binary")
+    # a row a component
+    got = nodes.select("e").mapInArrow(work, "i long, low double, high double").groupBy("i").agg(F.min("low").alias("low"), F.max("high").alias("high")).orderBy("i").collect()
+    low, high = np.array([r["low"] for r in got]), np.array([r["high"] for r in got])
+    return (low + high) / 2, float(max((high - low).max(initial=0) / 2, 1e-300))
+
+
+def coded(nodes: DataFrame, middle: np.ndarray, half: float, kind: str) -> DataFrame:
+    """node and its unit vector as q, one signed whole number a component."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        most = np.iinfo(kind).max
+        for b in batches:
+            if b.num_rows:
+                small = np.clip(np.rint((units(b, 1) - middle) / half * most), -most, most).astype(kind)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in small], pa.binary())], names=["node", "q"])
+
+    return shared.keep(nodes.select("node", "e").mapInArrow(work, "node long, q binary"), "codes")
 
 
 def depth_of(n: int, leaf: int) -> int:
@@ -152,25 +193,25 @@ def cells_of(x: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray]]) -> np.n
     return cell
 
 
-def first_graph(nodes: DataFrame, n: int) -> DataFrame:
-    spark = nodes.sparkSession
+def first_graph(nodes: DataFrame, n: int, kind: str) -> DataFrame:
     picked = nodes.select("q").where(F.pmod(F.xxhash64("node", F.lit(SEED)), F.lit(1 << 30)) < max(1, int((1 << 30) * min(1.0, SAMPLE / max(1, n))))).limit(2 * SAMPLE).collect()
-    sample = unit([r["q"] for r in picked], "i1") if picked else np.zeros((0, 1), np.float32)
+    sample = decoded([r["q"] for r in picked], kind) if picked else np.zeros((0, 1), np.float32)
     trees = trees_of(sample, n, TREES, LEAF)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            x = unit(b.column(1).to_pylist(), "i1")
+            x = decoded(b.column(1).to_pylist(), kind)
             for t, levels in enumerate(trees):
                 yield pa.RecordBatch.from_arrays([pa.array(cells_of(x, levels) + (t << 48)), b.column(0), b.column(1)], names=["leaf", "node", "q"])
 
     def nearest(table: pa.Table) -> pa.Table:
-        u, x = table.column("node").to_numpy(), unit(table.column("q").to_pylist(), "i1")
+        u, x = table.column("node").to_numpy(), decoded(table.column("q").to_pylist(), kind)
         k, out = min(K, len(u) - 1), []
+        near = nearness(x)
         for lo in range(0, len(u) if k else 0, 512):
-            s = x[lo : lo + 512] @ x.T
+            s = near[lo : lo + 512]
             s[np.arange(len(s)), lo + np.arange(len(s))] = -np.inf
             j = np.argpartition(-s, k - 1, axis=1)[:, :k]
             out.append(_lists(np.repeat(u[lo : lo + 512], k), u[j].ravel(), np.take_along_axis(s, j, 1).ravel(), k))
@@ -195,30 +236,32 @@ def merged(lists: DataFrame) -> DataFrame:
     return shared.keep(regroup(lists, "u").mapInArrow(work, LISTS), "graph")
 
 
-def descend(graph: DataFrame, nodes: DataFrame, turn: int) -> DataFrame:
+def descend(graph: DataFrame, nodes: DataFrame, turn: int, kind: str) -> DataFrame:
     """A round of NN-descent: neighbours of a pivot, forward and backward, meet at it."""
     out = graph.select(F.col("u").alias("p"), F.explode("ids").alias("m"))
     both = out.union(out.select("m", "p")).distinct()
     rank = F.row_number().over(Window.partitionBy("p").orderBy(F.xxhash64("p", "m", F.lit(turn))))
     met = both.withColumn("r", rank).where(F.col("r") <= MEET)
-    worst = graph.select(F.col("u").alias("m"), F.when(F.size("scores") < K, F.lit(-1e9)).otherwise(F.element_at("scores", -1)).cast("float").alias("worst"))
-    told = nodes.select(F.col("node").alias("m"), "q").join(worst, "m", "left").withColumn("worst", F.coalesce("worst", F.lit(-1e9).cast("float")))
+    none = F.lit(float("-inf")).cast("float")
+    worst = graph.select(F.col("u").alias("m"), F.when(F.size("scores") < K, none).otherwise(F.element_at("scores", -1)).alias("worst"))
+    told = nodes.select(F.col("node").alias("m"), "q").join(worst, "m", "left").withColumn("worst", F.coalesce("worst", none))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches):
             p, m, worst = (table.column(c).to_numpy() for c in ("p", "m", "worst"))
-            x = unit(table.column("q").to_pylist(), "i1")
+            x = decoded(table.column("q").to_pylist(), kind)
+            step = max(1, min(512, (4 << 20) // (MEET * x.shape[1])))
             heads = np.flatnonzero(np.r_[True, p[1:] != p[:-1]])
             counts = np.diff(np.r_[heads, len(p)])
-            for lo in range(0, len(heads), 512):
-                h, c = heads[lo : lo + 512], counts[lo : lo + 512]
+            for lo in range(0, len(heads), step):
+                h, c = heads[lo : lo + step], counts[lo : lo + step]
                 here = np.arange(MEET)[None, :] < c[:, None]
                 row = np.minimum(h[:, None] + np.arange(MEET), len(p) - 1)
-                y = x[row]
-                s = y @ y.transpose(0, 2, 1)
+                s = nearness(x[row])
                 s[~(here[:, :, None] & here[:, None, :])] = -np.inf
                 s[:, np.arange(MEET), np.arange(MEET)] = -np.inf
-                s[s <= worst[row][:, :, None]] = -np.inf
+                # of equally near ones the smaller id displaces the larger
+                s[s < worst[row][:, :, None]] = -np.inf
                 j = np.argpartition(-s, OFFERS - 1, axis=2)[:, :, :OFFERS]
                 v = np.take_along_axis(s, j, 2)
                 a, b, o = np.nonzero(v > -np.inf)
@@ -236,19 +279,36 @@ def changed(old: DataFrame, new: DataFrame) -> float:
     return (got or 0) / max(1, total or 0)
 
 
-def settled_graph(nodes: DataFrame, n: int) -> DataFrame:
-    """The first graph, improved by rounds of descent until hardly an entry changes."""
-    graph, turn, share = first_graph(nodes, n), 0, 1.0
-    while turn < ROUNDS or share > SETTLED:
-        last, graph = graph, descend(graph, nodes, turn)
-        turn += 1
-        if turn >= ROUNDS:
-            share = changed(last, graph)
-        shared.forget(last)
-    return graph
-
-
-def advance(batches: Iterator[pa.RecordBatch], ef: int) -> Iterator[pa.RecordBatch]:
+def blurred(graph: DataFrame, k: int, width: int) -> float:
+    """The share of full lists in which rounding of codes may take a node past the last for one of the k nearest."""
+    kth, last = -F.element_at("scores", min(k, K)).cast("double"), -F.element_at("scores", -1).cast("double")
+    # two codes differ from what they stand for by an error of variance 1/6 a component, whose square varies by 7/180
+    error = F.sqrt(last * 4 / 6 + width * 7 / 180)
+    return graph.where(F.size("scores") == K).agg(F.avg((last - kth < SHARP * error).cast("int"))).first()[0] or 0.0
+
+
+def settled_graph(nodes: DataFrame, n: int, k: int) -> tuple[DataFrame, DataFrame, str]:
+    """The first graph, improved by rounds of descent until hardly an entry changes, on the coarsest codes that tell its nodes
+    apart; these codes and their kind."""
+    middle, half = ranges(nodes)
+    for kind in KINDS:
+        fine, codes = kind == KINDS[-1], coded(nodes, middle, half, kind)
+        graph, turn, share = first_graph(codes, n, kind), 0, 1.0
+        if fine or blurred(graph, k, len(middle)) <= BLURRED:
+            while turn < ROUNDS or share > SETTLED:
+                last, graph = graph, descend(graph, codes, turn, kind)
+                turn += 1
+                if turn >= ROUNDS:
+                    share = changed(last, graph)
+                shared.forget(last)
+            if fine or blurred(graph, k, len(middle)) <= BLURRED:
+                break
+        shared.forget(graph)
+        shared.forget(codes)
+    return graph, codes, kind
+
+
+def advance(batches: Iterator[pa.RecordBatch], ef: int, kind: str) -> Iterator[pa.RecordBatch]:
     """Pools after a round: rows without w are the pools, of which the first STEP open entries close; the others are reached."""
     for table in whole_groups(batches):
         old = table.filter(pc.is_null(table.column("w"))).combine_chunks()
@@ -259,12 +319,12 @@ def advance(batches: Iterator[pa.RecordBatch], ef: int) -> Iterator[pa.RecordBat
         before = np.cumsum(open_) - open_
         head = np.r_[0, np.cumsum(n)][:-1]
         open_ = open_ & (before - np.repeat(np.r_[before, 0][head], n) >= STEP)
-        q, pool = unit(old.column("q").to_pylist(), "i1"), np.repeat(np.arange(len(u)), n)
+        q, pool = decoded(old.column("q").to_pylist(), kind), np.repeat(np.arange(len(u)), n)
         if new.num_rows:
             own = np.searchsorted(u, new.column("u").to_numpy())
-            x = unit(new.column("x").to_pylist(), "i1")
+            x = decoded(new.column("x").to_pylist(), kind) - q[own]
             ids, pool, open_ = np.r_[ids, new.column("w").to_numpy()], np.r_[pool, own], np.r_[open_, np.ones(len(own), bool)]
-            scores = np.r_[scores, np.einsum("ij,ij->i", x, q[own])]
+            scores = np.r_[scores, -np.einsum("ij,ij->i", x, x)]
         by = np.lexsort((ids, -scores, pool))
         ids, scores, open_, pool = ids[by], scores[by], open_[by], pool[by]
         edges = np.searchsorted(pool, np.arange(len(u) + 1))
@@ -274,7 +334,7 @@ def advance(batches: Iterator[pa.RecordBatch], ef: int) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([old.column("u").combine_chunks(), old.column("q").combine_chunks(), *lists], names=["u", "q", "ids", "scores", "open"])
 
 
-def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, ef: int = EF) -> DataFrame:
+def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, kind: str, ef: int = EF) -> DataFrame:
     """u, ids: for each query node the nearest nodes found, nearest first."""
     state = "u long, q binary, ids array<long>, scores array<float>, open array<boolean>"
     start = queries.join(nodes.select("node", "q"), "node").join(graph, F.col("node") == F.col("u"), "left").select(F.col("node").alias("u"), "q", F.coalesce("ids", F.array().cast("array<long>")).alias("ids"), F.coalesce("scores", F.array().cast("array<float>")).alias("scores"), F.coalesce(F.transform("ids", lambda x: F.lit(True)), F.array().cast("array<boolean>")).alias("open"))
@@ -290,7 +350,7 @@ def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, ef: int = EF)
         seen = reached.join(known, ["u", "w"], "left_anti").join(nodes.select(F.col("node").alias("w"), F.col("q").alias("x")), "w").select("u", "w", "x")
         rows = now.select("u", F.lit(None).cast("long").alias("w"), F.lit(None).cast("binary").alias("x"), "q", "ids", "scores", "open").unionByName(seen, allowMissingColumns=True)
 
-        last, now = now, shared.keep(regroup(rows, "u").mapInArrow(lambda b: advance(b, ef), state), "pools")
+        last, now = now, shared.keep(regroup(rows, "u").mapInArrow(lambda b: advance(b, ef, kind), state), "pools")
         shared.forget(last)
 
 
@@ -300,10 +360,11 @@ def nearest_neighbours(vectors: DataFrame, every: int = 50, k: int = 5, vec_id:
     order = F.row_number().over(Window.partitionBy("e").orderBy("vec_id"))
     # k+1 ids of a node are all that its neighbours, or one of its own rows, can ask for
     firsts = rows.withColumn("r", order).where(F.col("r") <= k + 1).groupBy("e").agg(F.sort_array(F.collect_list("vec_id")).alias("members"))
-    nodes = shared.keep(pack_units(firsts.select(F.element_at("members", 1).alias("node"), "e", "members")), "nodes")
+    nodes = shared.keep(firsts.select(F.element_at("members", 1).alias("node"), "e", "members"), "nodes")
     asked = shared.keep(rows.where(F.col("vec_id") % every == 0).join(nodes.select("node", "e"), "e").select("vec_id", "node"), "queries")
     n = nodes.count()
-    found = search(settled_graph(nodes, n), nodes, asked.select("node").distinct(), EF + EF_A_LEVEL * depth_of(n, LEAF))
+    graph, codes, kind = settled_graph(nodes, n, k)
+    found = search(graph, codes, asked.select("node").distinct(), kind, EF + EF_A_LEVEL * depth_of(n, LEAF))
     # a query's own node counts: other rows may hold the same vector
     pairs = found.select("u", F.explode(F.concat(F.array("u"), F.slice("ids", 1, RERANK))).alias("v"))
     square = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)

@@ -622,6 +622,22 @@ def test_neighbours_of_extreme_vectors(spark):
     assert got == sorted(want)
 
 
+@pytest.mark.parametrize("case", ["far from the origin", "one large component", "close clusters", "closest clusters"])
+def test_neighbours_that_lie_close(spark, case):
+    """Distances far below one part in 127 of the unit vectors are told apart."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(900, 32))
+    if case == "far from the origin":
+        x += 30
+    elif case == "one large component":
+        x[:, 0] *= 200
+    else:
+        x = rng.normal(size=(3, 32))[np.arange(900) % 3] + x * (1e-3 if case == "close clusters" else 1e-6)
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got, want = ({(r.query_id, r.vec_id) for r in out.collect()} for out in (neighbours.nearest_neighbours(df), neighbours.brute_force(df)))
+    assert len(got) == len(want) == 90 and len(got & want) >= 0.95 * len(want)
+
+
 @pytest.mark.parametrize("n", [40, 5000])
 def test_tree_cells(n):
     """Levels past what the sample can tell go on at the medians of the last cells; leaves stay near the size asked."""
