@@ -292,14 +292,15 @@ def retrieve(queries: DataFrame, docs: DataFrame, k: int = 5) -> DataFrame:
 
     An inverted index: tokens of both sides are joined by hash and added up. Only words of some query are kept of a document,
     before they are dealt out; frequent words stay, with their small idf, and what a query's words give a document is added up
-    before the shuffle by query and document.
+    before the shuffle by query and document. Scores are rounded to six decimals and rank as such, because sums of one set of words
+    in another order differ in their last bits; of equal scores the smallest did comes first.
     """
     words = lambda df, key, text: df.select(key, F.explode(F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"))).alias("w")).where("w != ''")
     asked = words(queries, "qid", "q")
     index = words(docs, "did", "d").join(asked.select("w").distinct(), "w", "left_semi")
     n = docs.count()
     idf = index.groupBy("w").agg(F.count(F.lit(1)).alias("df")).select("w", F.log(F.lit(n + 1) / (F.col("df") + 0.5)).alias("idf"))
-    score = asked.join(idf, "w").join(index, "w").groupBy("qid", "did").agg(F.sum("idf").alias("score"))
+    score = asked.join(idf, "w").join(index, "w").groupBy("qid", "did").agg(F.round(F.sum("idf"), 6).alias("score"))
     return newest(score, "qid", [F.desc("score"), F.col("did")], k)
 
 

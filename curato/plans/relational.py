@@ -211,8 +211,7 @@ sc AS (SELECT qid, did, round(sum(idf), 6) AS score FROM q JOIN idf USING (w) JO
 SELECT qid, did, score FROM sc QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, did) <= 5""")
 def _(x: Tables) -> DataFrame:
     """J-06, S-26."""
-    found = o.retrieve(x.benchmark.select(F.col("item_id").alias("qid"), F.col("text").alias("q")), x.documents.select(F.col("doc_id").alias("did"), F.col("text").alias("d")))
-    return found.select("qid", "did", F.round("score", 6).alias("score"))
+    return o.retrieve(x.benchmark.select(F.col("item_id").alias("qid"), F.col("text").alias("q")), x.documents.select(F.col("doc_id").alias("did"), F.col("text").alias("d"))).select("qid", "did", "score")
 
 
 @query("j07_nested", "SELECT o_orderkey, array_to_string(list(l_linenumber::VARCHAR || ':' || l_returnflag ORDER BY l_returnflag, l_linenumber::VARCHAR), ',') AS anns FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_returnflag IN ('A', 'R') GROUP BY o_orderkey")
