@@ -1,5 +1,6 @@
 """Results that must be whole and equal to plain ones where rows tie, repeat or are many."""
 
+from curato.operators import chunking as ch
 from curato.operators import tables as o
 
 
@@ -13,3 +14,13 @@ def test_retrieval_ranks_by_rounded_scores(spark):
             assert [r.did for r in sorted(got, key=lambda r: (-r.score, r.did))] == [0, 5]
             first = o.retrieve(spark.createDataFrame([(1, "one two four seven")], "qid long, q string"), spark.createDataFrame(texts, "did long, d string"), 1).collect()
             assert [r.did for r in first] == [0]
+
+
+def test_key_sentences_split_a_text_once(spark):
+    said = [f"{'the ' if i % 3 == 0 else ''}sentence {i}." for i in range(3000)]
+    df = spark.createDataFrame([(" ".join(said),), (None,), ("",)], "t string").select(ch.key_sentences("t", ["the"], most=10**6).alias("k"))
+    # each further one would be work that grows as the square of the sentences
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    weight = lambda i: (i % 3 == 0) + 1 - 0.5 * i / len(said)
+    best = sorted(sorted(range(len(said)), key=lambda i: (-weight(i), i))[:1800])
+    assert [r.k for r in df.collect()] == [" ".join(said[i] for i in best), None, ""]
