@@ -5,10 +5,13 @@ Paths grow by one join a hop, bounded by hops; iterative ones checkpoint each ro
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curato.operators.nearness import stored
+from curato.session import shared_folder
 
 
 def build(triples: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -267,22 +270,65 @@ def triangles(up: DataFrame) -> DataFrame:
     return up.toDF("a", "b").join(up.toDF("a", "c"), "a").where("b != c").join(up.toDF("b", "c"), ["b", "c"])
 
 
-def path_lengths(edges: DataFrame, parts: int = 1) -> DataFrame:
+def _written(df: DataFrame) -> DataFrame:
+    """df in a folder of its own under the shared one, which _erased() deletes."""
+    path = f"{shared_folder(df.sparkSession)}/front-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _erased(df: DataFrame) -> None:
+    spark = df.sparkSession
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def folded(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes of the same neighbours as one: the first id of each such class and its size m, and the links between those.
+
+    links(src, dst) hold both ways and no loops. Classes are found by a hash of the neighbours and then verified link by link; a
+    node whose hash alone is equal stays on its own. Nodes of one class have the same distance to any other node, and 2 to each other.
+    """
+    marks = links.groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("dst")).alias("x"))
+    said = marks.join(marks.groupBy("n", "x").agg(F.min("src").alias("rep")), ["n", "x"]).where("src != rep").select("src", "rep", "n")
+    agreed = links.join(said, "src").join(links.toDF("rep", "dst"), ["rep", "dst"]).groupBy("src", "rep", "n").agg(F.count(F.lit(1)).alias("same")).where("same = n")
+    twins = stored(links.select("src").distinct().join(agreed.select("src", "rep"), "src", "left").select("src", F.coalesce("rep", "src").alias("rep")))
+    first = twins.where("src = rep").select("src")
+    return stored(twins.groupBy(F.col("rep").alias("id")).agg(F.count(F.lit(1)).alias("m"))), stored(links.join(first, "src").join(first.toDF("dst"), "dst").select("src", "dst"))
+
+
+def path_lengths(edges: DataFrame, parts: int | None = None, held: int = 20_000_000) -> DataFrame:
     """G-13: diameter and avg_path_length of the undirected graph, null if it is not connected.
 
-    Breadth-first levels of all nodes, `parts` shares of them after one another; of each share only its sums stay.
+    Breadth-first levels of all nodes, those of the same neighbours as one (`folded`), whose pairs count as many as they stand for.
+    Shares of the nodes start after one another, as many as keep a share's pairs under `held`, and of each level only its sum stays:
+    either way a level's neighbours are on it, the one before or the next, so two levels are all that is held on disk.
     """
+    spark = edges.sparkSession
     links = stored(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src != dst").distinct())
-    ids = stored(edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct())
-    told = None
+    sizes, small = folded(links)
+    kept, n, twins = sizes.agg(F.count(F.lit(1)), F.sum("m"), F.sum(F.col("m") * (F.col("m") - 1))).first()
+    # a level of nodes of one class: two hops
+    most, total, pairs = (2, 2 * twins, twins) if twins else (0, 0, 0)
+    parts = parts or max(1, -(-kept * kept // held))
     for part in range(parts):
-        d = distances(links, ids.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == part), None).where("d > 0")
-        sums = stored(d.agg(F.max("d").alias("most"), F.sum("d").alias("total"), F.count(F.lit(1)).alias("pairs")))
-        told = sums if told is None else told.union(sums)
-    n = ids.count()
-    whole = told.agg(F.max("most").alias("most"), F.sum("total").alias("total"), F.sum("pairs").alias("pairs"))
-    joined = F.col("pairs") == n * (n - 1)
-    return whole.select(F.when(joined, F.col("most")).alias("diameter"), F.when(joined, F.col("total") / F.col("pairs")).alias("avg_path_length"))
+        before, front, d = None, _written(sizes.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == part).select(F.col("id").alias("start"), F.col("id").alias("at"))), 0
+        while True:
+            d += 1
+            new = front.join(small, front["at"] == small["src"]).select("start", F.col("dst").alias("at")).distinct().join(front, ["start", "at"], "left_anti")
+            new = _written(new if before is None else new.join(before, ["start", "at"], "left_anti"))
+            if before is not None:
+                _erased(before)
+            before, front = front, new
+            met = new.join(sizes.toDF("start", "ms"), "start").join(sizes.toDF("at", "ma"), "at").agg(F.sum(F.col("ms") * F.col("ma"))).first()[0]
+            if not met:
+                break
+            most, total, pairs = max(most, d), total + d * met, pairs + met
+        _erased(before)
+        _erased(front)
+    joined = pairs and pairs == n * (n - 1)
+    return spark.createDataFrame([(most, total / pairs) if joined else (None, None)], "diameter int, avg_path_length double")
 
 
 def clustering(edges: DataFrame) -> DataFrame:

@@ -1,6 +1,13 @@
 """Results that must be whole and equal to plain ones where rows tie, repeat or are many."""
 
+import collections
+import os
+import random
+
+import pytest
+
 from curato.operators import chunking as ch
+from curato.operators import graph as g
 from curato.operators import tables as o
 
 
@@ -24,3 +31,34 @@ def test_key_sentences_split_a_text_once(spark):
     weight = lambda i: (i % 3 == 0) + 1 - 0.5 * i / len(said)
     best = sorted(sorted(range(len(said)), key=lambda i: (-weight(i), i))[:1800])
     assert [r.k for r in df.collect()] == [" ".join(said[i] for i in best), None, ""]
+
+
+def test_path_lengths_fold_nodes_of_equal_neighbours(spark):
+    rng = random.Random(5)
+    links = [(i, rng.randrange(i)) for i in range(1, 12)] + [(100 + i, i % 4) for i in range(40)] + [(200 + i, j) for i in range(5) for j in (2, 3)]
+    near = collections.defaultdict(set)
+    for a, b in links:
+        near[a].add(b)
+        near[b].add(a)
+    far = []
+    for start in near:
+        seen = {start: 0}
+        todo = collections.deque([start])
+        while todo:
+            v = todo.popleft()
+            for w in near[v] - seen.keys():
+                seen[w] = seen[v] + 1
+                todo.append(w)
+        far += [d for d in seen.values() if d]
+    edges = spark.createDataFrame([(a, "r", b) for a, b in links], "src long, rel string, dst long")
+    held = set(os.listdir(spark.conf.get("spark.checkpoint.dir")))
+    for parts in (None, 3):
+        told = g.path_lengths(edges, parts).first()
+        assert (told.diameter, told.avg_path_length) == (max(far), pytest.approx(sum(far) / len(far)))
+    # no level stays on disk
+    assert not [x for x in set(os.listdir(spark.conf.get("spark.checkpoint.dir"))) - held if x.startswith("front-")]
+    both = edges.select("src", "dst").union(edges.select("dst", "src")).distinct()
+    sizes, small = g.folded(both)
+    # 40 leaves of four nodes, and five nodes of two, but for those that made ones join
+    assert sizes.agg({"m": "sum"}).first()[0] == len(near) and sizes.count() <= len(near) - 36 - 4 and small.count() < both.count() / 2
+    assert g.path_lengths(edges.limit(0)).first() == (None, None)
