@@ -8,6 +8,7 @@ import pytest
 
 from curato.operators import chunking as ch
 from curato.operators import graph as g
+from curato.operators import nearness as nr
 from curato.operators import tables as o
 
 
@@ -62,3 +63,16 @@ def test_path_lengths_fold_nodes_of_equal_neighbours(spark):
     # 40 leaves of four nodes, and five nodes of two, but for those that made ones join
     assert sizes.agg({"m": "sum"}).first()[0] == len(near) and sizes.count() <= len(near) - 36 - 4 and small.count() < both.count() / 2
     assert g.path_lengths(edges.limit(0)).first() == (None, None)
+
+
+def test_keyword_pairs_compare_equal_sets_once(spark):
+    rng = random.Random(3)
+    sets = [rng.sample("abcdefghijklmnop", rng.randrange(1, 12)) for _ in range(40)]
+    rows = [(i, ws) for i, ws in enumerate([*sets, *[list("abcdefghij")] * 30, *[list("jihgfedcba")] * 30, *[list("abcdefg")] * 20, [], None])]
+    want = sorted((i, j) for i, x in rows for j, y in rows if x and y and i < j and 10 * len({*x} & {*y}) >= 7 * max(len(x), len(y)))
+    df = spark.createDataFrame(rows, "id long, words array<string>").repartition(3)
+    for slice_ in (500, 7):
+        assert sorted(tuple(r) for r in nr.keyword_pairs(df, 0.7, slice_).collect()) == want
+    plan = nr.keyword_pairs(df, 0.7)._jdf.queryExecution().optimizedPlan().toString()
+    # tasks by slices, which stay as many as they are
+    assert plan.count("RepartitionByExpression") == 2
