@@ -5,13 +5,10 @@ Paths grow by one join a hop, bounded by hops; iterative ones checkpoint each ro
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from curato.operators.nearness import stored
-from curato.session import shared_folder
+from curato.operators.nearness import erased, stored, written
 
 
 def build(triples: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -270,20 +267,6 @@ def triangles(up: DataFrame) -> DataFrame:
     return up.toDF("a", "b").join(up.toDF("a", "c"), "a").where("b != c").join(up.toDF("b", "c"), ["b", "c"])
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """df in a folder of its own under the shared one, which _erased() deletes."""
-    path = f"{shared_folder(df.sparkSession)}/front-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def _erased(df: DataFrame) -> None:
-    spark = df.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def folded(links: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes of the same neighbours as one: the first id of each such class and its size m, and the links between those.
 
@@ -313,20 +296,20 @@ def path_lengths(edges: DataFrame, parts: int | None = None, held: int = 20_000_
     most, total, pairs = (2, 2 * twins, twins) if twins else (0, 0, 0)
     parts = parts or max(1, -(-kept * kept // held))
     for part in range(parts):
-        before, front, d = None, _written(sizes.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == part).select(F.col("id").alias("start"), F.col("id").alias("at"))), 0
+        before, front, d = None, written(sizes.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == part).select(F.col("id").alias("start"), F.col("id").alias("at"))), 0
         while True:
             d += 1
             new = front.join(small, front["at"] == small["src"]).select("start", F.col("dst").alias("at")).distinct().join(front, ["start", "at"], "left_anti")
-            new = _written(new if before is None else new.join(before, ["start", "at"], "left_anti"))
+            new = written(new if before is None else new.join(before, ["start", "at"], "left_anti"))
             if before is not None:
-                _erased(before)
+                erased(before)
             before, front = front, new
             met = new.join(sizes.toDF("start", "ms"), "start").join(sizes.toDF("at", "ma"), "at").agg(F.sum(F.col("ms") * F.col("ma"))).first()[0]
             if not met:
                 break
             most, total, pairs = max(most, d), total + d * met, pairs + met
-        _erased(before)
-        _erased(front)
+        erased(before)
+        erased(front)
     joined = pairs and pairs == n * (n - 1)
     return spark.createDataFrame([(most, total / pairs) if joined else (None, None)], "diameter int, avg_path_length double")
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curato.operators import graph as g
+from curato.operators.nearness import erased, written
 
 # Aspects that count, and relations that say something about the answer itself.
 ASPECTS = ["gene_function", "regulation", "phenotype", "species", "pathway"]
@@ -24,6 +25,8 @@ META_RELATIONS = [
 ]
 META_PARTS = ["context", "insufficient", "cannot", "unknown"]
 LEAST_ASPECTS, LEAST_CONFIDENCE = 3, 0.6
+#: Answers from which on shares of them are judged one after another.
+MANY, SHARES = 500_000, 6
 
 
 def name(c: str | Column) -> Column:
@@ -79,12 +82,44 @@ def judged_claims(claims: DataFrame, bank: DataFrame, allowed: DataFrame) -> Dat
     return rows.withColumn("status", status).drop("hit")
 
 
-def validate(answers: DataFrame, claims: DataFrame, bank: DataFrame, allowed: DataFrame, edges: DataFrame, least_aspects: int = LEAST_ASPECTS, least: float = LEAST_CONFIDENCE) -> DataFrame:
+def validate(answers: DataFrame, claims: DataFrame, bank: DataFrame, allowed: DataFrame, edges: DataFrame, least_aspects: int = LEAST_ASPECTS, least: float = LEAST_CONFIDENCE, shares: int | None = None) -> DataFrame:
     """aid, aspect_count, entity, referenced, overlap, support, information, confidence, level, passed of every answer.
 
     Without claims support is .5; without allowed entities entity is .8, and .5 where none is claimed; without neighbours
     overlap is .7. An answer of too few aspects doesn't pass whatever its confidence.
+
+    Joins deal an answer's rows out some twenty times, so many answers go in shares by a hash of aid, each written before the next
+    begins: the shuffle files of one share are on disk at a time. What needs the graph's links is made before, once.
     """
+    links = edges.select(name("src").alias("centre"), name("dst").alias("end")).where("end != ''").distinct()
+    centred = answers.select("aid", name("centre").alias("centre"))
+    named = claims.select("aid", F.explode(F.array(name("head"), name("tail"))).alias("end")).where("end != ''").distinct()
+    shares = shares or (SHARES if answers.count() >= MANY else 1)
+    kept = written if shares > 1 else lambda df, _: df
+    links = kept(links, "links")
+    sizes = kept(links.groupBy("centre").agg(F.count(F.lit(1)).alias("neighbours")), "sizes")
+
+    def meet(n: DataFrame) -> DataFrame:
+        return kept(n.join(centred, "aid").join(links, ["centre", "end"]).groupBy("aid").agg(F.count(F.lit(1)).alias("met")), "met")
+
+    if shares == 1:
+        return _judged_answers(answers, claims, bank, allowed, meet(named), sizes, least_aspects, least)
+    # all links are dealt out for each part of the names, so these are halves only
+    halves = [meet(named.where(F.pmod(F.xxhash64("aid"), F.lit(2)) == half)) for half in range(2)]
+    met = halves[0].union(halves[1])
+    erased(links)
+    told = None
+    for share in range(shares):
+        # a null aid has a hash as well
+        own = [t.where(F.pmod(F.xxhash64("aid"), F.lit(shares)) == share) for t in (answers, claims, bank, allowed, met)]
+        part = written(_judged_answers(*own, sizes, least_aspects, least), "answers")
+        told = part if told is None else told.union(part)
+    erased(met)
+    erased(sizes)
+    return told
+
+
+def _judged_answers(answers: DataFrame, claims: DataFrame, bank: DataFrame, allowed: DataFrame, met: DataFrame, sizes: DataFrame, least_aspects: int, least: float) -> DataFrame:
     judged = judged_claims(claims, bank, allowed)
     scored = judged.withColumn("score", F.when(F.col("status") == "meta", 0.5).when(F.col("status") == "supported", 1.0).otherwise(0.0))
     per = scored.groupBy("aid").agg(
@@ -96,11 +131,6 @@ def validate(answers: DataFrame, claims: DataFrame, bank: DataFrame, allowed: Da
     cited = judged.where("NOT meta").select("aid", F.explode("ids").alias("eid")).distinct().join(whole, ["aid", "eid"], "left")
     cited = cited.groupBy("aid").agg(F.count(F.lit(1)).alias("cited"), F.count_if(~F.coalesce("whole", F.lit(False))).alias("failing"))
     held = banked.groupBy("aid").agg(F.count_distinct("eid").alias("evidence"), F.count_distinct(F.nullif("relation", F.lit(""))).alias("relations"))
-    centred = answers.select("aid", name("centre").alias("centre"))
-    links = edges.select(name("src").alias("centre"), name("dst").alias("end")).where("end != ''").distinct()
-    sizes = links.groupBy("centre").agg(F.count(F.lit(1)).alias("neighbours"))
-    named = judged.select("aid", F.explode(F.array("head", "tail")).alias("end")).where("end != ''").distinct()
-    met = named.join(centred, "aid").join(links, ["centre", "end"]).groupBy("aid").agg(F.count(F.lit(1)).alias("met"))
     limited = allowed.where(name("entity") != "").select("aid").distinct().withColumn("any_allowed", F.lit(True))
     aspects = F.array_distinct(F.filter(F.transform(F.coalesce("aspects", F.array().cast("array<string>")), lambda a: F.lower(F.trim(a))), lambda a: a.isin(ASPECTS)))
     all_ = answers.select("aid", name("centre").alias("centre"), F.size(aspects).alias("aspect_count"))

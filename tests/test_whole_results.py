@@ -10,6 +10,9 @@ from curato.operators import chunking as ch
 from curato.operators import graph as g
 from curato.operators import nearness as nr
 from curato.operators import tables as o
+from curato.operators import validation as va
+from curato.plans import structures
+from curato.plans.base import Tables
 
 
 def test_retrieval_ranks_by_rounded_scores(spark):
@@ -76,3 +79,16 @@ def test_keyword_pairs_compare_equal_sets_once(spark):
     plan = nr.keyword_pairs(df, 0.7)._jdf.queryExecution().optimizedPlan().toString()
     # tasks by slices, which stay as many as they are
     assert plan.count("RepartitionByExpression") == 2
+
+
+def test_answers_judged_in_shares_are_those_judged_at_once(spark, sf, monkeypatch):
+    tables = structures.claimed(Tables(spark, sf))
+    told = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    whole = told(va.validate(*tables))
+    monkeypatch.setattr(va, "MANY", 1)
+    held = set(os.listdir(spark.conf.get("spark.checkpoint.dir")))
+    parts = va.validate(*tables)
+    made = sorted(x.split("-")[0] for x in set(os.listdir(spark.conf.get("spark.checkpoint.dir"))) - held)
+    assert told(parts) == whole and len(whole) == tables[0].count() and made == ["answers"] * va.SHARES
+    # shuffle files of a table that is written are gone, and the session is as it was
+    assert spark.conf.get(nr.CLEANS) == "false"
